@@ -29,16 +29,37 @@ def _replaced(df: DataFrame, new: dict[str, Column]) -> list[Column]:
     return [new[c].alias(c) if c in new else col(c) for c in df.columns]
 
 
+def fit(row: DataFrame) -> dict:
+    """The single row of a statistics frame, fetched once, for chains that use it more than once."""
+    return row.first().asDict()
+
+
+def _with_stats(df: DataFrame, stats: DataFrame | dict):
+    """The table with its statistics in reach, and how to name one of them."""
+    if isinstance(stats, dict):
+        return df, lambda name: F.lit(stats[name])
+    return df.crossJoin(F.broadcast(stats)), F.col
+
+
 def fill_missing(
-    df: DataFrame, strategy: str = "fill_median", columns: list[str] | None = None, method: str = "auto"
+    df: DataFrame,
+    strategy: str = "fill_median",
+    columns: list[str] | None = None,
+    method: str = "auto",
+    values: dict | None = None,
 ) -> DataFrame:
-    """Nulls of numeric columns filled with mean, upper median or mode; filled columns are double."""
+    """Nulls of numeric columns filled with mean, upper median or mode; filled columns are double.
+
+    ``values`` are fill values fitted before (``fit(fill_values(…))``).
+    """
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return df
     at = keyed(columns, df.columns)
-    filled = df.crossJoin(F.broadcast(fill_values(df, columns, strategy, method)))
-    return filled.select(*_replaced(df, {c: F.coalesce(number(c), F.col(f"fill_{i}")) for c, i in at.items()}))
+    wide, stat = _with_stats(df, fill_values(df, columns, strategy, method) if values is None else values)
+    return wide.select(
+        *_replaced(df, {c: F.coalesce(number(c), stat(f"fill_{i}").cast("double")) for c, i in at.items()})
+    )
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], method: str = "auto") -> DataFrame:
@@ -55,16 +76,23 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str = "auto") -> D
 
 
 def null_outliers(
-    df: DataFrame, outlier_method: str = "iqr", columns: list[str] | None = None, method: str = "auto"
+    df: DataFrame,
+    outlier_method: str = "iqr",
+    columns: list[str] | None = None,
+    method: str = "auto",
+    bounds: dict | None = None,
 ) -> DataFrame:
-    """Values outside the fences become null; when any did, rows of nulls only are dropped."""
+    """Values outside the fences become null; when any did, rows of nulls only are dropped.
+
+    ``bounds`` are fences fitted before (``fit(outlier_bounds(…))``).
+    """
     columns = numeric_columns(df) if columns is None else columns
     if outlier_method != "iqr" or not columns:
         return df
     at = keyed(columns, df.columns)
-    bounded = df.crossJoin(F.broadcast(outlier_bounds(df, columns, method)))
-    inside = {c: F.when(number(c).between(F.col(f"lo_{i}"), F.col(f"hi_{i}")), number(c)) for c, i in at.items()}
-    cut = bounded.select(*_replaced(df, inside), F.col("any_outlier").alias("_any_outlier"))
+    wide, stat = _with_stats(df, outlier_bounds(df, columns, method) if bounds is None else bounds)
+    inside = {c: F.when(number(c).between(stat(f"lo_{i}"), stat(f"hi_{i}")), number(c)) for c, i in at.items()}
+    cut = wide.select(*_replaced(df, inside), stat("any_outlier").alias("_any_outlier"))
     some_value = F.coalesce(*[F.when(col(c).isNotNull(), True) for c in df.columns], F.lit(False))
     return cut.where(~F.col("_any_outlier") | some_value).drop("_any_outlier")
 
@@ -139,12 +167,13 @@ def near_text_dedup(
     return pick_rows(with_key, ["_key"], order_by).drop("_key")
 
 
+def semantic_forms(df: DataFrame) -> dict:
+    """{column: Column -> Column} for the phone, email and date text columns, by name."""
+    forms = {"phone": phone_digits, "email": email_text, "date": date_text}
+    found = {c: next((h for h in forms if hints.has_hint(c, hints.NAME_HINTS[h])), None) for c in string_columns(df)}
+    return {c: forms[h] for c, h in found.items() if h}
+
+
 def normalize_semantic(df: DataFrame) -> DataFrame:
     """Phones, emails and dates in text columns of that name brought to one form."""
-    new = {}
-    for c in string_columns(df):
-        for hint, form in (("phone", phone_digits), ("email", email_text), ("date", date_text)):
-            if hints.has_hint(c, hints.NAME_HINTS[hint]):
-                new[c] = form(col(c))
-                break
-    return df.select(*_replaced(df, new))
+    return df.select(*_replaced(df, {c: form(col(c)) for c, form in semantic_forms(df).items()}))

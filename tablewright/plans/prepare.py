@@ -5,8 +5,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.functions.text import trim_spaces
 from tablewright.operators import clean as ops
-from tablewright.operators.frames import beside, col, keyed, number, numeric_columns, percent, string_columns, to_long, union, wide_agg
+from tablewright.operators.frames import beside, col, keyed, number, numeric_columns, percent, string_columns, to_long
 from tablewright.operators.integrate import integrate
 from tablewright.operators.lineage import table_edges
 from tablewright.operators.mask import desensitize, mask_log
@@ -34,79 +35,90 @@ class CleanOptions:
     write_stages: bool = False
 
 
-def stages(df: DataFrame, o: CleanOptions) -> dict[str, DataFrame]:
-    """The table after each stage, in order; the last one is unmasked."""
-    keep = checkpointed if o.write_stages else (lambda d: d)
-    out = {"input": df}
-    out["filled"] = keep(ops.fill_missing(df, o.missing_strategy, method=o.method))
-    # the numeric columns of the input: filling has made them double
-    out["bounded"] = keep(ops.null_outliers(out["filled"], o.outlier_method, numeric_columns(df), o.method))
-    out["distinct"] = keep(ops.drop_duplicates(out["bounded"])) if o.dedup else out["bounded"]
-    out["trimmed"] = ops.trim_strings(out["distinct"]) if o.normalize else out["distinct"]
-    if o.semantic:
-        out["near_distinct"] = keep(ops.near_text_dedup(out["trimmed"], o.text_columns, o.order_by))
-        out["normalized"] = ops.normalize_semantic(out["near_distinct"])
-    return out
+class Stages:
+    """The table after each stage of a clean; the last one is unmasked.
+
+    The two statistics the chain rests on, fill values and fences, are fitted once: each is one
+    row, fetched when the chain is built, so no later stage computes it again.
+    """
+
+    def __init__(self, df: DataFrame, options: CleanOptions | None = None):
+        o = self.options = options or CleanOptions()
+        keep = checkpointed if o.write_stages else (lambda d: d)
+        numbers = numeric_columns(df)
+        self.slots = keyed(numbers, df.columns)
+        self.input = df
+        fills = ops.fit(ops.fill_values(df, numbers, o.missing_strategy, o.method)) if numbers else {}
+        self.filled = keep(ops.fill_missing(df, o.missing_strategy, numbers, o.method, fills))
+        self.bounds = None
+        if o.outlier_method == "iqr" and numbers:
+            self.bounds = ops.fit(ops.outlier_bounds(self.filled, numbers, o.method))
+        self.bounded = ops.null_outliers(self.filled, o.outlier_method, numbers, o.method, self.bounds)
+        self.distinct = keep(ops.drop_duplicates(self.bounded)) if o.dedup else self.bounded
+        self.trimmed = ops.trim_strings(self.distinct) if o.normalize else self.distinct
+        self.near_distinct = self.last = self.trimmed
+        if o.semantic:
+            self.near_distinct = keep(ops.near_text_dedup(self.trimmed, o.text_columns, o.order_by))
+            self.last = ops.normalize_semantic(self.near_distinct)
 
 
 def clean(df: DataFrame, options: CleanOptions | None = None) -> DataFrame:
     """Fill, bound, de-duplicate, trim; on demand near-text duplicates, normalisation, masking."""
-    o = options or CleanOptions()
-    cleaned = list(stages(df, o).values())[-1]
-    return desensitize(cleaned, o.desensitize, o.salt, o.overrides) if o.desensitize else cleaned
+    return _masked(Stages(df, options))
 
 
-def _count(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias(name))
+def _masked(s: Stages) -> DataFrame:
+    o = s.options
+    return desensitize(s.last, o.desensitize, o.salt, o.overrides) if o.desensitize else s.last
 
 
-def _changed(before: DataFrame, after: DataFrame) -> Column:
-    """Cells that normalisation changes, over ``before`` (the rows are the same)."""
-    from tablewright.functions import hints
-    from tablewright.functions.text import date_text, email_text, phone_digits
-
-    total = F.lit(0)
-    for c in string_columns(before):
-        for hint, form in (("phone", phone_digits), ("email", email_text), ("date", date_text)):
-            if hints.has_hint(c, hints.NAME_HINTS[hint]):
-                total = total + F.count_if(form(col(c)) != col(c))
-                break
-    return total
+def _normalized_cells(before: DataFrame) -> Column:
+    """Cells that normalisation changes."""
+    forms = {c: form(col(c)) for c, form in ops.semantic_forms(before).items()}
+    return sum((F.count_if(new != col(c)) for c, new in forms.items()), F.lit(0))
 
 
 def clean_report(df: DataFrame, options: CleanOptions | None = None) -> DataFrame:
     """(op, column, detail, n, pct): rows before, after and removed, cells or rows per operation."""
-    o = options or CleanOptions()
-    at = keyed(numeric_columns(df), df.columns)
-    s = stages(df, o)
-    last = list(s.values())[-1]
-    nulls = lambda d, name: wide_agg(d, [sum((F.count_if(col(c).isNull()) for c in at), F.lit(0)).alias(name)])
-    frames = [_count(df, "before"), nulls(df, "nulls_before"), nulls(s["filled"], "nulls_after"), _count(last, "after")]
-    if at and o.outlier_method == "iqr":
-        bounds = ops.outlier_bounds(s["filled"], list(at), o.method)
-        outside = sum((F.count_if(~number(c).between(F.col(f"lo_{i}"), F.col(f"hi_{i}"))) for c, i in at.items()), F.lit(0))
-        frames.append(s["filled"].crossJoin(F.broadcast(bounds)).agg(outside.alias("outliers")))
-    if o.dedup:
-        frames += [_count(s["bounded"], "bounded"), _count(s["distinct"], "distinct")]
-    if o.normalize:
-        cells = [F.col(f"trimmed_{df.columns.index(c)}") for c in string_columns(df)]
-        frames.append(ops.trim_counts(s["distinct"]).select(sum(cells, F.lit(0)).alias("trimmed")))
+    return _report(Stages(df, options))
+
+
+def _report(s: Stages) -> DataFrame:
+    o, at = s.options, s.slots
+    rows = F.count(F.lit(1))
+    nulls = sum((F.count_if(col(c).isNull()) for c in at), F.lit(0))
+    outside = F.lit(0)
+    if s.bounds:
+        low_high = {c: (s.bounds[f"lo_{i}"], s.bounds[f"hi_{i}"]) for c, i in at.items()}
+        outside = sum((F.count_if(~number(c).between(*ends)) for c, ends in low_high.items()), F.lit(0))
+    texts = string_columns(s.distinct)
+    trims = sum((F.count_if(trim_spaces(col(c)) != col(c)) for c in texts), F.lit(0)) if o.normalize else F.lit(0)
+    frames = [
+        s.input.agg(rows.alias("before"), nulls.alias("nulls_before")),
+        s.filled.agg(nulls.alias("nulls_after"), outside.alias("outliers")),
+        s.bounded.agg(rows.alias("bounded")),
+        s.distinct.agg(rows.alias("distinct"), trims.alias("trimmed")),
+    ]
+    after = F.col("distinct")
     if o.semantic:
-        frames += [_count(s["trimmed"], "trimmed_rows"), _count(s["near_distinct"], "near_rows")]
-        frames.append(s["near_distinct"].agg(_changed(s["near_distinct"], s["normalized"]).alias("normalized")))
-    n = {f.columns[0]: F.col(f.columns[0]) for f in frames}
-    removed = n["before"] - n["after"]
-    entries = [("rows_before", "", n["before"]), ("rows_after", "", n["after"]), ("rows_removed", "", removed)]
-    entries.append(("fill_missing", o.missing_strategy, n["nulls_before"] - n["nulls_after"]))
-    if "outliers" in n:
-        entries.append(("remove_outliers", "iqr", n["outliers"]))
+        frames.append(s.near_distinct.agg(rows.alias("near"), _normalized_cells(s.near_distinct).alias("normalized")))
+        after = F.col("near")
+    removed = F.col("before") - after
+    entries = [
+        ("rows_before", "", F.col("before")),
+        ("rows_after", "", after),
+        ("rows_removed", "", removed),
+        ("fill_missing", o.missing_strategy, F.col("nulls_before") - F.col("nulls_after")),
+    ]
+    if s.bounds:
+        entries.append(("remove_outliers", "iqr", F.col("outliers")))
     if o.dedup:
-        entries.append(("dedup", "", n["bounded"] - n["distinct"]))
+        entries.append(("dedup", "", F.col("bounded") - F.col("distinct")))
     if o.normalize:
-        entries.append(("normalize_strings", "", n["trimmed"]))
+        entries.append(("normalize_strings", "", F.col("trimmed")))
     if o.semantic:
-        entries.append(("semantic_dedup", "text_key", n["trimmed_rows"] - n["near_rows"]))
-        entries.append(("semantic_normalize", "rule_based", n["normalized"]))
+        entries.append(("semantic_dedup", "text_key", F.col("distinct") - F.col("near")))
+        entries.append(("semantic_normalize", "rule_based", F.col("normalized")))
     report = to_long(
         beside(frames),
         [
@@ -115,30 +127,29 @@ def clean_report(df: DataFrame, options: CleanOptions | None = None) -> DataFram
                 "column": F.lit("*"),
                 "detail": F.lit(detail),
                 "n": value.cast("bigint"),
-                "pct": percent(removed, n["before"]) if op == "rows_removed" else F.lit(None).cast("double"),
+                "pct": percent(removed, F.col("before")) if op == "rows_removed" else F.lit(None).cast("double"),
             }
             for op, detail, value in entries
         ],
     )
     if not o.desensitize:
         return report
-    masks = mask_log(last, o.desensitize, o.salt, o.overrides).withColumn("pct", F.lit(None).cast("double"))
+    masks = mask_log(s.last, o.desensitize, o.salt, o.overrides).withColumn("pct", F.lit(None).cast("double"))
     return report.unionByName(masks)
 
 
 def clean_and_assess(df: DataFrame, source: str, as_of: str, options: CleanOptions | None = None) -> dict[str, DataFrame]:
-    """Cleaned table with its report, scores, repair tiers and snapshot, all lazy.
+    """Cleaned table with its report, scores, repair tiers and snapshot.
 
     Scores and tiers look at the cleaned, unmasked table.
     """
-    o = options or CleanOptions()
-    unmasked = list(stages(df, o).values())[-1]
+    s = Stages(df, options)
     return {
-        "data": desensitize(unmasked, o.desensitize, o.salt, o.overrides) if o.desensitize else unmasked,
-        "report": clean_report(df, o),
-        "scores": quality_scores(unmasked, as_of, o.method),
-        "tiers": repair_tiers(df, o.method),
-        "snapshot": snapshot(df, unmasked, source, as_of),
+        "data": _masked(s),
+        "report": _report(s),
+        "scores": quality_scores(s.last, as_of, s.options.method),
+        "tiers": repair_tiers(df, s.options.method),
+        "snapshot": snapshot(df, s.last, source, as_of),
     }
 
 
