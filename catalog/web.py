@@ -1 +1,175 @@
-"""Queries."""
+"""Pages, URLs, payloads, and the chain and contract of steps."""
+
+from pyspark.sql import functions as F
+
+from catalog.inputs import MIXED, ORDERS, frame, q_trim, table, with_src
+from catalog.registry import query
+from tablewright.functions import hints, urls
+from tablewright.operators import clean, pages
+from tablewright.plans import chain
+
+# text between tags, without scripts, styles and comments; the entities the pages use are put back
+_TEXT = r"regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', chr(10), 'gs'), '<!--.*?-->', chr(10), 'gs'), '<[^>]*>', chr(10), 'g')"
+_UNESCAPED = "line"
+for _name, _mark in (("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("nbsp", "chr(160)"), ("copy", "'©'"), ("middot", "'·'"), ("amp", "'&'")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '&{_name};', {_mark})"
+_LINES = f"""SELECT page_id, content FROM (SELECT page_id, {q_trim(_UNESCAPED)} AS content FROM (SELECT page_id, unnest(string_split({_TEXT}, chr(10))) AS line FROM pages)) WHERE content <> ''"""
+
+
+@query("w1_text_lines", f"SELECT page_id, content, count(*) AS n FROM ({_LINES}) GROUP BY ALL")
+def w1(spark, sf):
+    lines = pages.text_lines(table(spark, sf, "pages"), keep=["page_id"])
+    return lines.groupBy("page_id", "content").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINKS = """SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS link,
+    unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS label FROM pages"""
+
+
+@query("w2_extract_containers", f"SELECT page_id, link, replace(label, '&amp;', '&') AS label FROM ({_LINKS})")
+def w2(spark, sf):
+    rules = [
+        {"name": "link", "container": "nav li", "selector": "a", "attr": "href"},
+        {"name": "label", "selector": "a", "attr": "text"},
+    ]
+    return pages.extract_rows(table(spark, sf, "pages"), rules, keep=["page_id"]).drop("row")
+
+
+@query(
+    "w3_extract_columns",
+    rf"""SELECT page_id, link, CASE WHEN place = 1 THEN title ELSE '' END AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS link,
+        unnest(range(1, len(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) + 1)) AS place,
+        {q_trim("replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS title FROM pages)""",
+)
+def w3(spark, sf):
+    rules = [{"name": "link", "selector": "li a", "attr": "href"}, {"name": "title", "selector": "article h1"}]
+    return pages.extract_rows(table(spark, sf, "pages"), rules, keep=["page_id"]).drop("row")
+
+
+@query(
+    "w4_attribute_values",
+    r"""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset, '' AS missing FROM pages""",
+)
+def w4(spark, sf):
+    rules = [
+        {"name": "lang", "container": "html", "selector": "", "attr": "lang"},
+        {"name": "charset", "selector": "head meta", "attr": "charset"},
+        {"name": "missing", "selector": ".ad", "attr": "data-none"},
+    ]
+    return pages.extract_rows(table(spark, sf, "pages"), rules, keep=["page_id"]).drop("row")
+
+
+@query(
+    "w5_paged_urls",
+    """WITH src AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN concat(url, '&p={page}') ELSE url END AS url, page_id % 4 AS last FROM pages)
+    SELECT page_id, n AS page_number, CASE WHEN contains(url, '{page}') THEN replace(url, '{page}', n::VARCHAR)
+        ELSE concat(url, CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'page=', n) END AS page_url
+    FROM (SELECT *, unnest(range(1, last + 1)) AS n FROM src)""",
+)
+def w5(spark, sf):
+    patterns = table(spark, sf, "pages").select(
+        "page_id",
+        F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("&p={page}"))).otherwise(F.col("url")).alias("url"),
+        (F.col("page_id") % 4).alias("last"),
+    )
+    return pages.paged_urls(patterns, start=F.lit(1).cast("bigint"), end=F.col("last")).select("page_id", "page_number", "page_url")
+
+
+# payloads of every shape: a list under two keys, a bare list, one object
+_SHAPES = """SELECT event_id, CASE event_id % 4
+    WHEN 0 THEN concat('{"data": [', item, ', ', item, ']}') WHEN 1 THEN concat('{"total": 1, "results": [', item, ']}')
+    WHEN 2 THEN concat('[', item, ', ', item, ', ', item, ']') ELSE item END AS payload, n, event_type, k
+    FROM (SELECT event_id, event_type, concat('{"kind": "', event_type, '", "k": ', k, '}') AS item, k, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 1 END AS n
+        FROM (SELECT event_id, event_type, regexp_extract(props, '([0-9]+)', 1) AS k FROM events) AS p) AS e"""
+
+
+def _payloads(spark, sf):
+    table(spark, sf, "events").createOrReplaceTempView("events")
+    return spark.sql(_SHAPES).select("event_id", "payload")
+
+
+@query("w6_payload_rows", f"SELECT event_id, unnest(range(n)) AS \"row\", event_type AS kind, k FROM ({_SHAPES})")
+def w6(spark, sf):
+    return pages.payload_rows(_payloads(spark, sf), "payload", fields=["kind", "k"])
+
+
+@query("w6_payload_positional", f"SELECT event_id, unnest(range(n)) AS \"row\", event_type AS field_0, k AS field_1 FROM ({_SHAPES})")
+def w6_positional(spark, sf):
+    return pages.payload_rows(_payloads(spark, sf), "payload", positional=2)
+
+
+# page addresses, some moved to known hosts, API hosts, share links and unsafe targets
+_URLS = """SELECT page_id, CASE page_id % 14 WHEN 0 THEN replace(url, 'https://', 'https://www.zhihu.com/') WHEN 1 THEN concat('https://m.toutiao.com/article/', CAST(page_id AS STRING), '/?share=1')
+    WHEN 2 THEN concat('https://api.example.com/', CAST(page_id AS STRING)) WHEN 3 THEN concat(url, '.json') WHEN 4 THEN concat('http://127.0.0.1:80', CAST(page_id AS STRING), '/')
+    WHEN 5 THEN concat('http://192.168.', CAST(page_id % 250 AS STRING), '.1/x') WHEN 6 THEN concat('ftp://example.com/', CAST(page_id AS STRING)) WHEN 7 THEN concat('http://user@10.0.0.', CAST(page_id % 250 AS STRING))
+    WHEN 8 THEN concat('https://example.com/api/v', CAST(page_id AS STRING)) WHEN 9 THEN concat('http://[::1]/', CAST(page_id AS STRING)) WHEN 10 THEN concat('https://space.bilibili.com/', CAST(page_id AS STRING)) ELSE url END AS url FROM {pages}"""
+_HOST = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
+_PLATFORM = "CASE " + " ".join(f"WHEN contains({_HOST}, '{k}') THEN '{v}'" for k, v in hints.PLATFORM_HOSTS.items()) + " END"
+
+
+@query("w7_platform", with_src(_URLS, f"SELECT page_id, url, {_PLATFORM} AS platform FROM src"))
+def w7(spark, sf):
+    return frame(spark, sf, _URLS).select("page_id", "url", urls.platform(F.col("url")).alias("platform"))
+
+
+@query(
+    "w8_fetch_mode",
+    with_src(_URLS, f"""SELECT page_id, CASE WHEN {_PLATFORM} IS NOT NULL THEN 'autocli' WHEN contains(url, '/api/') OR starts_with({_HOST}, 'api.') OR ends_with(url, '.json') THEN 'api' ELSE 'static' END AS mode FROM src"""),
+)
+def w8(spark, sf):
+    return frame(spark, sf, _URLS).select("page_id", urls.fetch_mode(F.col("url")).alias("mode"))
+
+
+@query(
+    "w9_canonical_article",
+    with_src(_URLS, "SELECT page_id, CASE WHEN regexp_matches(url, '/article/[0-9]+') THEN concat('https://www.toutiao.com/article/', regexp_extract(url, '/article/([0-9]+)', 1), '/') ELSE url END AS url FROM src"),
+)
+def w9(spark, sf):
+    return frame(spark, sf, _URLS).select("page_id", urls.canonical_article(F.col("url")).alias("url"))
+
+
+_TALLIED = "SELECT page_id, CASE WHEN page_id % 25 = 0 THEN NULL WHEN page_id % 25 = 1 THEN '<script>x</script>' ELSE html END AS html FROM {pages}"
+
+
+@query(
+    "w10_crawl_tally",
+    f"""WITH good AS (SELECT page_id, count(*) AS n FROM ({_LINES}) WHERE page_id % 25 > 1 GROUP BY page_id)
+    SELECT (SELECT count(*) FROM pages) AS total_pages, count(*) AS pages_ok, (SELECT count(*) FROM pages) - count(*) AS pages_fail, CAST(sum(n) AS BIGINT) AS total_rows FROM good""",
+)
+def w10(spark, sf):
+    return pages.crawl_tally(frame(spark, sf, _TALLIED))
+
+
+@query(
+    "w11_safe_urls",
+    with_src(_URLS, r"""SELECT page_id, url FROM src WHERE regexp_matches(url, '^https?://') AND NOT regexp_matches(regexp_replace(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^.*@', ''), '^\[', ''),
+        '^(127\.|10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|169\.254\.|0\.|::1|fe80:|fc00:)')"""),
+)
+def w11(spark, sf):
+    return frame(spark, sf, _URLS).where(urls.is_safe(F.col("url")))
+
+
+_STEPS = {
+    "dedup": clean.drop_duplicates,
+    "trim": clean.trim_strings,
+    "per_status": lambda df: df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count("o_totalprice").alias("priced")),
+}
+
+
+@query("x1_chain", with_src(ORDERS, "SELECT o_orderstatus, count(*) AS n, count(o_totalprice) AS priced FROM (SELECT DISTINCT * FROM src) GROUP BY ALL"))
+def x1(spark, sf):
+    return chain.run_chain(frame(spark, sf, ORDERS), ["dedup", "trim", "per_status"], _STEPS)
+
+
+@query(
+    "x2_input_contract",
+    with_src(MIXED, r"""SELECT 'missing_field' AS "column", 'missing' AS issue, count(*) AS n FROM src
+        UNION ALL SELECT 'reading', 'not integer', count_if(NOT regexp_matches(reading, '^[0-9]+$')) FROM src
+        UNION ALL SELECT 'event_type', 'not number', count(*) FROM src"""),
+)
+def x2(spark, sf):
+    schema = {
+        "properties": {"event_id": {"type": "integer"}, "reading": {"type": "integer"}, "event_type": {"type": "number"}, "user_no": {"type": "integer"}},
+        "required": ["event_id", "missing_field"],
+    }
+    return chain.input_violations(frame(spark, sf, MIXED), schema)

@@ -7,7 +7,7 @@ from tablewright.functions import hints
 from tablewright.functions.masking import masked
 from tablewright.functions.text import is_blank
 from tablewright.operators.frames import col, string_columns, text, to_long, union, wide_agg
-from tablewright.operators.joins import attach
+from tablewright.operators.joins import BROADCAST_BYTES, attach
 from tablewright.session import checkpointed
 
 
@@ -75,17 +75,46 @@ def token_dictionary(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     )
 
 
-def tokenize(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Each personal value replaced by its token; equal values of a kind share one token."""
+def tokenize(df: DataFrame, kinds: dict[str, str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Each personal value replaced by its token; equal values of a kind share one token.
+
+    A dictionary whose measured size is small is broadcast, once per column. A larger one meets
+    all cells of all columns in one join, after which the cells go back to their rows by row id.
+    """
     if not kinds:
         return df
     tokens = token_dictionary(df, kinds)
+    size = tokens.agg(F.sum(F.octet_length("value") + F.octet_length("token") + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        return _tokens_by_broadcast(df, kinds, tokens)
+    return _tokens_by_cells(df, kinds, tokens)
+
+
+def _tokens_by_broadcast(df, kinds, tokens):
     out = df
     for i, (c, kind) in enumerate(kinds.items()):
         lookup = tokens.where(F.col("kind") == kind).select(F.col("value").alias(f"_v{i}"), F.col("token").alias(f"_t{i}"))
-        out = attach(out.withColumn(f"_v{i}", text(c)), lookup, f"_v{i}", "left")
+        out = out.join(F.broadcast(lookup), text(c) == F.col(f"_v{i}"), "left")
+    return out.select(*_with_tokens(df, kinds))
+
+
+def _with_tokens(df, kinds):
     replaced = {c: F.coalesce(F.col(f"_t{i}"), text(c)).alias(c) for i, c in enumerate(kinds)}
-    return out.select(*[replaced.get(c, col(c)) for c in df.columns])
+    return [replaced.get(c, col(c)) for c in df.columns]
+
+
+def _tokens_by_cells(df, kinds, tokens):
+    # the row ids must not change between the two uses of the table, so it is written once
+    rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+    key = lambda kind, value: F.concat(kind, F.lit("\0"), value)
+    pairs = [e for i, (c, kind) in enumerate(kinds.items()) for e in (F.lit(i), key(F.lit(kind), text(c)))]
+    cells = rows.select("_row", F.stack(F.lit(len(kinds)), *pairs).alias("_slot", "_cell")).where("_cell IS NOT NULL")
+    lookup = tokens.select(key(F.col("kind"), F.col("value")).alias("_cell"), "token")
+    found = attach(cells, lookup, "_cell", "inner", broadcast_bytes=0)
+    by_row = found.groupBy("_row").agg(
+        *[F.max(F.when(F.col("_slot") == i, F.col("token"))).alias(f"_t{i}") for i in range(len(kinds))]
+    )
+    return rows.join(by_row, "_row", "left").select(*_with_tokens(df, kinds))
 
 
 def mask_log(

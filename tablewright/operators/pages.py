@@ -9,7 +9,7 @@ from tablewright.functions import hints, html
 from tablewright.operators.frames import col
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _lines(pages: pd.Series) -> pd.Series:
     return pages.map(html.text_lines)
 
@@ -33,7 +33,7 @@ def extract_rows(df: DataFrame, rules: list[dict], page: str = "html", keep: lis
     """
     keep = [c for c in df.columns if c != page] if keep is None else keep
 
-    @F.pandas_udf("array<array<string>>")
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def rows_of(pages: pd.Series) -> pd.Series:
         return pages.map(lambda p: html.extract(p, rules))
 
