@@ -36,15 +36,14 @@ def digits_of(c: Column) -> Column:
 
 def text_key(c: Column) -> Column:
     """Comparison key: lower case, no punctuation, single blanks, common words abbreviated."""
-    key = F.lower(trim_spaces(c))
-    key = F.regexp_replace(key, rf"(?U)[^\p{{L}}\p{{N}}_\s\x1c-\x1f]", "")
-    key = trim_spaces(F.regexp_replace(key, rf"(?U){_SPACE}+", " "))
-    any_word = rf"(?U)\b({'|'.join(hints.ABBREVIATIONS)})\b"
+    key = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]+", "")
+    key = F.trim(F.regexp_replace(key, r"[\s\x0b\x1c-\x1f\x85\p{Z}]+", " "))
+    # few texts hold any of the words: plain searches decide whether the rewrites run
+    has_word = reduce(lambda a, b: a | b, [key.contains(w) for w in hints.ABBREVIATIONS])
     short = reduce(
         lambda k, w: F.regexp_replace(k, rf"(?U)\b{w[0]}\b", w[1]), hints.ABBREVIATIONS.items(), key
     )
-    # most texts hold none of the words: one test instead of ten rewrites
-    return F.when(key.rlike(any_word), short).otherwise(key)
+    return F.when(has_word, short).otherwise(key)
 
 
 def phone_digits(c: Column) -> Column:

@@ -13,7 +13,7 @@ Both give the same numbers. Spark's own ``percentile`` is not used: it keeps all
 of a column in one task's memory.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.frames import beside, chunked, keyed, number, union
@@ -59,23 +59,27 @@ def _coarse(x: Column) -> Column:
     return F.when(F.abs(x) < F.lit(1e290), rounded).otherwise(x)
 
 
-def _wanted(stats, n: Column):
-    """(stat, lower or upper neighbour, rank) for a column of n values."""
+def _wanted(stats) -> str:
+    """Structs (stat, rank) for a column of ``total`` values; an interpolated stat asks for two."""
     out = []
     for name, (a, b, linear) in stats.items():
         if linear:
-            low = F.floor((n - 1) * a / F.lit(b)).cast("bigint")
-            out.append((name + "_lo", low))
-            out.append((name + "_hi", F.least(low + 1, n - 1)))
+            low = f"CAST(floor((total - 1) * {a} / {b}) AS BIGINT)"
+            out.append(f"named_struct('stat', '{name}_lo', 'rank', {low})")
+            out.append(f"named_struct('stat', '{name}_hi', 'rank', least({low} + 1, total - 1))")
         else:
-            out.append((name, F.floor(n * a / F.lit(b)).cast("bigint")))
-    return out
+            out.append(f"named_struct('stat', '{name}', 'rank', CAST(floor(total * {a} / {b}) AS BIGINT))")
+    return ", ".join(out)
 
 
-def _located(buckets: DataFrame, keys: list[str]) -> DataFrame:
-    """Buckets with the number of values in earlier buckets of the same key."""
-    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return buckets.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+def _before(keys: str) -> str:
+    """How many values lie in the earlier buckets of the same key."""
+    rows = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"coalesce(sum(n) OVER (PARTITION BY {keys} ORDER BY bucket {rows}), 0) AS before"
+
+
+_HOLDS_RANK = "rank >= before AND rank < before + n"
+_TARGET = ("slot", "stat", "total", "rank - before AS rank", "lo", "hi")
 
 
 def _bucket_measures():
@@ -86,36 +90,28 @@ def _ranked(df, columns, stats, slots, method):
     cells = _cells(df, columns, slots)
     bucket = F.col("x") if method == "values" else _coarse(F.col("x"))
     buckets = cells.groupBy("slot", bucket.alias("bucket")).agg(*_bucket_measures())
-    buckets = _located(buckets, ["slot"]).withColumn("total", F.sum("n").over(Window.partitionBy("slot")))
-    wanted = F.array(
-        *[F.struct(F.lit(s).alias("stat"), r.alias("rank")) for s, r in _wanted(stats, F.col("total"))]
-    )
-    targets = (
-        buckets.select("slot", "lo", "hi", "n", "before", "total", F.inline(wanted))
-        .where("rank >= before AND rank < before + n")
-        .select("slot", "stat", "total", (F.col("rank") - F.col("before")).alias("rank"), "lo", "hi")
+    buckets = buckets.selectExpr(
+        "slot", "lo", "hi", "n", _before("slot"), "sum(n) OVER (PARTITION BY slot) AS total"
     )
+    targets = buckets.selectExpr("slot", "total", "before", "n", "lo", "hi", f"inline(array({_wanted(stats)}))")
+    targets = targets.where(_HOLDS_RANK).selectExpr(*_TARGET)
     if method == "buckets":
         settled = []
         for _ in range(2):
             settled.append(targets.where("lo = hi"))  # one value left: no further round for it
             targets = _narrowed(cells, targets.where("lo < hi"))
         targets = union([*settled, targets])
-    pick = lambda stat, slot: F.max(
-        F.when((F.col("stat") == stat) & (F.col("slot") == slot), F.col("lo"))
-    )
-    count = lambda slot: F.max(F.when(F.col("slot") == slot, F.col("total")))
     measures = []
     for c in columns:
         i = slots[c]
+        pick = lambda stat, i=i: f"max(CASE WHEN slot = {i} AND stat = '{stat}' THEN lo END)"
         for name, (a, b, linear) in stats.items():
+            value = pick(name)
             if linear:
-                low, high = pick(name + "_lo", i), pick(name + "_hi", i)
-                at = (count(i) - 1) * a / F.lit(b)
-                value = low + (at - F.floor(at)) * (high - low)
-            else:
-                value = pick(name, i)
-            measures.append(value.alias(f"{name}_{i}"))
+                low, high = pick(name + "_lo"), pick(name + "_hi")
+                at = f"((max(CASE WHEN slot = {i} THEN total END) - 1) * {a} / {b})"
+                value = f"{low} + ({at} - floor({at})) * ({high} - {low})"
+            measures.append(F.expr(f"{value} AS {name}_{i}"))
     return targets.agg(*measures)
 
 
@@ -128,11 +124,8 @@ def _narrowed(cells: DataFrame, targets: DataFrame) -> DataFrame:
     part = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _SPLIT)
     keys = ["slot", "stat", "total", "rank"]
     parts = inside.groupBy(*keys, part.cast("bigint").alias("bucket")).agg(*_bucket_measures())
-    return (
-        _located(parts, ["slot", "stat"])
-        .where("rank >= before AND rank < before + n")
-        .select("slot", "stat", "total", (F.col("rank") - F.col("before")).alias("rank"), "lo", "hi")
-    )
+    located = parts.selectExpr(*keys, "n", "lo", "hi", _before("slot, stat"))
+    return located.where(_HOLDS_RANK).selectExpr(*_TARGET)
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:

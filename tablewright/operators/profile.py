@@ -132,18 +132,34 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return copies.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(slot, value, n): how often each value occurs in each column, values as text.
+def _counting_type(kind: T.DataType) -> str:
+    """Type under which a column's values are counted: native for whole and double numbers, else text."""
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    return "double" if isinstance(kind, T.DoubleType) else "string"
+
+
+def _typed_counts(df: DataFrame, columns: list[str]) -> list[DataFrame]:
+    """(slot, value, n) per group of columns of one type.
 
     Counted inside each map task first, so a frequent value crosses the shuffle once per task.
     """
     at = keyed(columns, df.columns)
+    groups: dict[str, list[str]] = {}
+    for c in columns:
+        groups.setdefault(_counting_type(df.schema[c].dataType), []).append(c)
     parts = []
-    for names in chunked(columns):
-        pairs = [e for c in names for e in (F.lit(at[c]), text(c))]
-        cells = df.select(F.stack(F.lit(len(names)), *pairs).alias("slot", "value")).where("value IS NOT NULL")
-        parts.append(cells.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")))
-    return union(parts)
+    for kind, members in groups.items():
+        for names in chunked(members):
+            pairs = [e for c in names for e in (F.lit(at[c]), col(c).cast(kind))]
+            cells = df.select(F.stack(F.lit(len(names)), *pairs).alias("slot", "value")).where("value IS NOT NULL")
+            parts.append(cells.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")))
+    return parts
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(slot, value, n): how often each value occurs in each column, the values as text."""
+    return union([part.withColumn("value", F.col("value").cast("string")) for part in _typed_counts(df, columns)])
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -151,7 +167,10 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     slots = keyed(columns, df.columns).values()
     if not columns:
         return df.sparkSession.range(1).select(F.lit(0).alias("no_values"))
-    return value_counts(df, columns).agg(*[F.count_if(F.col("slot") == i).alias(f"distinct_{i}") for i in slots])
+    per_slot = union([part.groupBy("slot").agg(F.count(F.lit(1)).alias("d")) for part in _typed_counts(df, columns)])
+    return per_slot.agg(
+        *[F.expr(f"coalesce(max(CASE WHEN slot = {i} THEN d END), 0) AS distinct_{i}") for i in slots]
+    )
 
 
 def clean_profile(df: DataFrame, method: str = "auto") -> DataFrame:

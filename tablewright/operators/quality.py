@@ -126,7 +126,7 @@ def below_threshold(scores: DataFrame, thresholds: dict[str, float] | None = Non
 def repair_tiers(df: DataFrame, method: str = "auto") -> DataFrame:
     """(column, issue, severity, n, pct, action): who repairs what — auto, rule or manual."""
     profile = column_profile(df, method)
-    pct = F.col("nulls") * 100.0 / F.col("rows")
+    pct = F.try_divide(F.col("nulls") * 100.0, F.col("rows"))
     fill = F.when(F.col("column").isin(hints.MODE_FILLED_COLUMNS), "fill_mode").otherwise("fill_median")
     nulls = profile.where("nulls > 0").select(
         "column",

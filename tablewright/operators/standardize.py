@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import hints
 from tablewright.functions.text import digits_of
-from tablewright.operators.frames import beside, col, string_columns, text, to_long, wide_agg
+from tablewright.operators.frames import beside, col, percent, string_columns, text, to_long, wide_agg
 from tablewright.operators.profile import row_counts
 from tablewright.operators.quality import date_value, maturity_level
 
@@ -135,7 +135,7 @@ def format_issues(df: DataFrame) -> DataFrame:
     records = []
     for c, (issue, _, advice) in checks.items():
         n = F.col(f"bad_{df.columns.index(c)}")
-        pct = F.round(n * 100.0 / F.col("rows"), 1)
+        pct = percent(n, F.col("rows"))
         records.append(
             {"column": F.lit(c), "issue": F.lit(issue), "severity": F.lit("warning"), "n": n, "pct": pct, "action": F.lit(advice)}
         )
