@@ -1,12 +1,12 @@
 """Governance: catalogue, tags, glossary, asset score, contracts, sensitivity, audit."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import hints
 from tablewright.functions.text import is_blank, matches
 from tablewright.operators.frames import beside, col, numeric_columns, percent, string_columns, text, to_long, wide_agg
-from tablewright.operators.profile import class_counts, duplicate_count, label_of, row_counts, value_counts
+from tablewright.operators.profile import distinct_counts, duplicate_count, label_of, lowest_values, row_counts
 from tablewright.operators.quality import first_date_column, one_class_columns, recent_share
 
 ASSET_DIMENSIONS = ["completeness", "accuracy", "uniqueness", "consistency", "freshness", "compliance", "documentation"]
@@ -37,19 +37,8 @@ def tags(df: DataFrame) -> DataFrame:
 def catalog(df: DataFrame, samples: int = 5) -> DataFrame:
     """Per field: display name, type, nullable, null share, distinct values, lowest samples, tags."""
     columns = df.columns
-    counts = value_counts(df, columns)
-    distinct = counts.agg(*[F.count_if(F.col("slot") == i).alias(f"distinct_{i}") for i in range(len(columns))])
-    # the rank limit is applied inside each map task too, so a task sends on at most ``samples`` values
-    rank = F.row_number().over(Window.partitionBy("slot").orderBy("value"))
-    lowest = (
-        counts.select("slot", "value")
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= samples)
-        .groupBy("slot")
-        .agg(F.concat_ws(" | ", F.array_sort(F.collect_list("value"))).alias("samples"))
-    )
     base = to_long(
-        beside([row_counts(df), distinct]),
+        beside([row_counts(df), distinct_counts(df, columns)]),
         [
             {
                 "slot": F.lit(i),
@@ -64,7 +53,7 @@ def catalog(df: DataFrame, samples: int = 5) -> DataFrame:
             for i, c in enumerate(columns)
         ],
     )
-    return base.join(F.broadcast(lowest), "slot", "left").drop("slot")  # one row per column
+    return base.join(F.broadcast(lowest_values(df, samples)), "slot", "left").drop("slot")  # one row per column
 
 
 def glossary(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
@@ -118,9 +107,7 @@ def asset_row(df: DataFrame, as_of: str, names: dict[str, str] | None = None) ->
     extra += [F.count_if(matches(text(c), p)).alias(f"good_{at[c]}") for c, p in accuracy.items()]
     extra += [F.count_if(matches(text(c), p)).alias(f"compliant_{at[c]}") for c, p in compliance.items()]
     strings = string_columns(df)
-    frames = [row_counts(df, extra), duplicate_count(df)]
-    if strings:
-        frames.append(class_counts(df, strings))
+    frames = [row_counts(df, extra, strings), duplicate_count(df)]
     rows, width = F.col("rows"), len(df.columns)
     filled = sum((F.col(f"filled_{i}") for i in range(width)), F.lit(0))
     share = lambda part, whole: F.try_divide(part.cast("double"), whole.cast("double")) * 100
@@ -197,23 +184,13 @@ def check_contract(df: DataFrame) -> DataFrame:
         for c, rule, _ in rules
         if rule != "unique"
     ]
-    frames = [row_counts(df, broken)]
-    if unique:
-        counts = value_counts(df, unique)
-        frames.append(
-            counts.agg(
-                *[
-                    F.coalesce(F.sum(F.when(F.col("slot") == df.columns.index(c), F.col("n") - 1)), F.lit(0)).alias(f"extra_{df.columns.index(c)}")
-                    for c in unique
-                ]
-            )
-        )
+    frames = [row_counts(df, broken), distinct_counts(df, unique)]
     records = []
     valid = F.lit(True)
     for c in unique:
-        valid = valid & (F.col(f"extra_{df.columns.index(c)}") == 0)
+        valid = valid & (F.col(f"copies_{df.columns.index(c)}") == 0)
     for c, rule, severity in rules:
-        n = F.col(("extra_" if rule == "unique" else "broken_") + str(df.columns.index(c)))
+        n = F.col(("copies_" if rule == "unique" else "broken_") + str(df.columns.index(c)))
         records.append({"column": F.lit(c), "rule": F.lit(rule), "severity": F.lit(severity), "n": n, "valid": valid})
     if not records:
         return df.sparkSession.createDataFrame([], "column string, rule string, severity string, n bigint, valid boolean")

@@ -1,6 +1,6 @@
 """Profiles of a table: type labels, nulls, value classes, outliers, duplicates, frequencies."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,8 @@ _LABELS = {
     "ingest": ("float", "null"), "clean": ("float", "null"), "bronze": ("float", "null"),
     "analyze": ("number", "null"), "govern": ("number", "unknown"),
 }
+LONG_TEXT = 64  # bytes
+PREFIX = 32  # characters
 VALUE_CLASSES = ["integer", "float", "boolean", "string"]
 
 
@@ -49,10 +51,18 @@ def label_of(df: DataFrame, name: str, non_null: Column, variant: str = "clean")
     return F.when(non_null == 0, empty).otherwise(declared_label(df.schema[name], variant))
 
 
-def row_counts(df: DataFrame, extra: list[Column] | None = None) -> DataFrame:
-    """One row: ``rows``, ``filled_{i}`` (non-null cells per column) and any extra measures."""
+def row_counts(df: DataFrame, extra: list[Column] | None = None, classes: list[str] | None = None) -> DataFrame:
+    """One row: ``rows``, ``filled_{i}`` (non-null cells per column) and any extra measures.
+
+    For the text columns in ``classes`` there is also ``{class}_{i}``, the cells per value class;
+    all of it is one pass over the table.
+    """
     filled = [F.count(col(c)).alias(f"filled_{i}") for i, c in enumerate(df.columns)]
-    return wide_agg(df, [F.count(F.lit(1)).alias("rows"), *filled, *(extra or [])])
+    at = keyed(classes or [], df.columns)
+    # the class of a cell is worked out once, then counted four times
+    kinds = df.select(*[col(c) for c in df.columns], *[value_class(col(c)).alias(f"_kind_{i}") for c, i in at.items()])
+    per_class = [F.expr(f"count_if(_kind_{i} = '{k}') AS {k}_{i}") for i in at.values() for k in VALUE_CLASSES]
+    return wide_agg(kinds if at else df, [F.count(F.lit(1)).alias("rows"), *filled, *per_class, *(extra or [])])
 
 
 def _nulls(i: int) -> Column:
@@ -62,38 +72,42 @@ def _nulls(i: int) -> Column:
 def dtype_labels(df: DataFrame, variant: str = "ingest", order_by: list[Column] | None = None) -> DataFrame:
     """Type label per column. On ingest a text column whose first value is a date is 'datetime';
     first is by ``order_by``, or the lowest value where no order is given."""
+    row, labels = _labelled(df, variant, order_by)
+    return to_long(row, [{"column": F.lit(c), "dtype": labels[c]} for c in df.columns])
+
+
+def _labelled(df, variant, order_by=None):
+    """Row counts, and the label of each column as an expression over them."""
+    dated = string_columns(df) if variant == "ingest" else []
+    order = [o.alias(f"o{k}") for k, o in enumerate(order_by or [])]
     extra = []
-    if variant == "ingest":
-        for c in string_columns(df):
-            first = F.min(F.when(col(c).isNotNull(), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order_by or [])], col(c).alias("v"))))
-            extra.append(parse_date(first["v"]).isNotNull().alias(f"date_{df.columns.index(c)}"))
-    records = []
+    for c in dated:
+        first = F.min(F.when(col(c).isNotNull(), F.struct(*order, col(c).alias("v"))))["v"]
+        extra.append(parse_date(first).isNotNull().alias(f"date_{df.columns.index(c)}"))
+    labels = {}
     for i, c in enumerate(df.columns):
-        label = label_of(df, c, F.col(f"filled_{i}"), variant)
-        if variant == "ingest" and c in string_columns(df):
-            label = F.when(F.coalesce(F.col(f"date_{i}"), F.lit(False)), "datetime").otherwise(label)
-        records.append({"column": F.lit(c), "dtype": label})
-    return to_long(row_counts(df, extra), records)
+        labels[c] = label_of(df, c, F.col(f"filled_{i}"), variant)
+        if c in dated:
+            labels[c] = F.when(F.coalesce(F.col(f"date_{i}"), F.lit(False)), "datetime").otherwise(labels[c])
+    return row_counts(df, extra), labels
 
 
 def source_profile(df: DataFrame, order_by: list[Column] | None = None) -> DataFrame:
-    """Column, type label, rows, nulls and null share of a source, all rows counted."""
-    counts = to_long(
-        row_counts(df),
+    """Column, type label, rows, nulls and null share of a source, all rows counted in one pass."""
+    row, labels = _labelled(df, "ingest", order_by)
+    return to_long(
+        row,
         [
-            {"column": F.lit(c), "rows": F.col("rows"), "nulls": _nulls(i), "null_pct": percent(_nulls(i), F.col("rows"))}
+            {
+                "column": F.lit(c),
+                "dtype": labels[c],
+                "rows": F.col("rows"),
+                "nulls": _nulls(i),
+                "null_pct": percent(_nulls(i), F.col("rows")),
+            }
             for i, c in enumerate(df.columns)
         ],
     )
-    labels = dtype_labels(df, "ingest", order_by)
-    return labels.join(F.broadcast(counts), "column").select("column", "dtype", "rows", "nulls", "null_pct")
-
-
-def class_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: ``{class}_{i}`` counts of value classes in text columns."""
-    at = keyed(columns, df.columns)
-    kinds = df.select(*[value_class(col(c)).alias(f"k{i}") for c, i in at.items()])
-    return wide_agg(kinds, [F.count_if(F.col(f"k{i}") == k).alias(f"{k}_{i}") for i in at.values() for k in VALUE_CLASSES])
 
 
 def class_mix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -107,7 +121,7 @@ def class_mix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             {"column": F.lit(c), "label": F.lit(k), "n": F.col(f"{k}_{i}"), "classes": used.cast("bigint")}
             for k in VALUE_CLASSES
         ]
-    return to_long(class_counts(df, columns), records)
+    return to_long(row_counts(df, classes=columns), records)
 
 
 def outlier_counts(df: DataFrame, columns: list[str] | None = None, method: str = "auto") -> DataFrame:
@@ -126,9 +140,16 @@ def outlier_counts(df: DataFrame, columns: list[str] | None = None, method: str
     return wide_agg(values, measures)
 
 
+def compact(c: Column) -> Column:
+    """A text for counting only: long ones stand as their SHA-256, so a shuffle carries no long texts."""
+    return F.when(F.octet_length(c) > LONG_TEXT, F.concat(F.lit("\0sha256:"), F.sha2(c, 256))).otherwise(c)
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: ``duplicates``, rows beyond the first of each equal row (nulls are equal)."""
-    copies = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    texts = set(string_columns(df))
+    keys = [(compact(col(c)) if c in texts else col(c)).alias(f"k{i}") for i, c in enumerate(df.columns)]
+    copies = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
     return copies.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
@@ -139,10 +160,11 @@ def _counting_type(kind: T.DataType) -> str:
     return "double" if isinstance(kind, T.DoubleType) else "string"
 
 
-def _typed_counts(df: DataFrame, columns: list[str]) -> list[DataFrame]:
-    """(slot, value, n) per group of columns of one type.
+def key_counts(df: DataFrame, columns: list[str]) -> list[DataFrame]:
+    """(slot, value, n) per group of columns of one type: how often each value occurs.
 
     Counted inside each map task first, so a frequent value crosses the shuffle once per task.
+    Long texts are counted by their digest.
     """
     at = keyed(columns, df.columns)
     groups: dict[str, list[str]] = {}
@@ -153,26 +175,48 @@ def _typed_counts(df: DataFrame, columns: list[str]) -> list[DataFrame]:
         for names in chunked(members):
             pairs = [e for c in names for e in (F.lit(at[c]), col(c).cast(kind))]
             cells = df.select(F.stack(F.lit(len(names)), *pairs).alias("slot", "value")).where("value IS NOT NULL")
-            parts.append(cells.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n")))
+            value = compact(F.col("value")) if kind == "string" else F.col("value")
+            parts.append(cells.groupBy("slot", value.alias("value")).agg(F.count(F.lit(1)).alias("n")))
     return parts
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(slot, value, n): how often each value occurs in each column, the values as text."""
-    return union([part.withColumn("value", F.col("value").cast("string")) for part in _typed_counts(df, columns)])
-
-
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: ``distinct_{i}`` non-null values of each column."""
+    """One row: ``distinct_{i}`` non-null values and ``copies_{i}`` repeated ones of each column."""
     slots = keyed(columns, df.columns).values()
     if not columns:
         return df.sparkSession.range(1).select(F.lit(0).alias("no_values"))
-    per_slot = union([part.groupBy("slot").agg(F.count(F.lit(1)).alias("d")) for part in _typed_counts(df, columns)])
+    count = [F.count(F.lit(1)).alias("d"), F.sum(F.col("n") - 1).alias("c")]
+    per_slot = union([part.groupBy("slot").agg(*count) for part in key_counts(df, columns)])
     return per_slot.agg(
-        *[F.expr(f"coalesce(max(CASE WHEN slot = {i} THEN d END), 0) AS distinct_{i}") for i in slots]
+        *[
+            F.expr(f"coalesce(max(CASE WHEN slot = {i} THEN {m} END), 0) AS {name}_{i}")
+            for i in slots
+            for name, m in (("distinct", "d"), ("copies", "c"))
+        ]
     )
 
 
+def lowest_values(df: DataFrame, n: int) -> DataFrame:
+    """(slot, values): the ``n`` lowest distinct values of each column as text, joined by ' | '.
+
+    First the lowest short prefixes are found, then only cells with one of those are compared
+    whole; the rank limit works inside each map task too, so few rows reach the last one.
+    """
+    columns = df.columns
+    pairs = [e for i, c in enumerate(columns) for e in (F.lit(i), text(c))]
+    cells = df.select(F.stack(F.lit(len(columns)), *pairs).alias("slot", "value")).where("value IS NOT NULL")
+    cells = cells.withColumn("head", F.left("value", F.lit(PREFIX)))
+
+    def lowest(distinct, by):
+        rank = F.row_number().over(Window.partitionBy("slot").orderBy(by))
+        return distinct.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+    heads = lowest(cells.select("slot", "head").distinct(), "head")
+    few = cells.join(F.broadcast(heads), ["slot", "head"], "left_semi")  # n rows per column
+    picked = lowest(few.select("slot", "value").distinct(), "value")
+    return picked.groupBy("slot").agg(F.concat_ws(" | ", F.array_sort(F.collect_list("value"))).alias("samples"))
+
+
 def clean_profile(df: DataFrame, method: str = "auto") -> DataFrame:
     """Per column: label, nulls, outliers; and the table's rows, columns and duplicate rows."""
     numbers = numeric_columns(df)

@@ -11,7 +11,6 @@ from tablewright.functions.text import matches, parse_date
 from tablewright.operators.frames import beside, col, numeric_columns, percent, score, string_columns, text, to_long, wide_agg
 from tablewright.operators.profile import (
     VALUE_CLASSES,
-    class_counts,
     column_profile,
     duplicate_count,
     outlier_counts,
@@ -57,7 +56,7 @@ def _valid_cells(df: DataFrame) -> tuple[list[Column], int]:
 
 
 def one_class_columns(df: DataFrame, columns: list[str]) -> Column:
-    """How many of the text columns hold values of at most one class (over ``class_counts``)."""
+    """How many of the text columns hold values of at most one class (over ``row_counts``)."""
     total = F.lit(0)
     for c in columns:
         i = df.columns.index(c)
@@ -73,10 +72,7 @@ def score_row(df: DataFrame, as_of: str, method: str = "auto") -> DataFrame:
     extra += [v.alias(f"valid_{k}") for k, v in enumerate(valid)]
     strings = string_columns(df)
     numbers = numeric_columns(df)
-    frames = [row_counts(df, extra), outlier_counts(df, numbers, method), duplicate_count(df)]
-    if strings:
-        frames.append(class_counts(df, strings))
-    row = beside(frames)
+    row = beside([row_counts(df, extra, strings), outlier_counts(df, numbers, method), duplicate_count(df)])
     width = len(df.columns)
     rows = F.col("rows")
     cells = rows * width
@@ -125,31 +121,31 @@ def below_threshold(scores: DataFrame, thresholds: dict[str, float] | None = Non
 
 def repair_tiers(df: DataFrame, method: str = "auto") -> DataFrame:
     """(column, issue, severity, n, pct, action): who repairs what — auto, rule or manual."""
-    profile = column_profile(df, method)
+    watched = [c for c in df.columns if hints.has_hint(c, hints.FORMAT_COLUMNS)]
     pct = F.try_divide(F.col("nulls") * 100.0, F.col("rows"))
     fill = F.when(F.col("column").isin(hints.MODE_FILLED_COLUMNS), "fill_mode").otherwise("fill_median")
-    nulls = profile.where("nulls > 0").select(
-        "column",
-        F.lit("null_fill").alias("issue"),
-        F.when(pct < 10, "auto").when(pct < 30, "rule").otherwise("manual").alias("severity"),
-        F.col("nulls").alias("n"),
-        F.col("null_pct").alias("pct"),
-        F.when(pct < 10, fill)
-        .when(pct < 30, "fill_by_business_rule")
-        .otherwise("manual_review: high null rate")
-        .alias("action"),
-    )
-    none = F.lit(None).cast("double").alias("pct")
-    outliers = profile.where("outliers > 0").select(
-        "column", F.lit("outliers").alias("issue"), F.lit("rule").alias("severity"),
-        F.col("outliers").alias("n"), none, F.lit("iqr_clip_or_flag").alias("action"),
+    null_action = (
+        F.when(pct < 10, fill).when(pct < 30, "fill_by_business_rule").otherwise("manual_review: high null rate")
     )
-    watched = [c for c in df.columns if hints.has_hint(c, hints.FORMAT_COLUMNS)]
-    broken = profile.where(F.col("column").isin(watched) & (F.col("format_violations") > 0)).select(
-        "column", F.lit("format_violation").alias("issue"), F.lit("manual").alias("severity"),
-        F.col("format_violations").alias("n"), none, F.lit("manual_review: data integrity").alias("action"),
+    none = F.lit(None).cast("double")
+    found = [
+        ("null_fill", F.when(pct < 10, "auto").when(pct < 30, "rule").otherwise("manual"), F.col("nulls"), F.col("null_pct"), null_action),
+        ("outliers", F.lit("rule"), F.col("outliers"), none, F.lit("iqr_clip_or_flag")),
+        (
+            "format_violation",
+            F.lit("manual"),
+            F.when(F.col("column").isin(watched), F.col("format_violations")).otherwise(F.lit(0)),
+            none,
+            F.lit("manual_review: data integrity"),
+        ),
+    ]
+    issues = F.array(
+        *[
+            F.struct(F.lit(issue).alias("issue"), severity.alias("severity"), n.alias("n"), share.alias("pct"), action.alias("action"))
+            for issue, severity, n, share, action in found
+        ]
     )
-    return nulls.unionByName(outliers).unionByName(broken)
+    return column_profile(df, method).select("column", F.inline(issues)).where("n > 0")
 
 
 def schema_hash(columns: list[str]) -> str:
