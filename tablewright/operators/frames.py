@@ -80,7 +80,10 @@ def pick_rows(df: DataFrame, keys: list[str], order_by: list[Column] | None = No
     a third of all rows arrives at its reducer as one row per task; equal nulls are one key.
     """
     order = [c.alias(f"o{i}") for i, c in enumerate(order_by or [])]
-    ranked = F.struct(*order, F.struct(*[col(c) for c in df.columns]).alias("row"))
+    rest = [c for c in df.columns if c not in keys]
+    ranked = F.struct(*order, F.struct(F.lit(0).alias("_"), *[col(c) for c in rest]).alias("row"))
     chosen = (F.max if last else F.min)(ranked).alias("_chosen")
-    group = [col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    return df.groupBy(*group).agg(chosen).select("_chosen.row.*")
+    at = {k: f"_k{i}" for i, k in enumerate(dict.fromkeys(keys))}
+    picked = df.groupBy(*[col(k).alias(n) for k, n in at.items()]).agg(chosen)
+    row = F.col("_chosen")["row"]
+    return picked.select(*[(F.col(at[c]) if c in at else row[c]).alias(c) for c in df.columns])
