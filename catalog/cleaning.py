@@ -23,6 +23,7 @@ _DUPLICATES = "(SELECT count(*) FROM src) - (SELECT count(*) FROM (SELECT DISTIN
     "c1_clean_profile",
     with_src(ORDERS, per_column(_ORDER_TYPES, lambda c: f"""SELECT '{c}' AS "column", '{_ORDER_TYPES[c]}' AS dtype, count(*) AS "rows", 6 AS "columns",
         count(*) - count({c}) AS nulls, {q_outside(c, 'src') if c in _NUMBERS else 0} AS outliers, {_DUPLICATES} AS duplicates FROM src""")),
+    columns="BIGINT",
 )
 def c1(spark, sf):
     return profile.clean_profile(frame(spark, sf, ORDERS))

@@ -119,6 +119,7 @@ _VALID = f"(SELECT {_UNIQUE.format('cust_id')} = 0 AND {_UNIQUE.format('id_card'
     with_src(PEOPLE, f"""SELECT 'cust_id' AS "column", 'unique' AS rule, 'error' AS severity, {_UNIQUE.format('cust_id')} AS n, {_VALID} AS valid FROM src
         UNION ALL SELECT 'id_card', 'unique', 'error', {_UNIQUE.format('id_card')}, {_VALID} FROM src
         UNION ALL SELECT 'phone', 'pattern:^1\\d{{10}}$', 'warn', count_if(NOT regexp_matches(phone, '^1[0-9]{{10}}$')), {_VALID} FROM src"""),
+    n="BIGINT",
 )
 def g14(spark, sf):
     return govern.check_contract(frame(spark, sf, PEOPLE))
@@ -155,6 +156,7 @@ def _empty_share(c):
 @query(
     "g16_audit",
     with_src(_NOTES, "SELECT \"column\", issue, severity, n, pct FROM (" + per_column(["c_custkey", "c_name", "note", "balance"], _empty_share) + ") AS t WHERE n > 0.2 * total"),
+    n="BIGINT",
 )
 def g16(spark, sf):
     return govern.audit(frame(spark, sf, _NOTES))

@@ -44,7 +44,7 @@ FROM (SELECT user_id, event_type, count(*) AS n FROM {} GROUP BY user_id, event_
 """
 
 
-@query("s5_file_sql", _FILE_SQL.format("events"))
+@query("s5_file_sql", _FILE_SQL.format("events"), place="INTEGER")
 def s5(spark, sf):
     return files.query(files.read_parquet(spark, f"{sf}/events.parquet"), _FILE_SQL.format("_src"))
 

@@ -76,12 +76,12 @@ def _paths(spark, sf, text):
     return lineage.full_paths(edges, edges.select(F.col("target").alias("table")).distinct())
 
 
-@query("n6_full_path", with_src(CHAINS, _WALK).replace("WITH src", "WITH RECURSIVE src"))
+@query("n6_full_path", with_src(CHAINS, _WALK).replace("WITH src", "WITH RECURSIVE src"), nodes="BIGINT")
 def n6(spark, sf):
     return _paths(spark, sf, CHAINS)
 
 
-@query("n6_full_path_tables", with_src(EDGES, _WALK).replace("WITH src", "WITH RECURSIVE src"))
+@query("n6_full_path_tables", with_src(EDGES, _WALK).replace("WITH src", "WITH RECURSIVE src"), nodes="BIGINT")
 def n6_tables(spark, sf):
     return _paths(spark, sf, EDGES)
 

@@ -58,6 +58,7 @@ for _name, _c in (
     "m1_personal_columns",
     with_src(PEOPLE, per_column(_KINDS, lambda c: f"""SELECT '{c}' AS "column", '{_KINDS[c]}' AS label, 'column_name' AS rule,
         count_if(NOT {q_blank(c)}) AS n FROM src""")),
+    n="BIGINT",
 )
 def m1(spark, sf):
     return mask.personal_columns(frame(spark, sf, PEOPLE))

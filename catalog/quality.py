@@ -114,6 +114,7 @@ def _format_tier(c):
     "q_repair_tiers_people",
     with_src(PEOPLE, per_column(_PEOPLE, _tier) + " UNION ALL SELECT * FROM (" + per_column(["cust_id", "amount"], _outlier_tier)
              + ") WHERE n > 0 UNION ALL SELECT * FROM (" + per_column(_FORMATS, _format_tier) + ") WHERE n > 0"),
+    n="BIGINT",
 )
 def q_tiers_people(spark, sf):
     return quality.repair_tiers(frame(spark, sf, PEOPLE))
@@ -133,6 +134,7 @@ def q_tiers(spark, sf):
         count(*) AS "rows", count(*) - count({c}) AS nulls, round((count(*) - count({c})) * 100.0 / count(*), 1) AS null_pct, count(DISTINCT {c}) AS "distinct",
         {q_outside(c, 'src') if c in ('cust_id', 'amount') else 0} AS outliers,
         {f"count_if(NOT regexp_matches({c}, '{_FORMATS[c]}'))" if c in _FORMATS else 0} AS format_violations FROM src""")),
+    format_violations="BIGINT",
 )
 def q_profile(spark, sf):
     return profile.column_profile(frame(spark, sf, PEOPLE))
@@ -143,7 +145,7 @@ _SNAPSHOT = """SELECT TIMESTAMP '2026-01-01 00:00:00' AS ts, '{s}' AS source, (S
     left(sha256('{names}'), 8) AS schema_hash, {n} AS "columns", 'healthy' AS health"""
 
 
-@query("q_snapshot", with_src(ORDERS, _SNAPSHOT.format(s="orders", names=",".join(sorted(_ORDERS)), n=6)))
+@query("q_snapshot", with_src(ORDERS, _SNAPSHOT.format(s="orders", names=",".join(sorted(_ORDERS)), n=6)), columns="BIGINT")
 def q_snapshot(spark, sf):
     orders = frame(spark, sf, ORDERS)
     return quality.snapshot(orders, clean.drop_duplicates(orders), "orders", "2026-01-01 00:00:00")

@@ -124,12 +124,12 @@ _DATE_ISSUE = _issue("order_date", "date_format", _BAD_DATE, hints.DATE_FORMAT_A
 _PHONE_ISSUE = _issue("mobile", "phone_format", _BAD_PHONE, hints.PHONE_FORMAT_ADVICE)
 
 
-@query("t6_date_format", with_src(DATES, _DATE_ISSUE))
+@query("t6_date_format", with_src(DATES, _DATE_ISSUE), n="BIGINT")
 def t6(spark, sf):
     return standardize.format_issues(frame(spark, sf, DATES)).where("issue = 'date_format'")
 
 
-@query("t7_phone_format", with_src(DATES, _PHONE_ISSUE))
+@query("t7_phone_format", with_src(DATES, _PHONE_ISSUE), n="BIGINT")
 def t7(spark, sf):
     return standardize.format_issues(frame(spark, sf, DATES)).where("issue = 'phone_format'")
 

@@ -88,12 +88,12 @@ def _payloads(spark, sf):
     return spark.sql(_SHAPES).select("event_id", "payload")
 
 
-@query("w6_payload_rows", f"SELECT event_id, unnest(range(n)) AS \"row\", event_type AS kind, k FROM ({_SHAPES})")
+@query("w6_payload_rows", f"SELECT event_id, unnest(range(n)) AS \"row\", event_type AS kind, k FROM ({_SHAPES})", row="INTEGER")
 def w6(spark, sf):
     return pages.payload_rows(_payloads(spark, sf), "payload", fields=["kind", "k"])
 
 
-@query("w6_payload_positional", f"SELECT event_id, unnest(range(n)) AS \"row\", event_type AS field_0, k AS field_1 FROM ({_SHAPES})")
+@query("w6_payload_positional", f"SELECT event_id, unnest(range(n)) AS \"row\", event_type AS field_0, k AS field_1 FROM ({_SHAPES})", row="INTEGER")
 def w6_positional(spark, sf):
     return pages.payload_rows(_payloads(spark, sf), "payload", positional=2)
 
@@ -166,6 +166,7 @@ def x1(spark, sf):
     with_src(MIXED, r"""SELECT 'missing_field' AS "column", 'missing' AS issue, count(*) AS n FROM src
         UNION ALL SELECT 'reading', 'not integer', count_if(NOT regexp_matches(reading, '^[0-9]+$')) FROM src
         UNION ALL SELECT 'event_type', 'not number', count(*) FROM src"""),
+    n="BIGINT",
 )
 def x2(spark, sf):
     schema = {
