@@ -3,12 +3,11 @@
 from pyspark.sql import functions as F
 
 from catalog.inputs import (
-    DATES, ORDERS, PEOPLE, PRICES, SEGMENTS, frame, per_column, q_blank, q_date, q_digits, q_key, q_outside, q_trim, table, with_src,
+    DATES, ORDERS, PEOPLE, PRICES, SEGMENTS, frame, per_column, q_date, q_digits, q_key, q_outside, q_trim, table, with_src,
 )
 from catalog.registry import query
 from tablewright.functions import text as tx
 from tablewright.operators import clean, profile
-from tablewright.operators.order_stats import QUARTILES, fences, order_stats
 from tablewright.plans import prepare
 
 _ORDER_TYPES = {

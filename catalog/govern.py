@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from catalog.inputs import EDGES, MIXED, PEOPLE, frame, per_column, q_blank, q_date, table, twin, with_src
+from catalog.inputs import EDGES, MIXED, PEOPLE, frame, per_column, q_blank, q_date, table, with_src
 from catalog.registry import query
 from tablewright.functions import hints
-from tablewright.operators import govern, lineage, profile
+from tablewright.operators import govern, lineage
 
 AS_OF = "2024-06-30"
 _PEOPLE = "cust_id name phone email id_card bank_card address amount status created_date".split()

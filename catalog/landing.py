@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.inputs import DATES, MIXED, ORDERS, PEOPLE, frame, per_column, q_date, table, twin, with_src
+from catalog.inputs import MIXED, ORDERS, PEOPLE, frame, per_column, q_date, table, twin, with_src
 from catalog.registry import query
 from tablewright.functions import urls
 from tablewright.operators import profile

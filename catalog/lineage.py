@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.inputs import CHAINS, EDGES, frame, twin, with_src
+from catalog.inputs import CHAINS, EDGES, frame, with_src
 from catalog.registry import query
 from tablewright.operators import lineage
 from tablewright.session import scratch_path

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from catalog.inputs import MIXED, ORDERS, PEOPLE, frame, per_column, q_date, q_outside, table, with_src
 from catalog.registry import query
-from tablewright.functions import hints
 from tablewright.operators import clean, profile, quality
 
 AS_OF = "2024-06-30"

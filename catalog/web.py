@@ -10,10 +10,16 @@ from tablewright.plans import chain
 
 # text between tags, without scripts, styles and comments; the entities the pages use are put back
 _TEXT = r"regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', chr(10), 'gs'), '<!--.*?-->', chr(10), 'gs'), '<[^>]*>', chr(10), 'g')"
-_UNESCAPED = "line"
-for _name, _mark in (("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("nbsp", "chr(160)"), ("copy", "'©'"), ("middot", "'·'"), ("amp", "'&'")):
-    _UNESCAPED = f"replace({_UNESCAPED}, '&{_name};', {_mark})"
-_LINES = f"""SELECT page_id, content FROM (SELECT page_id, {q_trim(_UNESCAPED)} AS content FROM (SELECT page_id, unnest(string_split({_TEXT}, chr(10))) AS line FROM pages)) WHERE content <> ''"""
+
+
+def _unescape(text):
+    """Entities put back; a page cut short may end one without its semicolon."""
+    for name, mark in (("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("nbsp", "chr(160)"), ("copy", "'©'"), ("middot", "'·'"), ("amp", "'&'")):
+        text = f"regexp_replace({text}, '&{name};?', {mark}, 'g')"
+    return text
+
+
+_LINES = f"""SELECT page_id, content FROM (SELECT page_id, {q_trim(_unescape('line'))} AS content FROM (SELECT page_id, unnest(string_split({_TEXT}, chr(10))) AS line FROM pages)) WHERE content <> ''"""
 
 
 @query("w1_text_lines", f"SELECT page_id, content, count(*) AS n FROM ({_LINES}) GROUP BY ALL")
@@ -26,7 +32,7 @@ _LINKS = """SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*
     unnest(regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS label FROM pages"""
 
 
-@query("w2_extract_containers", f"SELECT page_id, link, replace(label, '&amp;', '&') AS label FROM ({_LINKS})")
+@query("w2_extract_containers", f"SELECT page_id, link, {_unescape('label')} AS label FROM ({_LINKS})")
 def w2(spark, sf):
     rules = [
         {"name": "link", "container": "nav li", "selector": "a", "attr": "href"},
@@ -39,7 +45,7 @@ def w2(spark, sf):
     "w3_extract_columns",
     rf"""SELECT page_id, link, CASE WHEN place = 1 THEN title ELSE '' END AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS link,
         unnest(range(1, len(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) + 1)) AS place,
-        {q_trim("replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS title FROM pages)""",
+        {q_trim(_unescape("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} AS title FROM pages)""",
 )
 def w3(spark, sf):
     rules = [{"name": "link", "selector": "li a", "attr": "href"}, {"name": "title", "selector": "article h1"}]

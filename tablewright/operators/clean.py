@@ -111,14 +111,6 @@ def trim_strings(df: DataFrame) -> DataFrame:
     return df.select(*_replaced(df, {c: trim_spaces(col(c)) for c in string_columns(df)}))
 
 
-def trim_counts(df: DataFrame) -> DataFrame:
-    """One row: ``trimmed_{i}``, cells that trimming changes."""
-    at = keyed(string_columns(df), df.columns)
-    return wide_agg(
-        df, [F.lit(0).alias("_"), *[F.count_if(trim_spaces(col(c)) != col(c)).alias(f"trimmed_{i}") for c, i in at.items()]]
-    ).drop("_")
-
-
 def text_shares(df: DataFrame) -> DataFrame:
     """One row: ``share_{i}``, the share of rows whose text is longer than two, per string column."""
     at = keyed(string_columns(df), df.columns)

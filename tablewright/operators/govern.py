@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import hints
 from tablewright.functions.text import is_blank, matches
-from tablewright.operators.frames import beside, col, numeric_columns, percent, string_columns, text, to_long, wide_agg
+from tablewright.operators.frames import beside, numeric_columns, percent, string_columns, text, to_long, wide_agg
 from tablewright.operators.profile import distinct_counts, duplicate_count, label_of, lowest_values, row_counts
 from tablewright.operators.quality import first_date_column, one_class_columns, recent_share
 

@@ -7,7 +7,7 @@ from tablewright.operators.frames import col
 from tablewright.session import is_small
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-HOT_KEYS = 500  # a hot key holds more than 1/500 of the left rows, so there are fewer than 500
+HOT_KEYS = 5000  # a hot key holds more than 1/5000 of the left rows, so there are fewer than 5000
 
 
 def attach(left: DataFrame, lookup: DataFrame, key: str, how: str = "inner", broadcast_bytes: int = BROADCAST_BYTES):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import hints
 from tablewright.functions.masking import masked
 from tablewright.functions.text import is_blank
-from tablewright.operators.frames import col, string_columns, text, to_long, union, wide_agg
+from tablewright.operators.frames import col, string_columns, text, to_long, wide_agg
 from tablewright.operators.joins import BROADCAST_BYTES, attach
 from tablewright.session import checkpointed
 
@@ -57,7 +57,8 @@ def token_dictionary(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     The sorted dictionary is written to the shared folder; a row's number is its place in its
     partition plus the sizes of the partitions before it, so no task ever sees all of it.
     """
-    values = union([df.select(F.lit(k).alias("kind"), text(c).alias("value")) for c, k in kinds.items()])
+    pairs = [e for c, k in kinds.items() for e in (F.lit(k), text(c))]
+    values = df.select(F.stack(F.lit(len(kinds)), *pairs).alias("kind", "value"))
     values = values.where(F.col("value").isNotNull() & ~is_blank(F.col("value"))).distinct()
     ordered = checkpointed(values.orderBy("kind", "value"))
     # monotonically_increasing_id = partition number << 33 + place in the partition

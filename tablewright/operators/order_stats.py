@@ -35,6 +35,7 @@ def order_stats(df: DataFrame, columns: list[str], stats: dict, method: str = "a
 
     A nearest-rank stat (a, b, False) is ``sorted[n * a // b]``; an interpolated one
     (a, b, True) sits at position ``(n - 1) * a / b`` between its two neighbours.
+    The input is read up to three times, so it must give the same values each time.
     """
     if method == "auto":
         method = "values" if is_small(df, SMALL_BYTES) else "buckets"

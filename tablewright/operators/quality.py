@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions import hints
 from tablewright.functions.text import matches, parse_date
-from tablewright.operators.frames import beside, col, numeric_columns, percent, score, string_columns, text, to_long, wide_agg
+from tablewright.operators.frames import beside, col, numeric_columns, percent, score, string_columns, text, to_long
 from tablewright.operators.profile import (
     VALUE_CLASSES,
     column_profile,

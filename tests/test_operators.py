@@ -98,6 +98,7 @@ def test_outliers_become_null_and_empty_rows_go(spark):
     calm = spark.createDataFrame([(1.0,), (2.0,), (None,)], "x double")
     assert clean.null_outliers(calm).count() == 3  # no outlier: the empty row stays
     assert clean.null_outliers(df, "zscore").count() == 5
+    assert clean.drop_empty_rows(calm).count() == 2
 
 
 def test_full_clean(spark, dirty):

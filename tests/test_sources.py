@@ -93,6 +93,7 @@ def test_silver_and_gold(spark, lake):
     layers.silver_write(orders, lake, "sales", "orders")
     stored = layers.load(spark, lake, "silver:sales/orders")
     assert stored.columns == ["re_gion", "rev_enue"]
+    assert [r["domain"] for r in layers.list_domains(spark, lake).collect()] == ["sales"]
     sql = "SELECT re_gion AS region, sum(rev_enue) AS total FROM silver_orders GROUP BY re_gion"
     layers.gold_from_sql(spark, sql, lake, "by_region", {"silver_orders": stored})
     assert sorted(tuple(r) for r in layers.load(spark, lake, "gold:by_region").collect()) == [("North", 300), ("South", 300)]
