@@ -60,16 +60,6 @@ def read_source(spark: SparkSession, path: str, kind: str | None = None, schema=
     raise ValueError(f"no reader for {kind!r}: {path}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows spread over all cores when the input has fewer splits than cores; else unchanged.
-
-    A file of one row group is one task however many cores there are. Inputs of any size have
-    more splits than cores and pass through.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def query(df: DataFrame, sql: str) -> DataFrame:
     """Any SELECT over one source, which the text calls ``_src``."""
     df.createOrReplaceTempView("_src")
