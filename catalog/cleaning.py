@@ -28,7 +28,7 @@ def c1(spark, sf):
     return profile.clean_profile(frame(spark, sf, ORDERS))
 
 
-_LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query("c3_outlier_count", per_column(_LINE_NUMBERS, lambda c: f"""SELECT '{c}' AS "column", {q_outside(c, 'lineitem')} AS outliers"""))
@@ -44,7 +44,7 @@ def c4(spark, sf):
 
 
 def _filled(fill):
-    return with_src(ORDERS, f"""SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus,
+    return with_src(ORDERS, f"""SELECT o_orderkey, o_custkey, o_orderstatus,
         round(coalesce(o_totalprice, ({fill})), 4) AS o_totalprice, o_orderdate, o_orderpriority FROM src""")
 
 
@@ -82,7 +82,7 @@ def _bounded(columns, source="src"):
 
 def _inside(c):
     return (
-        f"CASE WHEN {c} BETWEEN {c}_q1 - 1.5 * ({c}_q3 - {c}_q1) AND {c}_q3 + 1.5 * ({c}_q3 - {c}_q1) THEN CAST({c} AS DOUBLE) END AS {c}"
+        f"CASE WHEN {c} BETWEEN {c}_q1 - 1.5 * ({c}_q3 - {c}_q1) AND {c}_q3 + 1.5 * ({c}_q3 - {c}_q1) THEN {c} END AS {c}"
     )
 
 
@@ -129,7 +129,7 @@ def c12(spark, sf):
     f"""SELECT doc_id, text, lang, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY {q_key('text')} ORDER BY doc_id) AS place FROM documents) WHERE place = 1""",
 )
 def c12_documents(spark, sf):
-    return clean.near_text_dedup(table(spark, sf, "documents"), ["text"], [F.col("doc_id")])
+    return clean.near_text_dedup(table(spark, sf, "documents"), ["text"], row_key="doc_id")
 
 
 _SHARE = "avg(CASE WHEN length({0}) > 2 THEN 1.0 ELSE 0.0 END)"
@@ -171,7 +171,7 @@ def c17(spark, sf):
 
 # fill with the upper median, null the outliers, drop copies, trim: the default chain as CTEs
 _CHAIN = f"""
-filled AS (SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus,
+filled AS (SELECT o_orderkey, o_custkey, o_orderstatus,
     coalesce(o_totalprice, ({_MEDIAN})) AS o_totalprice, o_orderdate, o_orderpriority FROM src),
 bounded AS (SELECT {_inside('o_orderkey')}, {_inside('o_custkey')}, o_orderstatus, {_inside('o_totalprice')}, o_orderdate, o_orderpriority
     FROM filled, {_bounded(_NUMBERS, 'filled')} AS b),
@@ -200,12 +200,41 @@ def c20(spark, sf):
     return prepare.clean(frame(spark, sf, ORDERS))
 
 
+# keys beyond 2^53 and a decimal with more digits than a double: cleaning must not merge them
+_WIDE = """SELECT o_orderkey + 9007199254740992 AS big_key, CAST(o_orderkey AS DECIMAL(20, 0)) * 100000000000000 + 12345678901234 AS wide,
+    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey AS INT) END AS cust, o_orderstatus AS status
+FROM {orders}"""
+
+
+@query(
+    "c20_clean_wide_keys",
+    with_src(_WIDE, """SELECT big_key, CAST(wide AS VARCHAR) AS wide, coalesce(cust, (SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY cust DESC) FROM src)) AS cust, status FROM src"""),
+)
+def c20_wide(spark, sf):
+    cleaned = prepare.clean(frame(spark, sf, _WIDE), prepare.CleanOptions(outlier_method="none"))
+    return cleaned.withColumn("wide", F.col("wide").cast("decimal(38,0)").cast("string"))
+
+
+@query("c20_clean_none", with_src(_WIDE, "SELECT big_key, CAST(wide AS VARCHAR) AS wide, cust, status FROM src"))
+def c20_none(spark, sf):
+    options = prepare.CleanOptions(missing_strategy="none", outlier_method="none")
+    return prepare.clean(frame(spark, sf, _WIDE), options).withColumn("wide", F.col("wide").cast("decimal(38,0)").cast("string"))
+
+
+@query(
+    "c9_drop_all_null",
+    with_src(PRICES, "SELECT price, bucket, status FROM src WHERE price IS NOT NULL OR bucket IS NOT NULL OR status IS NOT NULL"),
+)
+def c9_all_null(spark, sf):
+    return clean.drop_empty_rows(frame(spark, sf, PRICES))
+
+
 _PHONE = f"CASE WHEN regexp_matches({q_digits('phone')}, '^1[0-9]{{10}}$') THEN {q_digits('phone')} ELSE {q_trim('phone')} END"
 
 
 @query(
     "c20_semantic_clean",
-    with_src(PEOPLE, f"""SELECT CAST(cust_id AS DOUBLE) AS cust_id, name, {_PHONE} AS phone, lower({q_trim('email')}) AS email,
+    with_src(PEOPLE, f"""SELECT cust_id, name, {_PHONE} AS phone, lower({q_trim('email')}) AS email,
         coalesce(strftime({q_date('created_date')}, '%Y-%m-%d'), created_date) AS created_date
         FROM (SELECT *, row_number() OVER (PARTITION BY {q_key('status')} ORDER BY cust_id) AS place FROM src) WHERE place = 1"""),
 )
@@ -214,4 +243,4 @@ def c20_semantic(spark, sf):
         missing_strategy="none", outlier_method="none", semantic=True, text_columns=["status"], order_by=[F.col("cust_id")]
     )
     cleaned = prepare.clean(frame(spark, sf, PEOPLE), options)
-    return cleaned.select(F.col("cust_id").cast("double").alias("cust_id"), "name", "phone", "email", "created_date")
+    return cleaned.select("cust_id", "name", "phone", "email", "created_date")

@@ -1,7 +1,10 @@
 """Cleaning: imputation, outliers, exact and near-text duplicates, normalisation."""
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import hints
 from tablewright.functions.text import date_text, email_text, phone_digits, text_key, trim_spaces
@@ -12,7 +15,7 @@ TEXT_SHARE = 0.3  # a text column: more than this share of rows holds text longe
 
 
 def fill_values(df: DataFrame, columns: list[str], strategy: str, method: str = "auto") -> DataFrame:
-    """One row with ``fill_{i}`` per column; null where the strategy is unknown."""
+    """One row with ``fill_{i}`` per column, as double; null where the strategy is unknown."""
     at = keyed(columns, df.columns)
     if strategy == "fill_mean":
         return wide_agg(df, [F.avg(number(c)).alias(f"fill_{i}") for c, i in at.items()])
@@ -25,20 +28,60 @@ def fill_values(df: DataFrame, columns: list[str], strategy: str, method: str =
     return row.select(*[F.col(f"{stat}_{i}").alias(f"fill_{i}") for i in at.values()])
 
 
-def _replaced(df: DataFrame, new: dict[str, Column]) -> list[Column]:
-    return [new[c].alias(c) if c in new else col(c) for c in df.columns]
-
-
 def fit(row: DataFrame) -> dict:
     """The single row of a statistics frame, fetched once, for chains that use it more than once."""
     return row.first().asDict()
 
 
-def _with_stats(df: DataFrame, stats: DataFrame | dict):
-    """The table with its statistics in reach, and how to name one of them."""
-    if isinstance(stats, dict):
-        return df, lambda name: F.lit(stats[name])
-    return df.crossJoin(F.broadcast(stats)), F.col
+def fit_extent(df: DataFrame, columns: list[str]) -> dict:
+    """Nulls of each column, and for numbers that a double may not hold the base to count from.
+
+    A base is the column's least value: what lies above it is a small number again, on which
+    statistics on doubles are exact.
+    """
+    at = keyed(columns, df.columns)
+    measures = [F.count_if(col(c).isNull()).alias(f"nulls_{i}") for c, i in at.items()]
+    wide = {c: i for c, i in at.items() if isinstance(df.schema[c].dataType, (T.LongType, T.DecimalType))}
+    measures += [m for c, i in wide.items() for m in (F.min(col(c)).alias(f"least_{i}"), F.max(col(c)).alias(f"most_{i}"))]
+    row, bases = fit(wide_agg(df, measures)), {}
+    for c, i in wide.items():
+        low, high, kind = row[f"least_{i}"], row[f"most_{i}"], df.schema[c].dataType
+        many_digits = isinstance(kind, T.DecimalType) and kind.precision > 15
+        if low is not None and (many_digits or max(abs(low), abs(high)) > 2**53):
+            bases[c] = Decimal(low)
+    return {"nulls": {c: row[f"nulls_{i}"] for c, i in at.items()}, "bases": bases}
+
+
+def above(df: DataFrame, name: str, bases: dict) -> Column:
+    """Column as double, counted from its base where it has one."""
+    if name not in bases:
+        return number(name)
+    native = col(name) if isinstance(df.schema[name].dataType, T.DecimalType) else col(name).cast("decimal(20,0)")
+    return (native - F.lit(bases[name])).cast("double")
+
+
+def _above(df: DataFrame, bases: dict) -> DataFrame:
+    return df.select(*_replaced(df, {c: above(df, c, bases) for c in bases})) if bases else df
+
+
+def _replaced(df: DataFrame, new: dict[str, Column]) -> list[Column]:
+    return [new[c].alias(c) if c in new else col(c) for c in df.columns]
+
+
+def fit_fills(
+    df: DataFrame, columns: list[str], strategy: str = "fill_median", method: str = "auto", extent: dict | None = None
+) -> dict:
+    """Fill value of each column that has nulls, fetched; none for an unknown strategy."""
+    if not columns or strategy not in ("fill_mean", "fill_median", "fill_mode"):
+        return {}
+    extent = fit_extent(df, columns) if extent is None else extent
+    row = fit(fill_values(_above(df, extent["bases"]), columns, strategy, method))
+    fills = {}
+    for c, i in keyed(columns, df.columns).items():
+        value = row[f"fill_{i}"]
+        if value is not None and extent["nulls"][c]:
+            fills[c] = value if c not in extent["bases"] else extent["bases"][c] + Decimal(value)
+    return fills
 
 
 def fill_missing(
@@ -48,18 +91,21 @@ def fill_missing(
     method: str = "auto",
     values: dict | None = None,
 ) -> DataFrame:
-    """Nulls of numeric columns filled with mean, upper median or mode; filled columns are double.
+    """Nulls of numeric columns filled with mean, upper median or mode; nothing else changes.
 
-    ``values`` are fill values fitted before (``fit(fill_values(…))``).
+    Columns keep their type, except that a whole-number column with nulls becomes double when its
+    mean is not whole; a decimal's mean is rounded to its scale. ``values`` are fill values fitted
+    before (``fit_fills``). Any other strategy leaves the table as it is.
     """
     columns = numeric_columns(df) if columns is None else columns
-    if not columns:
-        return df
-    at = keyed(columns, df.columns)
-    wide, stat = _with_stats(df, fill_values(df, columns, strategy, method) if values is None else values)
-    return wide.select(
-        *_replaced(df, {c: F.coalesce(number(c), stat(f"fill_{i}").cast("double")) for c, i in at.items()})
-    )
+    values = fit_fills(df, columns, strategy, method) if values is None else values
+    new = {}
+    for c, value in values.items():
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.IntegralType) and value % 1:
+            kind, value = T.DoubleType(), float(value)
+        new[c] = F.coalesce(col(c).cast(kind), F.lit(value).cast(kind))
+    return df.select(*_replaced(df, new)) if new else df
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], method: str = "auto") -> DataFrame:
@@ -75,6 +121,29 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str = "auto") -> D
     return row.select(*bounds, outside.alias("any_outlier"))
 
 
+def fit_bounds(df: DataFrame, columns: list[str], method: str = "auto", extent: dict | None = None) -> dict:
+    """Fences of each column, counted from its base, and whether any value lies outside."""
+    bases = (fit_extent(df, columns) if extent is None else extent)["bases"]
+    row = fit(outlier_bounds(_above(df, bases), columns, method))
+    fences_ = {c: (row[f"lo_{i}"], row[f"hi_{i}"]) for c, i in keyed(columns, df.columns).items()}
+    return {"bases": bases, "fences": fences_, "any_outlier": row["any_outlier"]}
+
+
+def inside(df: DataFrame, name: str, bounds: dict) -> Column:
+    """True for a value within its fences, null for a null."""
+    low, high = bounds["fences"][name]
+    return above(df, name, bounds["bases"]).between(F.lit(low), F.lit(high))
+
+
+def survives(df: DataFrame, bounds: dict) -> Column:
+    """True for the rows that ``null_outliers`` keeps: with any outlier, those that still hold a value."""
+    if not bounds["any_outlier"]:
+        return F.lit(True)
+    fenced = bounds["fences"]
+    cells = [F.when(inside(df, c, bounds) if c in fenced else col(c).isNotNull(), True) for c in df.columns]
+    return F.coalesce(*cells, F.lit(False))
+
+
 def null_outliers(
     df: DataFrame,
     outlier_method: str = "iqr",
@@ -82,19 +151,16 @@ def null_outliers(
     method: str = "auto",
     bounds: dict | None = None,
 ) -> DataFrame:
-    """Values outside the fences become null; when any did, rows of nulls only are dropped.
+    """Values outside the fences become null, the others stay as they are; when any did, rows of nulls only are dropped.
 
-    ``bounds`` are fences fitted before (``fit(outlier_bounds(…))``).
+    ``bounds`` are fences fitted before (``fit_bounds``).
     """
     columns = numeric_columns(df) if columns is None else columns
     if outlier_method != "iqr" or not columns:
         return df
-    at = keyed(columns, df.columns)
-    wide, stat = _with_stats(df, outlier_bounds(df, columns, method) if bounds is None else bounds)
-    inside = {c: F.when(number(c).between(stat(f"lo_{i}"), stat(f"hi_{i}")), number(c)) for c, i in at.items()}
-    cut = wide.select(*_replaced(df, inside), stat("any_outlier").alias("_any_outlier"))
-    some_value = F.coalesce(*[F.when(col(c).isNotNull(), True) for c in df.columns], F.lit(False))
-    return cut.where(~F.col("_any_outlier") | some_value).drop("_any_outlier")
+    bounds = fit_bounds(df, columns, method) if bounds is None else bounds
+    kept = df.where(survives(df, bounds))
+    return kept.select(*_replaced(df, {c: F.when(inside(df, c, bounds), col(c)) for c in columns}))
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
@@ -145,17 +211,23 @@ def text_row_key(columns: list[str]) -> Column:
 
 
 def near_text_dedup(
-    df: DataFrame, columns: list[str] | None = None, order_by: list[Column] | None = None
+    df: DataFrame, columns: list[str] | None = None, order_by: list[Column] | None = None, row_key: str | None = None
 ) -> DataFrame:
     """First row per comparison key of the text columns.
 
     With no ``columns`` the text columns are found by their content; a table without any stays
-    as it is. Rows are grouped by the SHA-256 of the key, so a long text is shuffled once, not twice.
+    as it is. Rows are grouped by the SHA-256 of the key. With ``row_key``, a column that no two rows
+    share, the first row is the one of its least value, only keys are grouped and the rows follow
+    by a semi-join; without it whole rows go through the grouping.
     """
     columns = text_column_names(df) if columns is None else columns
     if not columns:
         return df
-    with_key = df.withColumn("_key", F.sha2(text_row_key(columns), 256))
+    key = F.sha2(text_row_key(columns), 256)
+    if row_key is not None:
+        first = df.groupBy(key.alias("_key")).agg(F.min(col(row_key)).alias("_first"))
+        return df.join(first, col(row_key).eqNullSafe(F.col("_first")), "left_semi")
+    with_key = df.withColumn("_key", key)
     return pick_rows(with_key, ["_key"], order_by).drop("_key")
 
 

@@ -3,11 +3,12 @@
 Values are counted per bucket, the running counts say which bucket holds a wanted rank, and that
 bucket is split further until one value is left.
 
-* ``values``   a bucket is one value, so a single round is enough. Its table is as long as the
-  distinct values of a column; taken when the plan's size estimate is small.
 * ``buckets``  a bucket is a value rounded to 12 bits; two more rounds over the few buckets that
   hold a wanted rank narrow it down to one double. The table of a round has a bounded length
-  whatever the data, and what is broadcast is one row per column and rank.
+  whatever the data, and what is broadcast is one row per column and rank. This is the default
+  at every size.
+* ``values``   a bucket is one value, so a single round is enough, over a table as long as the
+  distinct values of a column. Only on request, for columns known to have few.
 
 Both give the same numbers. Spark's own ``percentile`` is not used: it keeps all distinct values
 of a column in one task's memory.
@@ -17,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.frames import beside, chunked, keyed, number, union
-from tablewright.session import is_small
 
 # name -> (numerator, denominator, interpolate)
 QUARTILES = {"q1": (1, 4, False), "q3": (3, 4, False)}
@@ -25,7 +25,6 @@ MEDIAN = {"p50": (1, 2, False)}
 SUMMARY = {"p25": (1, 4, False), "p50": (1, 2, False), "p75": (3, 4, False)}
 LINEAR_QUARTILES = {"q1": (1, 4, True), "q3": (3, 4, True)}
 
-SMALL_BYTES = 4 * 1024 * 1024
 _SPLIT = float(2**22)      # equal-width parts of a bucket in rounds two and three
 _ROUNDING = float(2**41 + 1)  # keeps the first 12 bits of a double's 53
 
@@ -38,7 +37,7 @@ def order_stats(df: DataFrame, columns: list[str], stats: dict, method: str = "a
     The input is read up to three times, so it must give the same values each time.
     """
     if method == "auto":
-        method = "values" if is_small(df, SMALL_BYTES) else "buckets"
+        method = "buckets"
     if method not in ("values", "buckets"):
         raise ValueError(f"unknown method {method!r}")
     if not columns:
@@ -55,9 +54,13 @@ def _cells(df, columns, slots):
 
 def _coarse(x: Column) -> Column:
     """x rounded to 12 significant bits: order-preserving, about 2,000 steps per factor of two."""
-    scaled = x * F.lit(_ROUNDING)
-    rounded = scaled - (scaled - x)
-    return F.when(F.abs(x) < F.lit(1e290), rounded).otherwise(x)
+
+    def rounded(y):
+        scaled = y * F.lit(_ROUNDING)
+        return scaled - (scaled - y)
+
+    huge = F.abs(x) >= F.lit(1e290)  # scaled down first, so that nothing overflows
+    return F.when(F.abs(x).isin(float("inf")) | F.isnan(x), x).when(huge, rounded(x * F.lit(2.0**-64)) * F.lit(2.0**64)).otherwise(rounded(x))
 
 
 def _wanted(stats) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.text import trim_spaces
 from tablewright.operators import clean as ops
-from tablewright.operators.frames import beside, col, keyed, number, numeric_columns, percent, string_columns, to_long
+from tablewright.operators.frames import beside, col, numeric_columns, percent, string_columns, to_long
 from tablewright.operators.integrate import integrate
 from tablewright.operators.lineage import table_edges
 from tablewright.operators.mask import desensitize, mask_log
@@ -15,7 +15,7 @@ from tablewright.operators.profile import source_profile
 from tablewright.operators.quality import quality_scores, repair_tiers, snapshot
 from tablewright.session import checkpointed
 from tablewright.sources import layers
-from tablewright.sources.files import read_source
+from tablewright.sources.files import read_source, reader_for
 
 
 @dataclass
@@ -46,13 +46,14 @@ class Stages:
         o = self.options = options or CleanOptions()
         keep = checkpointed if o.write_stages else (lambda d: d)
         numbers = numeric_columns(df)
-        self.slots = keyed(numbers, df.columns)
         self.input = df
-        fills = ops.fit(ops.fill_values(df, numbers, o.missing_strategy, o.method)) if numbers else {}
-        self.filled = keep(ops.fill_missing(df, o.missing_strategy, numbers, o.method, fills))
+        extent = ops.fit_extent(df, numbers) if numbers else None
+        self.nulls = extent["nulls"] if numbers else {}
+        self.fills = ops.fit_fills(df, numbers, o.missing_strategy, o.method, extent)
+        self.filled = keep(ops.fill_missing(df, o.missing_strategy, numbers, o.method, self.fills))
         self.bounds = None
         if o.outlier_method == "iqr" and numbers:
-            self.bounds = ops.fit(ops.outlier_bounds(self.filled, numbers, o.method))
+            self.bounds = ops.fit_bounds(self.filled, numbers, o.method, extent)
         self.bounded = ops.null_outliers(self.filled, o.outlier_method, numbers, o.method, self.bounds)
         self.distinct = keep(ops.drop_duplicates(self.bounded)) if o.dedup else self.bounded
         self.trimmed = ops.trim_strings(self.distinct) if o.normalize else self.distinct
@@ -84,19 +85,18 @@ def clean_report(df: DataFrame, options: CleanOptions | None = None) -> DataFram
 
 
 def _report(s: Stages) -> DataFrame:
-    o, at = s.options, s.slots
+    o = s.options
     rows = F.count(F.lit(1))
-    nulls = sum((F.count_if(col(c).isNull()) for c in at), F.lit(0))
-    outside = F.lit(0)
+    filled = sum(s.nulls[c] for c in s.fills)
+    outside, bounded = F.lit(0), rows
     if s.bounds:
-        low_high = {c: (s.bounds[f"lo_{i}"], s.bounds[f"hi_{i}"]) for c, i in at.items()}
-        outside = sum((F.count_if(~number(c).between(*ends)) for c, ends in low_high.items()), F.lit(0))
+        bounded = F.count_if(ops.survives(s.filled, s.bounds))
+        outside = sum((F.count_if(~ops.inside(s.filled, c, s.bounds)) for c in s.bounds["fences"]), F.lit(0))
     texts = string_columns(s.distinct)
     trims = sum((F.count_if(trim_spaces(col(c)) != col(c)) for c in texts), F.lit(0)) if o.normalize else F.lit(0)
+    # filling keeps every row and bounding is row-wise, so one pass counts the rows of all three
     frames = [
-        s.input.agg(rows.alias("before"), nulls.alias("nulls_before")),
-        s.filled.agg(nulls.alias("nulls_after"), outside.alias("outliers")),
-        s.bounded.agg(rows.alias("bounded")),
+        s.filled.agg(rows.alias("before"), outside.alias("outliers"), bounded.alias("bounded")),
         s.distinct.agg(rows.alias("distinct"), trims.alias("trimmed")),
     ]
     after = F.col("distinct")
@@ -108,7 +108,7 @@ def _report(s: Stages) -> DataFrame:
         ("rows_before", "", F.col("before")),
         ("rows_after", "", after),
         ("rows_removed", "", removed),
-        ("fill_missing", o.missing_strategy, F.col("nulls_before") - F.col("nulls_after")),
+        ("fill_missing", o.missing_strategy, F.lit(filled)),
     ]
     if s.bounds:
         entries.append(("remove_outliers", "iqr", F.col("outliers")))
@@ -164,9 +164,11 @@ def ingest(
     """Read a source, profile it and land all its rows in bronze; gives profile, receipt and edge."""
     df = read_source(spark, path, kind)
     name = source or source_name_of(path)
-    receipt = layers.bronze_append(df, base, name, ingest_date)
+    found = source_profile(df)
+    types = {f"type.{r['column']}": r["dtype"] for r in found.collect()}
+    receipt = layers.bronze_append(df, base, name, ingest_date, {"source_path": path, "source_kind": kind or reader_for(path), **types})
     return {
-        "profile": source_profile(df),
+        "profile": found,
         "receipt": receipt,
         "edges": _edge(spark, [(path, f"bronze:{name}")], "ingest"),
     }
@@ -189,10 +191,11 @@ def integrate_to_silver(
     join_key: str = "",
     dedup_keys: list[str] | None = None,
     order_by: list[Column] | None = None,
+    how: str = "inner",
 ) -> dict[str, DataFrame]:
     """Merge the newest data of bronze sources into a silver table; gives receipt and edges."""
     frames = {name: layers.read_latest(spark, base, name) for name in sources}
-    merged = integrate(frames, strategy, join_key, dedup_keys, order_by)
+    merged = integrate(frames, strategy, join_key, dedup_keys, order_by, how)
     receipt = layers.silver_write(merged, base, domain, table)
     edges = _edge(spark, [(f"bronze:{s}", f"silver:{domain}/{table}") for s in sources], "integrate")
     return {"receipt": receipt, "edges": edges}
