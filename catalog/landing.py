@@ -25,6 +25,30 @@ def s1_tsv(spark, sf):
     return files.read_source(spark, path).withColumns({c: F.col(c).cast("bigint") for c in ("s_suppkey", "s_nationkey")})
 
 
+# quoted line ends and separators, then rows with a cell too many
+_NOTED = "SELECT c_custkey AS id, concat(c_name, chr(10), 'said \"hi; there\", ', c_mktsegment) AS note, c_acctbal AS amount FROM {customer}"
+
+
+@query("s1_csv_quoted", with_src(_NOTED, "SELECT CAST(id AS BIGINT) AS id, note, amount FROM src"))
+def s1_quoted(spark, sf):
+    path = scratch_path(spark, "noted")
+    frame(spark, sf, _NOTED).write.option("header", True).option("sep", ";").option("quoteAll", True).option("escape", '"').csv(path)
+    return files.read_csv(spark, path).withColumn("id", F.col("id").cast("bigint"))
+
+
+@query(
+    "s1_csv_surplus",
+    """SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_nationkey AS BIGINT) AS nation,
+        CASE WHEN c_custkey % 5 = 0 THEN concat(c_custkey, ',', c_nationkey, ',SURPLUS') END AS _corrupt_record FROM customer""",
+)
+def s1_surplus(spark, sf):
+    path = scratch_path(spark, "surplus")
+    cells = F.concat_ws(",", "c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 5 == 0, "SURPLUS"))
+    # as one column under another separator, so that the commas stay bare
+    table(spark, sf, "customer").select(cells.alias("id,nation")).write.option("header", True).option("sep", "\t").csv(path)
+    return files.read_csv(spark, path, "id bigint, nation bigint", ",", surplus=True)
+
+
 @query("s2_json_scan", "SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS user_id, event_type, value, props, CAST(ts AS VARCHAR) AS ts FROM events")
 def s2(spark, sf):
     path = scratch_path(spark, "events") + ".jsonl"
@@ -54,6 +78,11 @@ def s6(spark, sf):
     return files.page(table(spark, sf, "orders"), ["o_orderkey"], 1000, 500)
 
 
+@query("s6_page_after", "SELECT * FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 1000")
+def s6_after(spark, sf):
+    return files.page(table(spark, sf, "orders"), ["o_orderkey"], 1000, after={"o_orderkey": 500})
+
+
 @query(
     "s7_describe",
     """SELECT t."column", t."type", true AS nullable, (SELECT count(*) FROM events) AS "rows"
@@ -164,25 +193,63 @@ def p4(spark, sf):
     return landed.withColumns({c: F.col(c).cast("bigint") for c in ("c_custkey", "c_nationkey")})
 
 
-_RECEIPT = """SELECT '{0}' AS dataset, 'ingest_date=2026-01-01' AS "partition", count(*) AS "rows", true AS has_bytes FROM {1}"""
+_RECEIPT = """SELECT '{0}' AS dataset, 'ingest_date=2026-01-01' AS "partition", count(*) AS "rows", {2} AS columns, true AS has_bytes FROM {1}"""
 
 
 def _receipt(df):
-    return df.select("dataset", "partition", "rows", (F.col("size_bytes") > 0).alias("has_bytes"))
+    return df.select("dataset", "partition", "rows", "columns", (F.col("size_bytes") > 0).alias("has_bytes"))
 
 
-@query("l1_bronze_append", with_src(ORDERS, _RECEIPT.format("orders", "src")))
+@query(
+    "p4_ingest_receipt",
+    """SELECT 'customers' AS dataset, count(*) AS "rows", 5 AS columns, 'csv' AS kind, true AS has_path, 'integer' AS key_type, 'float' AS balance_type,
+        'bronze:customers' AS target FROM customer""",
+)
+def p4_receipt(spark, sf):
+    path = scratch_path(spark, "customer") + ".csv"
+    table(spark, sf, "customer").write.option("header", True).csv(path)
+    out = prepare.ingest(spark, path, scratch_path(spark, "lake"), "customers", ingest_date="2026-01-01")
+    found = out["receipt"].crossJoin(out["edges"].select("source", "target"))
+    return found.select(
+        "dataset", "rows", "columns", F.col("metadata")["source_kind"].alias("kind"),
+        ((F.col("metadata")["source_path"] == path) & (F.col("source") == path)).alias("has_path"),
+        F.col("metadata")["type.c_custkey"].alias("key_type"), F.col("metadata")["type.c_acctbal"].alias("balance_type"), "target",
+    )
+
+
+@query("l1_bronze_append", with_src(ORDERS, _RECEIPT.format("orders", "src", 6)))
 def l1(spark, sf):
     return _receipt(layers.bronze_append(frame(spark, sf, ORDERS), scratch_path(spark, "lake"), "orders", "2026-01-01"))
 
 
-@query("l2_bronze_append_csv", _RECEIPT.format("part", "part"))
+@query("l2_bronze_append_csv", _RECEIPT.format("part", "part", 6))
 def l2(spark, sf):
     path = scratch_path(spark, "part") + ".csv"
     table(spark, sf, "part").write.option("header", True).csv(path)
     return _receipt(layers.bronze_append_csv(spark, path, scratch_path(spark, "lake"), "part", "2026-01-01"))
 
 
+@query(
+    "l1_bronze_twice",
+    """SELECT CAST(c_custkey AS BIGINT) AS id, NULL::VARCHAR AS ingest_date, NULL::DOUBLE AS balance, true AS same_bytes FROM customer
+    UNION ALL SELECT CAST(c_custkey AS BIGINT), c_name, c_acctbal, true FROM customer""",
+)
+def l1_twice(spark, sf):
+    # two loads of one day, one of them with more columns and a column named as the day folder is
+    base = scratch_path(spark, "lake")
+    customers = table(spark, sf, "customer")
+    narrow = customers.select(F.col("c_custkey").alias("id"))
+    wide = customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("ingest_date"), F.col("c_acctbal").alias("balance"))
+    first = layers.bronze_append(narrow, base, "c", "2026-01-01").first()["size_bytes"]
+    both = first + layers.bronze_append(wide, base, "c", "2026-01-01").first()["size_bytes"]
+    again = layers.bronze_append(narrow, base, "c", "2026-01-01").first()["size_bytes"]
+    total = layers.bronze_stats(spark, base).first()["size_bytes"]
+    rows = layers.read_partition(spark, base, "c", "2026-01-01")
+    # the third load repeats the first: its rows are taken out again
+    kept = rows.where("balance IS NOT NULL").unionByName(rows.where("balance IS NULL").distinct())
+    return kept.select("id", "ingest_date", "balance", F.lit(first == again and total == both + again).alias("same_bytes"))
+
+
 @query("l3_list_sources", "SELECT * FROM (VALUES ('customers'), ('orders'), ('orders_extra')) AS t(source)")
 def l3(spark, sf):
     return layers.list_sources(spark, _lake(spark, sf, "lake"))
@@ -227,6 +294,15 @@ def l9(spark, sf):
     return layers.silver_read(spark, base, "sales", "orders")
 
 
+@query("l9_silver_empty_write", _SILVER)
+def l9_empty(spark, sf):
+    base = scratch_path(spark, "lake")
+    orders = _spaced(table(spark, sf, "orders"))
+    layers.silver_write(orders, base, "sales", "orders")
+    layers.silver_write(orders.where("false"), base, "sales", "orders")
+    return layers.silver_read(spark, base, "sales", "orders")
+
+
 @query("l10_silver_newest", _SILVER)
 def l10(spark, sf):
     base = scratch_path(spark, "lake")

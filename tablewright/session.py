@@ -28,11 +28,14 @@ def local_session(cpus: str = "8", app: str = "tablewright") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, visible to every executor.
 
-    Only when the session names none (tests, one machine) a temporary folder is made and set.
+    Only a local session that names none (tests, one machine) gets a temporary folder; on a cluster
+    a folder of the driver would be out of the executors' reach, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext.getCheckpointDir()
     if not named and not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tablewright-")
     if not current:
         spark.sparkContext.setCheckpointDir(named)
@@ -50,6 +53,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sql_over(spark: SparkSession, sql: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """The result of a text that calls the given tables by name.
+
+    The text is resolved at once; then the session's views are as they were before.
+    """
+    shadowed = {n: spark.table(n) for n in frames if any(t.isTemporary for t in spark.catalog.listTables(pattern=n))}
+    try:
+        for name, df in frames.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(sql)
+    finally:
+        for name in frames:
+            if name in shadowed:
+                shadowed[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the plan's output, None where it cannot be asked."""
     try:

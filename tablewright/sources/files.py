@@ -4,10 +4,12 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import hints
 from tablewright.operators.frames import to_long
 from tablewright.operators.profile import row_counts
+from tablewright.session import sql_over
 
 
 def reader_for(path: str) -> str:
@@ -18,11 +20,52 @@ def reader_for(path: str) -> str:
     return hints.READERS.get(ext, "csv") if dot else "csv"
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, sep: str | None = None) -> DataFrame:
-    """CSV or TSV with a header. Without a schema types are sniffed, which reads the file once more."""
-    sep = sep or ("\t" if path.lower().endswith(".tsv") else ",")
-    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+SEPARATORS = (",", ";", "\t", "|")
+CORRUPT = "_corrupt_record"
+
+
+def sniff_separator(spark: SparkSession, path: str) -> str:
+    """The separator that cuts the first lines into the same number of cells, more than one; else ','."""
+    lines = [re.sub(r'"[^"]*"', "", r[0]) for r in spark.read.text(path).where("value != ''").take(10)]
+    counts = {s: {line.count(s) for line in lines} for s in SEPARATORS}
+    steady = [s for s in SEPARATORS if len(counts[s]) == 1 and counts[s] != {0}]
+    header = [s for s in SEPARATORS if lines and lines[0].count(s)]
+    return max(steady or header or [","], key=lambda s: lines[0].count(s) if lines else 0)
+
+
+def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
+    """True when some line of the whole file holds an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema=None, sep: str | None = None, multi_line: bool | None = None, surplus: bool | None = None
+) -> DataFrame:
+    """CSV with a header. What is not given is found out, by one pass over the file for each of them.
+
+    ``sep`` comes from the name (.tsv) or the first lines, ``multi_line`` (cells that hold line
+    ends; such files are not split) from the quotes of all lines, the schema from all values. Rows whose cells do not fit the
+    columns are kept: with ``surplus``, or where the file holds any, their text is in the column
+    ``_corrupt_record``.
+    """
+    sep = sep or ("\t" if path.lower().endswith(".tsv") else sniff_separator(spark, path))
+    multi_line = has_quoted_newlines(spark, path) if multi_line is None else multi_line
+
+    def reader():
+        options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "enforceSchema": True}
+        return spark.read.options(**options)
+
+    if schema is None:
+        schema = reader().option("inferSchema", True).csv(path).schema
+    plain = reader().schema(schema).csv(path)
+    if surplus is False or CORRUPT in plain.columns:
+        return plain
+    wide = T.StructType([*plain.schema.fields, T.StructField(CORRUPT, T.StringType())])
+    kept = reader().option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT).schema(wide).csv(path)
+    if surplus or kept.where(F.col(CORRUPT).isNotNull()).take(1):
+        return kept
+    return plain
 
 
 def read_json(spark: SparkSession, path: str, schema=None, lines: bool | None = None) -> DataFrame:
@@ -62,18 +105,33 @@ def read_source(spark: SparkSession, path: str, kind: str | None = None, schema=
 
 def query(df: DataFrame, sql: str) -> DataFrame:
     """Any SELECT over one source, which the text calls ``_src``."""
-    df.createOrReplaceTempView("_src")
-    return df.sparkSession.sql(sql)
+    return sql_over(df.sparkSession, sql, {"_src": df})
+
 
+def page(
+    df: DataFrame, order_by: list[Column | str], limit: int = 1000, offset: int = 0, after: dict | None = None
+) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in the given order, or the ``limit`` rows ``after`` a key.
 
-def page(df: DataFrame, order_by: list[Column | str], limit: int = 1000, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in the given order."""
+    ``after`` holds the last row's values of ``order_by`` (names, ascending): what comes before is
+    filtered out in the scan and only ``limit`` rows are ever brought together. An ``offset`` is
+    for the first pages, as limit plus offset rows meet in one task.
+    """
     for name, value in (("limit", limit), ("offset", offset)):
         if not isinstance(value, int) or value < 0:
             raise ValueError(f"{name} must be a non-negative integer")
     if not order_by:
         raise ValueError("a page needs an order")
-    return df.orderBy(*order_by).offset(offset).limit(limit)
+    if after is not None:
+        if offset or list(after) != list(order_by):
+            raise ValueError("after needs a value for each column of the order, and no offset")
+        later, same = F.lit(False), F.lit(True)
+        for name, value in after.items():
+            later = later | (same & (F.col(name) > F.lit(value)))
+            same = same & (F.col(name) == F.lit(value))
+        df = df.where(later)
+    ordered = df.orderBy(*order_by)
+    return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
 def describe(df: DataFrame) -> DataFrame:

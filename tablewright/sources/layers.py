@@ -1,6 +1,6 @@
 """Bronze, silver and gold layers as Parquet folders.
 
-bronze/{source}/ingest_date={date}   append-only
+bronze/{source}/ingest_date={date}/load={id}   append-only
 silver/{domain}/{table}/version={v}  the newest complete version is the table
 gold/{name}/version={v}              the newest complete version is the dataset
 """
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import hints
 from tablewright.operators.frames import union
+from tablewright.session import sql_over
 
 _SAFE = re.compile(r"^[A-Za-z0-9_一-鿿][A-Za-z0-9_.一-鿿-]*$")
 
@@ -26,8 +27,12 @@ def _safe(name: str) -> str:
 
 
 def clean_names(df: DataFrame) -> DataFrame:
-    """Blanks and '-' in column names become '_'."""
-    return df.toDF(*[re.sub(r"[ -]", "_", c) for c in df.columns])
+    """Blanks and '-' in column names become '_'; names that would then clash raise an error that lists them."""
+    names = [re.sub(r"[ -]", "_", c) for c in df.columns]
+    clashing = sorted({c for c, n in zip(df.columns, names) if [m.lower() for m in names].count(n.lower()) > 1})
+    if clashing:
+        raise ValueError(f"column names clash once cleaned: {clashing}")
+    return df.toDF(*names)
 
 
 def _new_version() -> str:
@@ -42,91 +47,100 @@ def _write_counted(df: DataFrame, write) -> int:
     return seen.get["rows"]
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame | None:
-    """(path, length) of the Parquet files below a folder; contents are not read."""
-    try:
-        listing = (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.parquet")
-            .load(path)
-        )
-    except AnalysisException:
-        return None
-    return listing.select("path", "length")
-
-
-def _receipt(spark, dataset, path, part, rows):
-    files = _files(spark, f"{path}/{part}") if rows else None
-    size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes")) if files is not None else None
-    base = size if size is not None else spark.range(1).select(F.lit(0).cast("bigint").alias("size_bytes"))
-    return base.select(
-        F.lit(dataset).alias("dataset"),
-        F.lit(f"{path}/{part}" if rows else "").alias("path"),
-        F.lit(part if rows else "").alias("partition"),
-        F.lit(rows).cast("bigint").alias("rows"),
-        "size_bytes",
-    )
+def _folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders (or marks) that a path pattern meets, in order; files are not listed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(s.getPath().toString() for s in found or [])
+
+
+def _bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes below a folder, by the file system's own summary."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
+
+
+_RECEIPT = (
+    "dataset string, path string, partition string, rows long, size_bytes long, columns int, "
+    "schema array<struct<name:string,type:string>>, metadata map<string,string>"
+)
+
+
+def _receipt(df: DataFrame, dataset: str, path: str, part: str, rows: int, folder: str = "", metadata: dict | None = None) -> DataFrame:
+    """What one write landed: rows, the bytes of its own files, its schema and the caller's metadata."""
+    spark = df.sparkSession
+    size = _bytes(spark, folder) if rows else 0
+    schema = [(f.name, f.dataType.simpleString()) for f in df.schema]
+    given = {k: str(v) for k, v in (metadata or {}).items()}
+    row = (dataset, f"{path}/{part}" if rows else "", part if rows else "", rows, size, len(schema), schema, given)
+    return spark.createDataFrame([row], _RECEIPT)
 
 
 # ---- bronze ----------------------------------------------------------------
 
-def bronze_append(df: DataFrame, base: str, source: str, ingest_date: str | None = None) -> DataFrame:
-    """Append all rows under the source and date; an empty table lands nothing. Gives a receipt."""
-    date = ingest_date or datetime.now(timezone.utc).strftime("%Y-%m-%d")
-    path = f"{base}/bronze/{_safe(source)}"
-    dated = df.withColumn("ingest_date", F.lit(date))
-    rows = _write_counted(dated, lambda d: d.write.mode("append").partitionBy("ingest_date").parquet(path))
-    return _receipt(df.sparkSession, source, path, f"ingest_date={date}", rows)
+def bronze_append(
+    df: DataFrame, base: str, source: str, ingest_date: str | None = None, metadata: dict | None = None
+) -> DataFrame:
+    """Append all rows under the source and date; an empty table lands nothing. Gives a receipt.
+
+    Every load has a folder of its own below the date and the date is no column of the files, so
+    a column named ``ingest_date`` is kept like any other.
+    """
+    date = _safe(ingest_date or datetime.now(timezone.utc).strftime("%Y-%m-%d"))
+    path, part = f"{base}/bronze/{_safe(source)}", f"ingest_date={date}"
+    if df.isEmpty():
+        return _receipt(df, source, path, part, 0, metadata=metadata)
+    folder = f"{path}/{part}/load={_new_version()}"
+    rows = _write_counted(df, lambda d: d.write.mode("errorifexists").parquet(folder))
+    return _receipt(df, source, path, part, rows, folder, metadata)
 
 
 def bronze_append_csv(spark: SparkSession, csv_path: str, base: str, source: str, ingest_date: str | None = None):
     from tablewright.sources.files import read_csv
 
-    return bronze_append(read_csv(spark, csv_path), base, source, ingest_date)
+    return bronze_append(read_csv(spark, csv_path), base, source, ingest_date, {"source_path": csv_path})
 
 
-def _bronze_parts(spark, base):
-    files = _files(spark, f"{base}/bronze")
-    if files is None:
-        return spark.createDataFrame([], "source string, ingest_date string, length bigint")
-    where = r"/bronze/([^/]+)/ingest_date=([^/]+)/[^/]+$"
-    return files.select(
-        F.url_decode(F.regexp_extract("path", where, 1)).alias("source"),
-        F.regexp_extract("path", where, 2).alias("ingest_date"),
-        "length",
-    ).where("source != ''")
+def _bronze_days(spark: SparkSession, base: str, source: str = "*") -> list[tuple[str, str, str]]:
+    """(source, date, folder) of the days landed; only folders are listed."""
+    days = [f.rsplit("/", 2) for f in _folders(spark, f"{base}/bronze/{source}/ingest_date=*")]
+    return [(s, d.removeprefix("ingest_date="), f"{top}/{s}/{d}") for top, s, d in days]
 
 
 def list_sources(spark: SparkSession, base: str) -> DataFrame:
-    return _bronze_parts(spark, base).select("source").distinct().orderBy("source")
+    names = sorted({s for s, _, _ in _bronze_days(spark, base)})
+    return spark.createDataFrame([(s,) for s in names], "source string").orderBy("source")
 
 
 def list_partitions(spark: SparkSession, base: str, source: str) -> DataFrame:
-    parts = _bronze_parts(spark, base).where(F.col("source") == source)
-    return parts.select("ingest_date").distinct().orderBy(F.desc("ingest_date"))
+    days = [(d,) for _, d, _ in _bronze_days(spark, base, _safe(source))]
+    return spark.createDataFrame(days, "ingest_date string").orderBy(F.desc("ingest_date"))
 
 
 def read_partition(spark: SparkSession, base: str, source: str, ingest_date: str) -> DataFrame:
-    """All rows of one date; only that folder is listed and read."""
+    """All rows of one date under the columns of all its loads; only that folder is listed and read."""
     path = f"{base}/bronze/{_safe(source)}"
     try:
-        return spark.read.parquet(f"{path}/ingest_date={_safe(ingest_date)}")
+        reader = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
+        return reader.parquet(f"{path}/ingest_date={_safe(ingest_date)}")
     except AnalysisException as e:
         raise FileNotFoundError(f"no partition {ingest_date} of {source}") from e
 
 
 def read_latest(spark: SparkSession, base: str, source: str) -> DataFrame:
-    newest = list_partitions(spark, base, source).first()
-    if newest is None:
+    """The newest day of a source; of the lake only this source's folders are listed."""
+    days = _bronze_days(spark, base, _safe(source))
+    if not days:
         raise FileNotFoundError(f"no data for source {source}")
-    return read_partition(spark, base, source, newest["ingest_date"])
+    return read_partition(spark, base, source, max(d for _, d, _ in days))
 
 
 def bronze_stats(spark: SparkSession, base: str) -> DataFrame:
     """(source, partitions, latest, size_bytes) per source."""
+    days = [(s, d, _bytes(spark, folder)) for s, d, folder in _bronze_days(spark, base)]
     return (
-        _bronze_parts(spark, base)
+        spark.createDataFrame(days, "source string, ingest_date string, length bigint")
         .groupBy("source")
         .agg(
             F.count_distinct("ingest_date").alias("partitions"),
@@ -139,18 +153,22 @@ def bronze_stats(spark: SparkSession, base: str) -> DataFrame:
 # ---- silver and gold -------------------------------------------------------
 
 def _write_version(df: DataFrame, dataset: str, path: str) -> DataFrame:
-    part = f"version={_new_version()}"
-    rows = _write_counted(clean_names(df), lambda d: d.write.mode("errorifexists").parquet(f"{path}/{part}"))
-    return _receipt(df.sparkSession, dataset, path, part, rows)
+    """A new version; a table without rows writes none, so the newest stays."""
+    named, part = clean_names(df), f"version={_new_version()}"
+    if named.isEmpty():
+        return _receipt(named, dataset, path, part, 0)
+    rows = _write_counted(named, lambda d: d.write.mode("errorifexists").parquet(f"{path}/{part}"))
+    return _receipt(named, dataset, path, part, rows, f"{path}/{part}")
+
+
+def _versions(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders of the versions whose write has completed (they hold the success mark)."""
+    return [mark.rpartition("/")[0] for mark in _folders(spark, f"{pattern}/version=*/_SUCCESS")]
 
 
 def _newest_version(spark: SparkSession, path: str) -> str | None:
-    """Newest version whose write has completed (it holds the success mark)."""
-    jvm = spark._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    versions = sorted(s.getPath().getParent().getName() for s in found or [])
-    return versions[-1] if versions else None
+    found = _versions(spark, path)
+    return found[-1].rpartition("/")[2] if found else None
 
 
 def silver_write(df: DataFrame, base: str, domain: str, table: str) -> DataFrame:
@@ -167,16 +185,9 @@ def silver_read(spark: SparkSession, base: str, domain: str, table: str) -> Data
 
 
 def silver_stats(spark: SparkSession, base: str) -> DataFrame:
-    """(domain, tables, names, size_bytes) per domain."""
-    files = _files(spark, f"{base}/silver")
-    if files is None:
-        return spark.createDataFrame([], "domain string, tables bigint, names string, size_bytes bigint")
-    where = r"/silver/([^/]+)/([^/]+)/version=[^/]+/[^/]+$"
-    cut = files.select(
-        F.url_decode(F.regexp_extract("path", where, 1)).alias("domain"),
-        F.url_decode(F.regexp_extract("path", where, 2)).alias("table"),
-        "length",
-    )
+    """(domain, tables, names, size_bytes) per domain, over the completed versions."""
+    parts = [(*f.rsplit("/", 3)[1:3], _bytes(spark, f)) for f in _versions(spark, f"{base}/silver/*/*")]
+    cut = spark.createDataFrame(parts, "domain string, table string, length bigint")
     tables = cut.groupBy("domain", "table").agg(F.sum("length").alias("length"))
     return tables.groupBy("domain").agg(
         F.count(F.lit(1)).alias("tables"),
@@ -203,11 +214,12 @@ def check_select(sql: str) -> None:
 
 
 def gold_from_sql(spark: SparkSession, sql: str, base: str, name: str, views: dict[str, DataFrame] | None = None):
-    """Run a SELECT over registered views and write its result as a gold dataset."""
+    """Run a SELECT over named tables and write its result as a gold dataset.
+
+    The names hold for this text alone: views of a session are left as they are.
+    """
     check_select(sql)
-    for view, df in (views or {}).items():
-        df.createOrReplaceTempView(view)
-    return gold_write(spark.sql(sql), base, name)
+    return gold_write(sql_over(spark, sql, views or {}), base, name)
 
 
 def gold_read(spark: SparkSession, base: str, name: str) -> DataFrame | None:
@@ -217,16 +229,13 @@ def gold_read(spark: SparkSession, base: str, name: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/{newest}") if newest else None
 
 
-def _gold_files(spark, base):
-    files = _files(spark, f"{base}/gold")
-    if files is None:
-        return spark.createDataFrame([], "name string, length bigint")
-    where = r"/gold/([^/]+)/version=[^/]+/[^/]+$"
-    return files.select(F.url_decode(F.regexp_extract("path", where, 1)).alias("name"), "length")
+def _gold_parts(spark: SparkSession, base: str) -> DataFrame:
+    parts = [(f.rsplit("/", 2)[1], _bytes(spark, f)) for f in _versions(spark, f"{base}/gold/*")]
+    return spark.createDataFrame(parts, "name string, length bigint")
 
 
 def list_gold(spark: SparkSession, base: str) -> DataFrame:
-    return _gold_files(spark, base).select("name").distinct().orderBy("name")
+    return _gold_parts(spark, base).select("name").distinct().orderBy("name")
 
 
 def storage_status(spark: SparkSession, base: str) -> DataFrame:
@@ -236,7 +245,7 @@ def storage_status(spark: SparkSession, base: str) -> DataFrame:
         F.col(key).alias("dataset"),
         F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("bigint").alias("value")) for m in metrics])),
     )
-    gold = _gold_files(spark, base).groupBy("name").agg(F.sum("length").alias("size_bytes"))
+    gold = _gold_parts(spark, base).groupBy("name").agg(F.sum("length").alias("size_bytes"))
     return union(
         [
             long(bronze_stats(spark, base), "bronze", "source", ["partitions", "size_bytes"]),

@@ -132,3 +132,73 @@ def test_ingest_and_integrate(spark, lake, tmp_path):
     assert layers.load(spark, lake, "silver:sales/joined").count() == 2
     prepare.integrate_to_silver(spark, lake, ["erp_sales", "crm"], "sales", "all")
     assert layers.load(spark, lake, "silver:sales/all").count() == 253
+
+
+@pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
+def test_csv_dialects(spark, tmp_path, sep):
+    path = tmp_path / "d.csv"
+    path.write_text(sep.join(["id", "note", "n"]) + "\n" + sep.join(["1", f'"x\ny{sep}z"', "3"]) + "\n" + sep.join(["2", "plain", "4"]) + "\n")
+    assert sorted(map(tuple, files.read_csv(spark, str(path)).collect())) == [(1, f"x\ny{sep}z", 3), (2, "plain", 4)]
+
+
+def test_csv_cells_without_a_column_are_kept(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text("a,b\n1,x\n2,z,SURPLUS\n")
+    df = files.read_csv(spark, str(path))
+    assert df.columns == ["a", "b", "_corrupt_record"]
+    assert sorted(r["_corrupt_record"] or "" for r in df.collect()) == ["", "2,z,SURPLUS"]
+    assert files.read_csv(spark, str(path), surplus=False).columns == ["a", "b"]
+
+
+def test_page_after_a_key(spark):
+    df = spark.createDataFrame([(i // 3, i) for i in range(30)], "a int, b int")
+    assert [r["b"] for r in files.page(df, ["a", "b"], 4, after={"a": 2, "b": 7}).collect()] == [8, 9, 10, 11]
+    with pytest.raises(ValueError):
+        files.page(df, ["a", "b"], 4, after={"a": 2})
+
+
+def test_a_day_of_bronze_keeps_every_column(spark, lake):
+    narrow = spark.createDataFrame([(1,)], "a int")
+    wide = spark.createDataFrame([(2, "x", "y")], "a int, b string, ingest_date string")
+    one = layers.bronze_append(narrow, lake, "s", "2026-01-01", {"from": "test"}).first()
+    two = layers.bronze_append(narrow, lake, "s", "2026-01-01").first()
+    assert one["size_bytes"] == two["size_bytes"] and one["metadata"] == {"from": "test"}
+    assert [tuple(f) for f in one["schema"]] == [("a", "int")]
+    layers.bronze_append(wide, lake, "s", "2026-01-01")
+    rows = layers.read_partition(spark, lake, "s", "2026-01-01").select("a", "b", "ingest_date").collect()
+    assert sorted(map(tuple, rows)) == [(1, None, None), (1, None, None), (2, "x", "y")]
+
+
+def test_names_that_clash_and_empty_writes(spark, lake):
+    with pytest.raises(ValueError, match="user name"):
+        layers.silver_write(spark.createDataFrame([(1, 2)], "`user name` int, `user-name` int"), lake, "d", "t")
+    df = spark.createDataFrame([(1,)], "a int")
+    layers.gold_write(df, lake, "g")
+    assert layers.gold_write(df.where("false"), lake, "g").first()["path"] == ""
+    assert layers.gold_read(spark, lake, "g").count() == 1
+
+
+def test_views_stay_as_they_were(spark):
+    spark.range(3).createOrReplaceTempView("_src")
+    assert files.query(spark.range(5), "SELECT count(*) AS n FROM _src").first()["n"] == 5
+    assert spark.table("_src").count() == 3
+    spark.catalog.dropTempView("_src")
+
+
+def test_scratch_folder_is_named_on_a_cluster():
+    from tablewright.session import shared_folder
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = staticmethod(lambda: Conf())
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
