@@ -23,9 +23,11 @@ def _sources(spark, sf):
     return frame(spark, sf, _A), frame(spark, sf, _B)
 
 
-@query("i1_align", f"{_WITH} SELECT cust_id, name, tier, NULL::DOUBLE AS amount, NULL::TIMESTAMP AS ordered, NULL::BIGINT AS o_orderkey FROM a")
+@query("i1_align", f"""{_WITH} SELECT 1 AS source, cust_id, name, tier, NULL::DOUBLE AS amount, NULL::TIMESTAMP AS ordered, NULL::BIGINT AS o_orderkey FROM a
+    UNION ALL SELECT 2, cust_id, NULL, tier, amount, ordered, o_orderkey FROM b""")
 def i1(spark, sf):
-    return integrate.align(list(_sources(spark, sf)))[0]
+    first, second = integrate.align(list(_sources(spark, sf)))
+    return first.withColumn("source", F.lit(1)).union(second.withColumn("source", F.lit(2)).select("cust_id", "name", "tier", "amount", "ordered", "o_orderkey", "source"))
 
 
 @query("i2_union", f"{_WITH} {_UNION}")
@@ -46,8 +48,7 @@ def i3(spark, sf):
     FROM b JOIN a ON a.cust_id IS NOT DISTINCT FROM b.cust_id""")
 def i3_orders(spark, sf):
     a, b = _sources(spark, sf)
-    # no broadcast: the split into hot and cold keys
-    return integrate.join_sources(b, a, "cust_id", broadcast_bytes=0)
+    return integrate.join_sources(b, a, "cust_id")
 
 
 @query("i4_enrich", f"{_WITH} {_JOINED.format('LEFT')}")
@@ -80,6 +81,30 @@ def i6(spark, sf):
     return layers.load(spark, base, "silver:sales/people")
 
 
+# a third source, which only joins can lose
+_C = "SELECT c_custkey AS cust_id, CAST(c_nationkey AS BIGINT) AS nation FROM {customer} WHERE c_custkey % 3 > 0"
+_THREE = f"""{_WITH}, c AS ({twin(_C)}) SELECT j.cust_id, j.name, j.tier, j.amount, j.ordered, j.o_orderkey, c.nation
+    FROM ({_JOINED}) AS j {{}} JOIN c ON j.cust_id IS NOT DISTINCT FROM c.cust_id"""
+
+
+def _three(spark, sf, strategy, how):
+    base = scratch_path(spark, "lake")
+    for name, df in zip(("crm", "erp", "geo"), (*_sources(spark, sf), frame(spark, sf, _C))):
+        layers.bronze_append(df, base, name, "2026-01-01")
+    prepare.integrate_to_silver(spark, base, ["crm", "erp", "geo"], "sales", "people", strategy, "cust_id", order_by=_ORDER(), how=how)
+    return layers.load(spark, base, "silver:sales/people")
+
+
+@query("i6_join_three", _THREE.format("INNER", "INNER"))
+def i6_join(spark, sf):
+    return _three(spark, sf, "join", "inner")
+
+
+@query("i6_enrich_three", _THREE.format("LEFT", "LEFT"))
+def i6_enrich(spark, sf):
+    return _three(spark, sf, "enrich", "left")
+
+
 @query("i6_source_counts", "SELECT 'customer' AS source, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders")
 def i6_counts(spark, sf):
     return integrate.source_counts({"customer": table(spark, sf, "customer"), "orders": table(spark, sf, "orders")})

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.inputs import PEOPLE, frame, per_column, q_blank, q_digits, table, with_src
-from catalog.registry import query
+from catalog.registry import ORACLES, query
 from tablewright.functions import hints, masking
 from tablewright.operators import mask
 
@@ -116,6 +116,12 @@ def m12(spark, sf):
     return mask.desensitize(frame(spark, sf, PEOPLE), "token")
 
 
+@query("m12_token_by_cells", ORACLES["m12_token"])
+def m12_cells(spark, sf):
+    people = frame(spark, sf, PEOPLE)
+    return mask.tokenize(people, mask.personal_kinds(people), broadcast_bytes=0, row_key="cust_id")
+
+
 def _changed(c):
     return f"SELECT '{c}' AS \"column\", '{_KINDS[c]}:mask' AS detail, count_if({_kept(c, _MASKS[c])} IS DISTINCT FROM {c}) AS n FROM src"
 

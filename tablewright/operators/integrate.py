@@ -1,10 +1,11 @@
 """Integration of several sources: align, union, join, de-duplicate."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.frames import col, pick_rows, text, union
-from tablewright.operators.joins import BROADCAST_BYTES, attach
+from tablewright.operators.joins import attach
 
 
 def all_columns(sources: list[DataFrame]) -> list[str]:
@@ -37,7 +38,6 @@ def join_sources(
     key: str,
     order_by: list[Column] | None = None,
     how: str = "inner",
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left rows with the last right row of the same key, one column per name.
 
@@ -54,7 +54,7 @@ def join_sources(
     last = pick_rows(right, [key], order_by, last=True)
     renamed = {c: f"_right_{i}" for i, c in enumerate(right.columns) if c != key}
     lookup = last.select(col(key), *[col(c).alias(n) for c, n in renamed.items()])
-    joined = attach(left, lookup, key, how, broadcast_bytes)
+    joined = attach(left, lookup, key, how)
 
     def cell(c):
         if c not in renamed:
@@ -83,10 +83,13 @@ def integrate(
     join_key: str = "",
     dedup_keys: list[str] | None = None,
     order_by: list[Column] | None = None,
+    how: str = "inner",
 ) -> DataFrame:
     """Two or more sources merged by union, join or enrich, then de-duplicated on keys.
 
-    For the union the first row per key is the one of the earlier source.
+    For the union the first row per key is the one of the earlier source. Join and enrich attach
+    each further source to what the earlier ones gave; ``order_by`` (which right row is the last,
+    which merged row is the first) counts where all its columns exist.
     """
     if len(sources) < 2:
         raise ValueError("integration needs at least two sources")
@@ -98,8 +101,19 @@ def integrate(
         return dedup_on(merged, dedup_keys or [], order).drop("_source")
     if strategy not in ("join", "enrich") or not join_key:
         raise ValueError(f"unknown strategy {strategy!r}, or no join key")
-    merged = join_sources(frames[0], frames[1], join_key, order_by)
-    return dedup_on(merged, dedup_keys or [])
+    merged = frames[0]
+    for right in frames[1:]:
+        merged = join_sources(merged, right, join_key, _known(right, order_by), how)
+    return dedup_on(merged, dedup_keys or [], _known(merged, order_by))
+
+
+def _known(df: DataFrame, order_by: list[Column] | None) -> list[Column] | None:
+    """The order if the table has all its columns; only the plan is looked at."""
+    try:
+        df.select(*(order_by or []))
+        return order_by
+    except AnalysisException:
+        return None
 
 
 def source_counts(sources: dict[str, DataFrame]) -> DataFrame:

@@ -1,36 +1,17 @@
-"""Equi-join to a table with at most one row per key, safe for hot keys on the left."""
+"""Equi-join to a table with at most one row per key."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.frames import col
-from tablewright.session import is_small
 
-BROADCAST_BYTES = 32 * 1024 * 1024
-HOT_KEYS = 5000  # a hot key holds more than 1/5000 of the left rows, so there are fewer than 5000
 
-
-def attach(left: DataFrame, lookup: DataFrame, key: str, how: str = "inner", broadcast_bytes: int = BROADCAST_BYTES):
+def attach(left: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Left rows with the lookup's columns; keys match null-safely and the key appears once.
 
-    ``lookup`` has one row per key. A lookup of a checked small size is broadcast. Beyond that
-    the keys that hold a large share of the left side are joined by broadcasting their few
-    lookup rows, and only the other keys are shuffled.
+    ``lookup`` has one row per key. Adaptive execution sees the sizes that the stages before really
+    had: it broadcasts a lookup below the session's threshold, and of a hot key's left rows it makes
+    several tasks (the join kinds used here, inner and left, allow that for the left side).
     """
     other = lookup.withColumnRenamed(key, "_key")
-    on = col(key).eqNullSafe(F.col("_key"))
-    if is_small(lookup, broadcast_bytes):
-        return left.join(F.broadcast(other), on, how).drop("_key")
-    counts = left.groupBy(col(key).alias("_hot")).count()
-    total = counts.agg(F.sum("count").alias("total"))
-    hot = (
-        counts.crossJoin(F.broadcast(total))
-        .where(F.col("count") * HOT_KEYS > F.col("total"))
-        .select("_hot")
-    )
-    is_hot = lambda name: col(name).eqNullSafe(F.col("_hot"))
-    hot_lookup = other.join(F.broadcast(hot), is_hot("_key"), "left_semi")
-    hot_left = left.join(F.broadcast(hot), is_hot(key), "left_semi")
-    cold_left = left.join(F.broadcast(hot), is_hot(key), "left_anti")
-    joined = hot_left.join(F.broadcast(hot_lookup), on, how).unionByName(cold_left.join(other, on, how))
-    return joined.drop("_key")
+    return left.join(other, col(key).eqNullSafe(F.col("_key")), how).drop("_key")

@@ -7,9 +7,11 @@ from tablewright.functions import hints
 from tablewright.functions.masking import masked
 from tablewright.functions.text import is_blank
 from tablewright.operators.frames import col, string_columns, text, to_long, wide_agg
-from tablewright.operators.joins import BROADCAST_BYTES, attach
+from tablewright.operators.joins import attach
 from tablewright.session import checkpointed
 
+BROADCAST_BYTES = 32 * 1024 * 1024  # a measured size
+
 
 def personal_kinds(df: DataFrame, overrides: dict[str, str | None] | None = None) -> dict[str, str]:
     """{column: kind} by name hints, first kind wins; ``overrides`` add, change or (None) drop columns.
@@ -76,11 +78,15 @@ def token_dictionary(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     )
 
 
-def tokenize(df: DataFrame, kinds: dict[str, str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def tokenize(
+    df: DataFrame, kinds: dict[str, str], broadcast_bytes: int = BROADCAST_BYTES, row_key: str | None = None
+) -> DataFrame:
     """Each personal value replaced by its token; equal values of a kind share one token.
 
     A dictionary whose measured size is small is broadcast, once per column. A larger one meets
-    all cells of all columns in one join, after which the cells go back to their rows by row id.
+    all cells of all columns in one join, after which the cells go back to their rows by
+    ``row_key``, a column that no two rows share and none lacks. Without one the table is written
+    once, so that a row number can stand in.
     """
     if not kinds:
         return df
@@ -88,7 +94,7 @@ def tokenize(df: DataFrame, kinds: dict[str, str], broadcast_bytes: int = BROADC
     size = tokens.agg(F.sum(F.octet_length("value") + F.octet_length("token") + 64)).first()[0] or 0
     if size <= broadcast_bytes:
         return _tokens_by_broadcast(df, kinds, tokens)
-    return _tokens_by_cells(df, kinds, tokens)
+    return _tokens_by_cells(df, kinds, tokens, row_key)
 
 
 def _tokens_by_broadcast(df, kinds, tokens):
@@ -104,14 +110,17 @@ def _with_tokens(df, kinds):
     return [replaced.get(c, col(c)) for c in df.columns]
 
 
-def _tokens_by_cells(df, kinds, tokens):
-    # the row ids must not change between the two uses of the table, so it is written once
-    rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+def _tokens_by_cells(df, kinds, tokens, row_key):
+    if row_key is None:
+        # the row ids must not change between the two uses of the table, so it is written once
+        rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+    else:
+        rows = df.withColumn("_row", col(row_key))
     key = lambda kind, value: F.concat(kind, F.lit("\0"), value)
     pairs = [e for i, (c, kind) in enumerate(kinds.items()) for e in (F.lit(i), key(F.lit(kind), text(c)))]
     cells = rows.select("_row", F.stack(F.lit(len(kinds)), *pairs).alias("_slot", "_cell")).where("_cell IS NOT NULL")
     lookup = tokens.select(key(F.col("kind"), F.col("value")).alias("_cell"), "token")
-    found = attach(cells, lookup, "_cell", "inner", broadcast_bytes=0)
+    found = attach(cells, lookup, "_cell")
     by_row = found.groupBy("_row").agg(
         *[F.max(F.when(F.col("_slot") == i, F.col("token"))).alias(f"_t{i}") for i in range(len(kinds))]
     )
