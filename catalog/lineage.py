@@ -65,15 +65,19 @@ def n5(spark, sf):
     return lineage.downstream(_edges(spark, sf), "silver:src7/en")
 
 
-_WALK = """, first AS (SELECT target, arg_min(source, (ts, source)) AS source FROM src GROUP BY target),
+def _walk(most=11):
+    return f""", first AS (SELECT target, arg_min(source, (ts, source)) AS source FROM src GROUP BY target),
 walk AS (SELECT target AS start, target AS at, target AS path, 1 AS nodes FROM first
-    UNION ALL SELECT start, f.source, concat(f.source, ' → ', path), nodes + 1 FROM walk JOIN first f ON f.target = walk.at WHERE nodes < 11)
-SELECT start AS "table", arg_max(path, nodes) AS path, max(nodes) AS nodes FROM walk GROUP BY start"""
+    UNION ALL SELECT start, f.source, concat(f.source, ' → ', path), nodes + 1 FROM walk JOIN first f ON f.target = walk.at WHERE nodes < {most})
+SELECT start AS "table", arg_max(path, nodes) AS path, max(nodes) AS nodes, arg_max(walk.at, nodes) NOT IN (SELECT target FROM first) AS complete FROM walk GROUP BY start"""
 
 
-def _paths(spark, sf, text):
+_WALK = _walk()
+
+
+def _paths(spark, sf, text, most=11):
     edges = lineage.table_edges(frame(spark, sf, text))
-    return lineage.full_paths(edges, edges.select(F.col("target").alias("table")).distinct())
+    return lineage.full_paths(edges, edges.select(F.col("target").alias("table")).distinct(), most)
 
 
 @query("n6_full_path", with_src(CHAINS, _WALK).replace("WITH src", "WITH RECURSIVE src"), nodes="BIGINT")
@@ -86,6 +90,15 @@ def n6_tables(spark, sf):
     return _paths(spark, sf, EDGES)
 
 
+# all the way: 100 nodes are more than any user's first fifty events
+_FIRST_EVENTS = CHAINS.replace("FROM {events}", "FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM {events}) AS p WHERE place <= 50")
+
+
+@query("n6_full_path_whole", with_src(_FIRST_EVENTS, _walk(100)).replace("WITH src", "WITH RECURSIVE src"), nodes="BIGINT")
+def n6_whole(spark, sf):
+    return _paths(spark, sf, _FIRST_EVENTS, 100)
+
+
 @query("n7_column_upstream", with_src(_PARTS, f"SELECT * FROM ({_COLUMNS}) WHERE target = 'silver:part/Brand#7' AND target_column = 'part_name'"))
 def n7(spark, sf):
     columns = lineage.column_edges_by_position(part_columns(spark, sf))

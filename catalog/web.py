@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from catalog.inputs import MIXED, ORDERS, frame, q_trim, table, with_src
 from catalog.registry import query
-from tablewright.functions import hints, urls
+from tablewright.functions import urls
 from tablewright.operators import clean, pages
 from tablewright.plans import chain
+from tablewright.session import sql_over
 
 # text between tags, without scripts, styles and comments; the entities the pages use are put back
 _TEXT = r"regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', chr(10), 'gs'), '<!--.*?-->', chr(10), 'gs'), '<[^>]*>', chr(10), 'g')"
@@ -41,6 +42,15 @@ def w2(spark, sf):
     return pages.extract_rows(table(spark, sf, "pages"), rules, keep=["page_id"]).drop("row")
 
 
+# each page's menu forty times in one page: the work must not grow with the square of its elements
+@query("w2_extract_large_pages", f"SELECT page_id, link, CAST(40 * count(*) AS BIGINT) AS n FROM ({_LINKS}) GROUP BY ALL")
+def w2_large(spark, sf):
+    rules = [{"name": "link", "container": "nav li", "selector": "a", "attr": "href"}]
+    menus = F.repeat(F.regexp_extract("html", r"(?s)<nav>.*?</nav>", 0), 40)
+    rows = pages.extract_rows(table(spark, sf, "pages").withColumn("html", menus), rules, keep=["page_id"])
+    return rows.groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "w3_extract_columns",
     rf"""SELECT page_id, link, CASE WHEN place = 1 THEN title ELSE '' END AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS link,
@@ -90,8 +100,7 @@ _SHAPES = """SELECT event_id, CASE event_id % 4
 
 
 def _payloads(spark, sf):
-    table(spark, sf, "events").createOrReplaceTempView("events")
-    return spark.sql(_SHAPES).select("event_id", "payload")
+    return sql_over(spark, _SHAPES, {"events": table(spark, sf, "events")}).select("event_id", "payload")
 
 
 @query("w6_payload_rows", f"SELECT event_id, unnest(range(n)) AS \"row\", event_type AS kind, k FROM ({_SHAPES})", row="INTEGER")
@@ -110,7 +119,8 @@ _URLS = """SELECT page_id, CASE page_id % 14 WHEN 0 THEN replace(url, 'https://'
     WHEN 5 THEN concat('http://192.168.', CAST(page_id % 250 AS STRING), '.1/x') WHEN 6 THEN concat('ftp://example.com/', CAST(page_id AS STRING)) WHEN 7 THEN concat('http://user@10.0.0.', CAST(page_id % 250 AS STRING))
     WHEN 8 THEN concat('https://example.com/api/v', CAST(page_id AS STRING)) WHEN 9 THEN concat('http://[::1]/', CAST(page_id AS STRING)) WHEN 10 THEN concat('https://space.bilibili.com/', CAST(page_id AS STRING)) ELSE url END AS url FROM {pages}"""
 _HOST = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
-_PLATFORM = "CASE " + " ".join(f"WHEN contains({_HOST}, '{k}') THEN '{v}'" for k, v in hints.PLATFORM_HOSTS.items()) + " END"
+_PLATFORM = f"""CASE WHEN regexp_matches({_HOST}, 'toutiao.com|今日头条|ixigua.com') THEN 'toutiao' WHEN regexp_matches({_HOST}, 'xiaohongshu.com|小红书') THEN 'xiaohongshu'
+    WHEN regexp_matches({_HOST}, '(bilibili|zhihu|weibo|douyin|xueqiu|douban)[.]com') THEN regexp_extract({_HOST}, '(bilibili|zhihu|weibo|douyin|xueqiu|douban)[.]com', 1) END"""
 
 
 @query("w7_platform", with_src(_URLS, f"SELECT page_id, url, {_PLATFORM} AS platform FROM src"))

@@ -1,7 +1,10 @@
 """Small HTML helpers for one page: text lines and elements by selector (stdlib parser only)."""
 
 import re
+from bisect import bisect_left
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import islice
 
 # Elements without an end tag, and elements whose text is not page text.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -10,19 +13,15 @@ _SIMPLE = re.compile(r"^([\w-]+|\*)?((?:[.#][\w-]+)*)$")
 
 
 class Element:
-    """A tag with the range of the page's text nodes that lie inside it."""
+    """A tag with its place in the page and the ranges of text nodes and elements inside it."""
 
-    __slots__ = ("tag", "attrs", "parent", "first", "end")
+    __slots__ = ("tag", "attrs", "parent", "first", "end", "at", "last", "classes")
 
-    def __init__(self, tag, attrs, parent, first):
+    def __init__(self, tag, attrs, parent, first, at):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.first = self.end = first
-
-    def ancestors(self):
-        node = self.parent
-        while node is not None:
-            yield node
-            node = node.parent
+        self.at, self.last = at, at + 1
+        self.classes = frozenset(attrs.get("class", "").split())
 
 
 class Page(HTMLParser):
@@ -31,8 +30,9 @@ class Page(HTMLParser):
     def __init__(self, html):
         super().__init__(convert_charrefs=True)
         self.texts = []  # (text, the silent element it belongs to or None)
-        self.root = Element("", {}, None, 0)
+        self.root = Element("", {}, None, 0, -1)
         self.elements, self._open, self._pending = [], [self.root], []
+        self._places = {}  # places of the elements of a tag, a class or an id, ascending
         self.feed(html or "")
         self.close()
         self._end_text()
@@ -48,13 +48,16 @@ class Page(HTMLParser):
 
     def _close_down_to(self, depth):
         for element in self._open[depth:]:
-            element.end = len(self.texts)
+            element.end, element.last = len(self.texts), len(self.elements)
         del self._open[depth:]
 
     def _add(self, tag, attrs):
         self._end_text()
-        element = Element(tag, {k: v or "" for k, v in attrs}, self._open[-1], len(self.texts))
+        at = len(self.elements)
+        element = Element(tag, {k: v or "" for k, v in attrs}, self._open[-1], len(self.texts), at)
         self.elements.append(element)
+        for mark in (("tag", tag), ("id", element.attrs.get("id", "")), *(("class", c) for c in element.classes)):
+            self._places.setdefault(mark, []).append(at)
         return element
 
     def handle_data(self, data):
@@ -89,9 +92,19 @@ class Page(HTMLParser):
         return [p for p in parts if p]
 
     def select(self, selector, inside=None):
-        """Elements matching ``tag``, ``.class``, ``#id`` or a blank-separated descent of those."""
-        steps = [_simple(s) for s in selector.split()]
-        return [e for e in self.elements if _matches(e, steps, inside)]
+        """Elements matching ``tag``, ``.class``, ``#id`` or a blank-separated descent of those, in order.
+
+        Only the elements below ``inside`` that share a mark with the last step are looked at.
+        """
+        steps = _steps(selector)
+        low, high = (0, len(self.elements)) if inside is None else (inside.at + 1, inside.last)
+        tag, classes, ids = steps[-1]
+        marks = [("id", i) for i in ids] + [("class", c) for c in classes] + ([("tag", tag)] if tag else [])
+        places = range(low, high)
+        if marks:
+            of_mark = min((self._places.get(m, []) for m in marks), key=len)
+            places = islice(of_mark, bisect_left(of_mark, low), bisect_left(of_mark, high))
+        return (self.elements[i] for i in places if _matches(self.elements[i], steps))
 
 
 def _simple(selector):
@@ -107,26 +120,24 @@ def _simple(selector):
     )
 
 
+@lru_cache(maxsize=256)
+def _steps(selector):
+    return [_simple(s) for s in selector.split()]
+
+
 def _fits(element, step):
     tag, classes, ids = step
-    return (
-        (tag is None or element.tag == tag)
-        and classes <= set(element.attrs.get("class", "").split())
-        and ids <= {element.attrs.get("id", "")}
-    )
+    return (tag is None or element.tag == tag) and classes <= element.classes and ids <= {element.attrs.get("id", "")}
 
 
-def _matches(element, steps, inside):
+def _matches(element, steps):
     if not _fits(element, steps[-1]):
         return False
-    line = list(element.ancestors())
-    if inside is not None and not any(a is inside for a in line):
-        return False
-    wanted = list(steps[:-1])
-    for ancestor in line:
-        if wanted and _fits(ancestor, wanted[-1]):
-            wanted.pop()
-    return not wanted
+    wanted, node = len(steps) - 2, element.parent
+    while wanted >= 0 and node is not None:
+        wanted -= _fits(node, steps[wanted])
+        node = node.parent
+    return wanted < 0
 
 
 def value_of(page, element, attr="text"):
@@ -150,8 +161,8 @@ def extract(html, rules):
             row = []
             for rule in rules:
                 selector = rule.get("selector", "")
-                found = page.select(selector, box) if selector else [box]
-                row.append(value_of(page, found[0] if found else None, rule.get("attr", "text")))
+                found = next(page.select(selector, box), None) if selector else box
+                row.append(value_of(page, found, rule.get("attr", "text")))
             rows.append(row)
     else:
         columns = [

@@ -5,15 +5,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.session import is_small
+from tablewright.session import checkpointed
 
 EDGE_SCHEMA = "id string, source string, target string, operation string, ts timestamp"
 COLUMN_EDGE_SCHEMA = (
     "id string, source string, source_column string, target string, target_column string, "
     "transform string, expression string, ts timestamp"
 )
-SALTS = 16
-MAX_PATH = 11  # a path that has grown past ten nodes stops
+MAX_PATH = 11  # by default a path that has grown past ten nodes stops
 
 
 def _edge_id(text):
@@ -71,39 +70,39 @@ def first_upstream(edges: DataFrame) -> DataFrame:
     return edges.groupBy("target").agg(earliest).select("target", F.col("first.source").alias("source"))
 
 
-def full_paths(edges: DataFrame, tables: DataFrame) -> DataFrame:
-    """(table, path, nodes): each table's chain of first upstream edges, at most eleven nodes.
+def full_paths(edges: DataFrame, tables: DataFrame, max_nodes: int = MAX_PATH) -> DataFrame:
+    """(table, path, nodes, complete): each table's chain of first upstream edges.
 
-    ``tables`` has one column ``table``. The depth is fixed, so the walk is ten equi-joins over
-    one row per target; all tables walk at the same time. Edge tables of a checked small size are
-    broadcast, larger ones are joined on (table, salt).
+    ``tables`` has one column ``table``. A path ends where no edge leads further up; ``complete`` is
+    false where it was cut at ``max_nodes`` instead, as a cycle always is. All tables walk at the
+    same time and every round doubles the length of the known ways up, so eleven nodes take four
+    joins and a thousand take ten; each round is checkpointed.
     """
-    steps = first_upstream(edges).select(F.col("target").alias("_at"), F.col("source").alias("_up"))
-    salts = 1 if is_small(edges) else SALTS
-    if salts == 1:
-        steps = F.broadcast(steps)
-    else:
-        steps = steps.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    walk = tables.select("table", F.col("table").alias("at"), F.array("table").alias("path"))
-    for _ in range(MAX_PATH - 1):
-        # many walks meet in one ancestor: spread them by their own table; ended walks match nothing
-        here = F.coalesce("at", F.concat(F.lit("\0"), "table"))
-        on = here == F.col("_at")
-        if salts > 1:
-            on = on & (F.pmod(F.xxhash64("table"), F.lit(salts)) == F.col("_salt"))
-        walk = walk.join(steps, on, "left").select(
-            "table",
-            F.col("_up").alias("at"),
-            F.when(F.col("_up").isNotNull(), F.array_prepend("path", F.col("_up"))).otherwise(F.col("path")).alias("path"),
+    ways = first_upstream(edges).select(F.col("target").alias("node"), F.col("source").alias("at"), F.array("source").alias("way"))
+    reach = 1
+    while reach < max_nodes - 1:
+        ways = checkpointed(ways)
+        on = ways.select(F.col("node").alias("_at"), F.col("at").alias("_up"), F.col("way").alias("_way"))
+        # ways that have ended match nothing; many ways that meet in one ancestor are a skewed left side
+        ways = ways.join(on, F.col("at") == F.col("_at"), "left").select(
+            "node", F.col("_up").alias("at"), F.when(F.col("_way").isNull(), F.col("way")).otherwise(F.concat("_way", "way")).alias("way")
         )
-    return walk.select(
-        "table", F.array_join("path", " → ").alias("path"), F.size("path").cast("bigint").alias("nodes")
+        reach *= 2
+    open_ends = first_upstream(edges).select(F.col("target").alias("_open")).distinct()
+    walk = tables.select("table").join(ways, F.col("table") == F.col("node"), "left")
+    whole = F.concat(F.coalesce("way", F.array().cast("array<string>")), F.array("table"))
+    path = F.slice(whole, F.greatest(F.size(whole) - max_nodes, F.lit(0)) + 1, F.lit(max_nodes))
+    ends = walk.select("table", path.alias("path")).withColumn("_top", F.element_at("path", 1))
+    ends = ends.join(open_ends, F.col("_top") == F.col("_open"), "left")
+    return ends.select(
+        "table", F.array_join("path", " → ").alias("path"), F.size("path").cast("bigint").alias("nodes"),
+        F.col("_open").isNull().alias("complete"),
     )
 
 
-def full_path(edges: DataFrame, table: str) -> DataFrame:
+def full_path(edges: DataFrame, table: str, max_nodes: int = MAX_PATH) -> DataFrame:
     spark = edges.sparkSession
-    return full_paths(edges, spark.createDataFrame([(table,)], "table string"))
+    return full_paths(edges, spark.createDataFrame([(table,)], "table string"), max_nodes)
 
 
 def mermaid_lines(edges: DataFrame, table: str | None = None) -> DataFrame:
