@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from catalog.inputs import EDGES, MIXED, PEOPLE, frame, per_column, q_blank, q_date, table, with_src
 from catalog.registry import query
-from tablewright.functions import hints
 from tablewright.operators import govern, lineage
 
 AS_OF = "2024-06-30"
 _PEOPLE = "cust_id name phone email id_card bank_card address amount status created_date".split()
 _TYPES = {c: {"cust_id": "integer", "amount": "number"}.get(c, "string") for c in _PEOPLE}
+_NAMES = {"name": "名称", "phone": "联系电话", "email": "电子邮箱", "address": "地址", "amount": "金额", "status": "状态"}
 _TAGS = {
     "cust_id": ["PII-potential", "numeric"], "phone": ["PII"], "email": ["PII"], "id_card": ["PII-potential"],
     "amount": ["financial", "numeric"], "created_date": ["temporal"],
@@ -19,7 +19,7 @@ _EMAIL = r"[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+"
 
 @query(
     "g1_catalog",
-    with_src(PEOPLE, per_column(_PEOPLE, lambda c: f"""SELECT '{c}' AS "column", '{hints.STANDARD_NAMES.get(c, c)}' AS display_name, '{_TYPES[c]}' AS dtype,
+    with_src(PEOPLE, per_column(_PEOPLE, lambda c: f"""SELECT '{c}' AS "column", '{_NAMES.get(c, c)}' AS display_name, '{_TYPES[c]}' AS dtype,
         count({c}) < count(*) AS nullable, round((count(*) - count({c})) * 100.0 / count(*), 1) AS null_pct, count(DISTINCT {c}) AS "distinct",
         '{','.join(_TAGS.get(c, []))}' AS tags, (SELECT string_agg(v, ' | ' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM src WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS samples
         FROM src""")),
@@ -38,8 +38,8 @@ def g2(spark, sf):
 
 @query(
     "g4_glossary",
-    with_src(PEOPLE, per_column(_PEOPLE, lambda c: f"""SELECT '{c}' AS technical_name, '{hints.STANDARD_NAMES.get(c, c)}' AS business_name,
-        '{"mapped" if c in hints.STANDARD_NAMES else "unmapped"}' AS status, 60.0::DOUBLE AS coverage_pct, count({c}) AS n FROM src""")),
+    with_src(PEOPLE, per_column(_PEOPLE, lambda c: f"""SELECT '{c}' AS technical_name, '{_NAMES.get(c, c)}' AS business_name,
+        '{"mapped" if c in _NAMES else "unmapped"}' AS status, {100.0 * len(_NAMES) / len(_PEOPLE)}::DOUBLE AS coverage_pct, count({c}) AS n FROM src""")),
 )
 def g4(spark, sf):
     return govern.glossary(frame(spark, sf, PEOPLE))
@@ -139,9 +139,9 @@ def g15(spark, sf):
     return govern.sensitivity(frame(spark, sf, PEOPLE))
 
 
-@query("g15_sensitivity_documents", with_src("SELECT text, lang, source FROM {documents}", per_column(["text", "lang", "source"], _sensitive)))
+@query("g15_sensitivity_documents", with_src("SELECT * FROM {documents}", per_column(["doc_id", "text", "lang", "source", "n_chars"], _sensitive)))
 def g15_documents(spark, sf):
-    return govern.sensitivity(table(spark, sf, "documents").select("text", "lang", "source"))
+    return govern.sensitivity(table(spark, sf, "documents"))
 
 
 # a third of the notes is missing or blank
@@ -162,6 +162,15 @@ def g16(spark, sf):
     return govern.audit(frame(spark, sf, _NOTES))
 
 
+_ISSUES = "(SELECT count(*) FROM (" + per_column(["c_custkey", "c_name", "note", "balance"], _empty_share) + ") AS t WHERE n > 0.2 * total)"
+
+
+@query("g16_audit_verdict", with_src(_NOTES, f"SELECT 4 AS columns, {_ISSUES} AS issues, {_ISSUES} = 0 AS passed UNION ALL SELECT 2, 0, true"), columns="INTEGER")
+def g16_verdict(spark, sf):
+    dirty, clean = frame(spark, sf, _NOTES), table(spark, sf, "region")
+    return govern.audit_verdict(dirty).union(govern.audit_verdict(clean))
+
+
 _TABLE = "silver:src7/en"
 _LINE = """concat('    ', translate(source, ':/', '__'), '[', source, '] -->|', left(arg_min(operation, (ts, operation)), 8), '| ', translate(target, ':/', '__'), '[', target, ']')"""
 
@@ -170,7 +179,7 @@ _LINE = """concat('    ', translate(source, ':/', '__'), '[', source, '] -->|',
     "g17_lineage_report",
     with_src(EDGES, f"""SELECT 'upstream' AS section, source AS detail, count(*) AS n FROM src WHERE target = '{_TABLE}' GROUP BY source
         UNION ALL SELECT 'downstream', target, count(*) FROM src WHERE source = '{_TABLE}' GROUP BY target
-        UNION ALL SELECT 'full_path', 'bronze:src7 → {_TABLE}', 2
+        UNION ALL SELECT 'full_path', concat(arg_min(source, (ts, source)), ' → {_TABLE}'), 2 FROM src WHERE target = '{_TABLE}'
         UNION ALL SELECT 'mermaid', {_LINE}, count(*) FROM src WHERE source = '{_TABLE}' OR target = '{_TABLE}' GROUP BY source, target
         UNION ALL SELECT 'stats', 'tables', count(*) FROM (SELECT source FROM src UNION SELECT target FROM src)
         UNION ALL SELECT 'stats', 'table_edges', count(*) FROM src UNION ALL SELECT 'stats', 'column_edges', 4 * count(*) FROM part

@@ -63,10 +63,16 @@ FROM {customer}
 # order dates as text in several shapes
 DATES = """
 SELECT o_orderkey,
-       CASE o_orderkey % 5 WHEN 0 THEN substr(CAST(o_orderdate AS STRING), 1, 10)
+       CASE o_orderkey % 11 WHEN 0 THEN substr(CAST(o_orderdate AS STRING), 1, 10)
             WHEN 1 THEN replace(substr(CAST(o_orderdate AS STRING), 1, 10), '-', '/')
             WHEN 2 THEN replace(substr(CAST(o_orderdate AS STRING), 1, 10), '-', '')
-            WHEN 3 THEN concat(substr(CAST(o_orderdate AS STRING), 1, 10), 'T08:30:00') ELSE 'bad' END AS order_date,
+            WHEN 3 THEN concat(substr(CAST(o_orderdate AS STRING), 1, 10), 'T08:30:00')
+            WHEN 4 THEN concat(replace(substr(CAST(o_orderdate AS STRING), 1, 10), '-', '/'), ' 08:30:00')
+            WHEN 5 THEN concat(substr(CAST(o_orderdate AS STRING), 1, 10), ' 08:30')
+            WHEN 6 THEN concat(replace(substr(CAST(o_orderdate AS STRING), 1, 10), '-', ''), ' 083000')
+            WHEN 7 THEN concat(substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * month(o_orderdate) - 2 AS INT), 3), ' ', CAST(day(o_orderdate) AS STRING), ', ', CAST(year(o_orderdate) AS STRING))
+            WHEN 8 THEN concat(CAST(day(o_orderdate) AS STRING), ' ', substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * month(o_orderdate) - 2 AS INT), 3), ' ', CAST(year(o_orderdate) AS STRING), ' 08:30')
+            WHEN 9 THEN concat(substr(CAST(o_orderdate AS STRING), 1, 10), ' at noon') ELSE 'bad' END AS order_date,
        concat('13', lpad(CAST(o_custkey AS STRING), CASE WHEN o_orderkey % 17 = 0 THEN 5 ELSE 9 END, '0')) AS mobile,
        concat('user', CAST(o_custkey AS STRING), '@Example.COM ') AS mail
 FROM {orders}
@@ -145,8 +151,11 @@ def q_key(x):
 
 def q_date(x):
     return (
-        f"CASE WHEN regexp_matches({x}, '^[0-9]{{8}}$') THEN CAST(try_strptime({x}, '%Y%m%d') AS DATE) "
-        f"WHEN regexp_matches({x}, '^[0-9]{{4}}/') THEN CAST(try_strptime({x}, '%Y/%m/%d') AS DATE) "
+        f"CASE WHEN regexp_matches({x}, ' at ') THEN NULL "
+        f"WHEN regexp_matches({x}, '^[0-9]{{8}}( [0-9]{{6}})?$') THEN CAST(try_strptime(substr({x}, 1, 8), '%Y%m%d') AS DATE) "
+        f"WHEN regexp_matches({x}, '^[A-Z]') THEN CAST(try_strptime({x}, '%b %d, %Y') AS DATE) "
+        f"WHEN regexp_matches({x}, '^[0-9]+ [A-Z]') THEN CAST(try_strptime(regexp_extract({x}, '^[^ ]+ [^ ]+ [^ ]+'), '%d %b %Y') AS DATE) "
+        f"WHEN regexp_matches({x}, '^[0-9]{{4}}/') THEN CAST(try_strptime(regexp_extract({x}, '^[^ ]+'), '%Y/%m/%d') AS DATE) "
         f"WHEN regexp_matches({x}, '^[0-9]{{1,2}}/') THEN CAST(try_strptime({x}, '%m/%d/%Y') AS DATE) "
         f"ELSE CAST(try_strptime(substr({x}, 1, 10), '%Y-%m-%d') AS DATE) END"
     )

@@ -141,6 +141,16 @@ BLOCKED_HOSTS = (
 )
 ARTICLE_URL = "https://www.toutiao.com/article/{}/"
 
+# ---- fixed values: words of the repair report and of the notes on alignment ----
+REPAIR_ISSUES = ("null_fill", "outliers", "format_violation")
+REPAIR_TIERS = ("auto", "rule", "manual")
+REPAIR_ACTIONS = (
+    "fill_mode", "fill_median", "fill_by_business_rule", "manual_review: high null rate", "iqr_clip_or_flag",
+    "manual_review: data integrity",
+)
+COVERAGE_NOTE = "分类覆盖率仅{}%"
+FORMAT_ISSUES_NOTE = "个格式问题"
+
 # ---- fixed values: words a SELECT text may not contain -------------------
 FORBIDDEN_SQL = (
     r";|--|/\*|\*/|xp_|sp_|exec\s|execute\s|drop\s|alter\s|create\s|insert\s|update\s|delete\s"

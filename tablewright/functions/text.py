@@ -9,14 +9,20 @@ from tablewright.functions import hints
 
 _SPACE = r"[\s\x1c-\x1f]"
 
-# Shape of the text -> parser pattern. The shape test runs first so that at most one parser
-# sees a value and a text that is no date never reaches one.
+# Shape of the text (its first group is the date) -> parser pattern. The shape test runs first so
+# that at most one parser sees a value and a text that is no date never reaches one.
+_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?: ?(?:Z|[+-]\d{2}:?\d{2}))?)?$"
+_MONTH = (
+    r"(?:[Jj]an(?:uary)?|[Ff]eb(?:ruary)?|[Mm]ar(?:ch)?|[Aa]pr(?:il)?|[Mm]ay|[Jj]une?|[Jj]uly?|[Aa]ug(?:ust)?|"
+    r"[Ss]ept?(?:ember)?|[Oo]ct(?:ober)?|[Nn]ov(?:ember)?|[Dd]ec(?:ember)?)\.?"
+)
 DATE_SHAPES = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:?\d{2})?$", None),
+    (r"^(\d{4}-\d{1,2}-\d{1,2})" + _TIME, "yyyy-M-d"),
+    (r"^(\d{4}/\d{1,2}/\d{1,2})" + _TIME, "yyyy/M/d"),
+    (r"^(\d{1,2}/\d{1,2}/\d{4})" + _TIME, "M/d/yyyy"),
+    (r"^(\d{8})(?:[ T]\d{2}:?\d{2}(?::?\d{2})?Z?)?$", "yyyyMMdd"),
+    (rf"^({_MONTH} \d{{1,2}},? \d{{4}})" + _TIME, "MMM d yyyy"),
+    (rf"^(\d{{1,2}} {_MONTH},? \d{{4}})" + _TIME, "d MMM yyyy"),
 ]
 
 
@@ -60,10 +66,10 @@ def parse_date(c: Column) -> Column:
     """Date of a text in one of DATE_SHAPES (month first where ambiguous), else null."""
     parsed = F.lit(None).cast("date")
     for shape, pattern in reversed(DATE_SHAPES):
-        if pattern:
-            value = F.try_to_date(c, pattern)
-        else:
-            value = F.try_to_date(F.regexp_extract(c, r"^(\d{4}-\d{1,2}-\d{1,2})", 1), "yyyy-M-d")
+        date = F.regexp_extract(c, shape, 1)
+        if "MMM" in pattern:  # month names by their first three letters, no comma or dot
+            date = F.initcap(F.regexp_replace(F.regexp_replace(date, "[.,]", ""), "([A-Za-z]{3})[a-z]*", "$1"))
+        value = F.try_to_date(date, pattern)
         parsed = F.when(c.rlike(shape), value).otherwise(parsed)
     return parsed
 

@@ -223,6 +223,12 @@ def sensitivity(df: DataFrame) -> DataFrame:
     return to_long(wide_agg(df, seen), records)
 
 
+def audit_verdict(df: DataFrame, limit: float = 0.2) -> DataFrame:
+    """(columns, issues, passed) in one row: a table passes when ``audit`` finds nothing."""
+    issues = F.count(F.lit(1))
+    return audit(df, limit).agg(F.lit(len(df.columns)).alias("columns"), issues.alias("issues"), (issues == 0).alias("passed"))
+
+
 def audit(df: DataFrame, limit: float = 0.2) -> DataFrame:
     """(column, issue, severity, n, pct): columns with more than ``limit`` null or blank cells."""
     empty = [

@@ -1,5 +1,7 @@
 """Profiles of a table: type labels, nulls, value classes, outliers, duplicates, frequencies."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,22 +163,24 @@ def _counting_type(kind: T.DataType) -> str:
 
 
 def key_counts(df: DataFrame, columns: list[str]) -> list[DataFrame]:
-    """(slot, value, n) per group of columns of one type: how often each value occurs.
+    """(slot, values, n): how often each value occurs, all types of a chunk of columns in one pass.
 
-    Counted inside each map task first, so a frequent value crosses the shuffle once per task.
-    Long texts are counted by their digest.
+    A cell stands in the one of the value columns that has its counting type. Counted inside each
+    map task first, so a frequent value crosses the shuffle once per task. Long texts are counted by
+    their digest.
     """
     at = keyed(columns, df.columns)
-    groups: dict[str, list[str]] = {}
-    for c in columns:
-        groups.setdefault(_counting_type(df.schema[c].dataType), []).append(c)
     parts = []
-    for kind, members in groups.items():
-        for names in chunked(members):
-            pairs = [e for c in names for e in (F.lit(at[c]), col(c).cast(kind))]
-            cells = df.select(F.stack(F.lit(len(names)), *pairs).alias("slot", "value")).where("value IS NOT NULL")
-            value = compact(F.col("value")) if kind == "string" else F.col("value")
-            parts.append(cells.groupBy("slot", value.alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    for names in chunked(columns):
+        kinds = {c: _counting_type(df.schema[c].dataType) for c in names}
+        present = sorted(set(kinds.values()))
+        cells = []
+        for c in names:
+            value = compact(text(c)) if kinds[c] == "string" else col(c).cast(kinds[c])
+            cells += [F.lit(at[c]), *(value if k == kinds[c] else F.lit(None).cast(k) for k in present)]
+        values = [f"value_{k}" for k in present]
+        rows = df.select(F.stack(F.lit(len(names)), *cells).alias("slot", *values)).where(reduce(Column.__or__, [F.col(v).isNotNull() for v in values]))
+        parts.append(rows.groupBy("slot", *values).agg(F.count(F.lit(1)).alias("n")))
     return parts
 
 

@@ -123,20 +123,21 @@ def repair_tiers(df: DataFrame, method: str = "auto") -> DataFrame:
     """(column, issue, severity, n, pct, action): who repairs what — auto, rule or manual."""
     watched = [c for c in df.columns if hints.has_hint(c, hints.FORMAT_COLUMNS)]
     pct = F.try_divide(F.col("nulls") * 100.0, F.col("rows"))
-    fill = F.when(F.col("column").isin(hints.MODE_FILLED_COLUMNS), "fill_mode").otherwise("fill_median")
-    null_action = (
-        F.when(pct < 10, fill).when(pct < 30, "fill_by_business_rule").otherwise("manual_review: high null rate")
-    )
+    null_fill, outliers, violation = hints.REPAIR_ISSUES
+    auto, rule, manual = hints.REPAIR_TIERS
+    by_mode, by_median, by_rule, many_nulls, clip, integrity = hints.REPAIR_ACTIONS
+    fill = F.when(F.col("column").isin(hints.MODE_FILLED_COLUMNS), by_mode).otherwise(by_median)
+    null_action = F.when(pct < 10, fill).when(pct < 30, by_rule).otherwise(many_nulls)
     none = F.lit(None).cast("double")
     found = [
-        ("null_fill", F.when(pct < 10, "auto").when(pct < 30, "rule").otherwise("manual"), F.col("nulls"), F.col("null_pct"), null_action),
-        ("outliers", F.lit("rule"), F.col("outliers"), none, F.lit("iqr_clip_or_flag")),
+        (null_fill, F.when(pct < 10, auto).when(pct < 30, rule).otherwise(manual), F.col("nulls"), F.col("null_pct"), null_action),
+        (outliers, F.lit(rule), F.col("outliers"), none, F.lit(clip)),
         (
-            "format_violation",
-            F.lit("manual"),
+            violation,
+            F.lit(manual),
             F.when(F.col("column").isin(watched), F.col("format_violations")).otherwise(F.lit(0)),
             none,
-            F.lit("manual_review: data integrity"),
+            F.lit(integrity),
         ),
     ]
     issues = F.array(

@@ -148,12 +148,12 @@ def alignment_score(df: DataFrame) -> DataFrame:
     core = field_grades(df).agg(F.count_if(F.col("label") == hints.CORE).alias("core"))
     classified = sum(1 for c in df.columns if _class_of(c) != hints.OTHER_CLASS)
     coverage = classified / len(df.columns) * 100 if df.columns else 100.0
-    coverage_note = F.lit(f"分类覆盖率仅{coverage:.0f}%" if coverage < 80 else None).cast("string")
+    coverage_note = F.lit(hints.COVERAGE_NOTE.format(f"{coverage:.0f}") if coverage < 80 else None).cast("string")
     value = F.greatest(F.lit(0), F.least(F.lit(100), 100 - 5 * F.col("issues"))).cast("double")
     notes = F.concat_ws(
         "; ",
         coverage_note,
-        F.when(F.col("issues") > 0, F.concat(F.col("issues").cast("string"), F.lit("个格式问题"))),
+        F.when(F.col("issues") > 0, F.concat(F.col("issues").cast("string"), F.lit(hints.FORMAT_ISSUES_NOTE))),
         F.when(F.col("core") > 0, hints.CORE_FIELD_NOTE),
     )
     return beside([issues, core]).select(value.alias("score"), maturity_level(value).alias("level"), notes.alias("notes"))

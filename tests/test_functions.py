@@ -35,9 +35,10 @@ def test_phone(spark):
 def test_dates(spark):
     got = apply(
         spark, text.date_text,
-        ["2026/2/20", "2026-02-20", "20260220", "2/20/2026", "2026-02-20T10:11:12.5Z", "2026-02-20 10:11:12", "2026-13-01", "bad", "", None],
+        ["2026/2/20", "2026-02-20", "20260220", "2/20/2026", "2026-02-20T10:11:12.5Z", "2026-02-20 10:11:12", "2026/02/20 08:30:00", "2026-02-20 08:30", "20260220 083000", "20260220T0830", "Feb 20, 2026", "february 20 2026",
+         "20 Feb. 2026 08:30", "2026-02-20 08:30:00 +08:00", "2026-13-01", "Feb 30, 2026", "Foo 1, 2026", "2026-02-20 at noon", "bad", "", None],
     )
-    assert got == ["2026-02-20"] * 6 + ["2026-13-01", "bad", "", None]
+    assert got == ["2026-02-20"] * 14 + ["2026-13-01", "Feb 30, 2026", "Foo 1, 2026", "2026-02-20 at noon", "bad", "", None]
 
 
 def test_masks(spark):
