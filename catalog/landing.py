@@ -1,5 +1,7 @@
 """Sources, profiles on landing, and the three layers."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalog.inputs import MIXED, ORDERS, PEOPLE, frame, per_column, q_date, table, twin, with_src
@@ -158,6 +160,28 @@ def p2(spark, sf):
     return profile.dtype_labels(frame(spark, sf, PEOPLE), "ingest", [F.col("cust_id")])
 
 
+# label of a double, of a timestamp and of a column without values, by kind of report
+_VARIANTS = {
+    "clean": ("float", "string", "null"), "bronze": ("float", "datetime", "null"),
+    "analyze": ("number", "string", "null"), "govern": ("number", "string", "unknown"),
+}
+_WITH_NOTHING = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate, CAST(NULL AS STRING) AS nothing FROM {orders}"
+
+
+@query(
+    "p2_dtype_variants",
+    with_src(_WITH_NOTHING, " UNION ALL ".join(
+        f"""SELECT '{v}' AS variant, t."column", CASE WHEN t."column" = 'nothing' AND (SELECT count(nothing) FROM src) = 0 THEN '{none}' ELSE t.dtype END AS dtype
+        FROM (VALUES ('o_orderkey', 'integer'), ('o_orderstatus', 'string'), ('o_totalprice', '{number}'), ('o_orderdate', '{date}'), ('nothing', 'string')) AS t("column", dtype)"""
+        for v, (number, date, none) in _VARIANTS.items()
+    )),
+)
+def p2_variants(spark, sf):
+    orders = frame(spark, sf, _WITH_NOTHING)
+    labels = [profile.dtype_labels(orders, v).withColumn("variant", F.lit(v)) for v in _VARIANTS]
+    return reduce(lambda a, b: a.unionByName(b), labels)
+
+
 _CLASS = r"""CASE WHEN regexp_matches({0}, '^\s*[+-]?[0-9]+\s*$') THEN 'integer' WHEN regexp_matches({0}, '^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$') THEN 'float'
     WHEN lower({0}) IN ('true', 'false') THEN 'boolean' ELSE 'string' END"""
 

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from catalog.inputs import MIXED, ORDERS, PEOPLE, frame, per_column, q_date, q_outside, table, with_src
-from catalog.registry import query
+from catalog.registry import ORACLES, query
 from tablewright.operators import clean, profile, quality
+from tablewright.plans import prepare
 
 AS_OF = "2024-06-30"
 ORDERS_AS_OF = "1999-01-01"
@@ -127,6 +128,16 @@ def q_tiers(spark, sf):
     return quality.repair_tiers(frame(spark, sf, ORDERS))
 
 
+@query("c20_assess_tiers", ORACLES["q_repair_tiers"])
+def c20_tiers(spark, sf):
+    return prepare.clean_and_assess(frame(spark, sf, ORDERS), "orders", "2026-01-01")["tiers"]
+
+
+@query("c20_assess_data", ORACLES["c20_full_clean"])
+def c20_data(spark, sf):
+    return prepare.clean_and_assess(frame(spark, sf, ORDERS), "orders", "2026-01-01")["data"]
+
+
 @query(
     "q_column_profile",
     with_src(PEOPLE, per_column(_PEOPLE, lambda c: f"""SELECT '{c}' AS "column", '{dict(cust_id="integer", amount="float").get(c, "string")}' AS dtype,

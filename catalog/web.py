@@ -136,6 +136,11 @@ def w8(spark, sf):
     return frame(spark, sf, _URLS).select("page_id", urls.fetch_mode(F.col("url")).alias("mode"))
 
 
+@query("w8_fetch_mode_preferred", with_src(_URLS, "SELECT page_id, 'browser' AS mode FROM src"))
+def w8_preferred(spark, sf):
+    return frame(spark, sf, _URLS).select("page_id", urls.fetch_mode(F.col("url"), "browser").alias("mode"))
+
+
 @query(
     "w9_canonical_article",
     with_src(_URLS, "SELECT page_id, CASE WHEN regexp_matches(url, '/article/[0-9]+') THEN concat('https://www.toutiao.com/article/', regexp_extract(url, '/article/([0-9]+)', 1), '/') ELSE url END AS url FROM src"),
