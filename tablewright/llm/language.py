@@ -127,15 +127,14 @@ def train(documents: DataFrame, learnable: Column, doc_id: str = "doc_id", text:
 
 
 def probabilities(text: str, model: Model) -> np.ndarray:
-    """Softmax of the mean log-probability of all windows, each weighed by its bytes."""
+    """Mean probability over all windows, each weighed by its bytes: passages of another language count by their length."""
     w = windows_of(text)
     total = np.zeros(len(model.languages))
     for at in range(0, len(w), BATCH):
         part = w[at : at + BATCH]
         logs = log_softmax(np.maximum(pooled(part, model.tables) + model.bias, 0) @ model.dense + model.offset)
-        total += logs.astype(np.float64).T @ (part > 0).sum(axis=1)
-    total /= max(1, int((w > 0).sum()))
-    return np.exp(log_softmax(total[None]))[0]
+        total += np.exp(logs.astype(np.float64)).T @ (part > 0).sum(axis=1)
+    return total / total.sum() if total.any() else np.full(len(total), 1 / len(total))
 
 
 def identify(text: Column, model: Model | None) -> Column:
