@@ -23,6 +23,7 @@ from tablewright.session import checkpointed
 BITS = 64
 SEED = 42
 MOST_MEMBERS = 256
+BROADCAST_BUCKETS = 200_000  # of 20 bytes each
 
 
 def fingerprint_of(text: str, words: int = 3) -> int:
@@ -113,17 +114,24 @@ def near_links(fingerprints: DataFrame, radius: int = 3, most_members: int = MOS
             for mask in covering_masks(~fixed & (1 << BITS) - 1, radius):
                 inner[len(inner)] = fixed | mask
                 rows.append((scope, len(inner) - 1, _signed(fixed | mask)))
-        tables = spark.createDataFrame(rows, "scope int, part int, mask long")
-        keyed = members.join(F.broadcast(tables), "scope").select(
-            "part", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
-        )
+        if len(scopes) == 1:
+            masked = F.inline(F.array(*[F.struct(F.lit(part).alias("part"), F.lit(mask).cast("long").alias("mask")) for _, part, mask in rows]))
+            masked = members.select("fp", masked)
+        else:
+            tables = spark.createDataFrame(rows, "scope int, part int, mask long")
+            masked = members.join(F.broadcast(tables), "scope")
+        keyed = masked.select("part", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         sizes = checkpointed(
             keyed.groupBy("part", "key")
             .agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
             .where("n > 1")
         )
         found.append(sizes.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b"))
-        crowd = keyed.join(sizes.where("n > 2").select("part", "key", "n"), ["part", "key"])
+        crowded = sizes.where("n > 2").select("part", "key", "n")
+        buckets = crowded.count()
+        if not buckets:
+            break
+        crowd = keyed.join(F.broadcast(crowded) if buckets <= BROADCAST_BUCKETS else crowded, ["part", "key"])
         gathered = crowd.where(F.col("n") <= most_members).groupBy("part", "key").agg(F.collect_list("fp").alias("fps"))
         found.append(gathered.select(F.explode(near("fps")).alias("link")).select("link.a", "link.b"))
         large = [r.part for r in sizes.where(F.col("n") > most_members).select("part").distinct().collect()]
