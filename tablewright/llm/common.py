@@ -21,16 +21,21 @@ def sample_texts(documents: DataFrame, labels: DataFrame, label: str, per_class:
 
     ``labels`` holds the rows that may be learnt from. Ids are chosen by the hash of the id, so the
     choice does not depend on how the input is split. Of several labels of one id the largest holds,
-    of several texts the least; null ids and labels are never chosen. The bound on the ids (classes
-    times ``per_class``) is what allows their broadcast.
+    of several texts the least; null ids and labels are never chosen. Only hashes so low that a few
+    times ``per_class`` ids of a label have them are ranked, so a label that nearly all rows have
+    does not meet in one task. The bound on the ids (classes times ``per_class``) is what allows
+    their broadcast.
     """
     each = (
         labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(doc_id).alias("id"))
         .agg(F.max(label).alias("label"))
     )
+    sizes = each.groupBy("label").agg(F.count("*").alias("n"))
+    low = (F.xxhash64("id") / F.lit(2.0**64) + 0.5) * F.col("n") <= F.lit(4.0 * per_class + 100)
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    chosen = each.withColumn("place", place).where(F.col("place") <= per_class).drop("place")
+    few = each.join(sizes, "label").where(low).select("id", "label", place.alias("place"))
+    chosen = few.where(F.col("place") <= per_class).drop("place")
     texts = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     return (
         texts.join(F.broadcast(chosen), "id")
