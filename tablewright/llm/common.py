@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.session import checkpointed
+
+BROADCAST_LABELS = 10_000
 WORD_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,6 +37,9 @@ def sample_texts(documents: DataFrame, labels: DataFrame, label: str, per_class:
     sizes = each.groupBy("label").agg(F.count("*").alias("n"))
     low = (F.xxhash64("id") / F.lit(2.0**64) + 0.5) * F.col("n") <= F.lit(4.0 * per_class + 100)
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    # the sizes go to the rows, so that rows are not dealt by label before the low ones are picked
+    sizes = checkpointed(sizes)
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LABELS else sizes
     few = each.join(sizes, "label").where(low).select("id", "label", place.alias("place"))
     chosen = few.where(F.col("place") <= per_class).drop("place")
     texts = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
