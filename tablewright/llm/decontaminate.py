@@ -4,7 +4,8 @@ Every window of an item's length that shares a shingle with an item of that leng
 over its shingles. The fingerprint is cut into blocks; two fingerprints within the radius agree in
 one block up to radius // blocks bits, so looking each block up in a table of all values that near
 gives every item within the radius. Those items are compared exactly, by weighted shingle
-similarity (sum of the smaller over sum of the larger counts).
+similarity (sum of the smaller over sum of the larger counts). With ``clipped`` also the windows that
+reach over an end of a text are tried, on the words that are there, as long as enough of them are.
 """
 
 from __future__ import annotations
@@ -146,7 +147,7 @@ class Index:
         near = np.bitwise_count(self.prints[some] ^ print_) <= self.radius
         return [int(i) for i in some[near] if self.length[i] == length]
 
-    def matches(self, texts: list[str], least: float = SIMILARITY) -> list[tuple[int, int, float, int, int]]:
+    def matches(self, texts: list[str], least: float = SIMILARITY, clipped: bool = False) -> list[tuple[int, int, float, int, int]]:
         """(text number, item id, similarity, first and last code point) of the best window of each pair."""
         words, start, end, owner = words_of(texts)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -163,32 +164,37 @@ class Index:
             places, lengths = np.repeat(hit, many), self.key_length[which]
             for length in np.unique(lengths):
                 if min(SHINGLE, int(length)) == width:
-                    self._windows(hashes, owner, places[lengths == length], int(length), width, start, end, least, best)
+                    self._windows(hashes, owner, places[lengths == length], int(length), width, start, end, least, best, clipped)
         return [(t, self.ids[i], s, a, b) for (t, i), (s, a, b) in sorted(best.items())]
 
-    def _windows(self, hashes, owner, hits, length, width, start, end, least, best) -> None:
-        span = length - width + 1  # shingles of a window
+    def _windows(self, hashes, owner, hits, length, width, start, end, least, best, clipped) -> None:
+        span = length - width + 1  # shingles of a whole window
         for group in np.array_split(hits, max(1, len(hits) * span // 200_000)):
-            first = np.unique((group[:, None] - np.arange(span)).ravel())
-            first = first[(first >= 0) & (first + length <= len(owner))]
-            first = first[owner[first] == owner[first + length - 1]]
-            if not len(first):
+            low, high = (np.searchsorted(owner, owner[group], side)[:, None] for side in ("left", "right"))
+            first = group[:, None] - np.arange(span)
+            a, b = np.maximum(first, low).ravel(), np.minimum(first + length, high).ravel()
+            # fewer shingles than this cannot be similar enough
+            fewest = max(1, least * span - 1e-9) if clipped else span
+            ends = np.unique((a * (len(owner) + 1) + b)[b - a - width + 1 >= fewest])
+            if not len(ends):
                 continue
-            needed = np.unique((first[:, None] + np.arange(span)).ravel())
+            first, last = np.divmod(ends, len(owner) + 1)
+            many = last - first - width + 1
+            needed = np.unique((first[:, None] + np.arange(span))[np.arange(span) < many[:, None]])
             sums = _bit_sums(hashes[needed])
             at = np.searchsorted(needed, first)
-            prints = np.packbits(sums[at + span] - sums[at] > 0, axis=1, bitorder="little").view("<u8")[:, 0]
-            for s, p in zip(first.tolist(), prints):
+            prints = np.packbits(sums[at + many] - sums[at] > 0, axis=1, bitorder="little").view("<u8")[:, 0]
+            for s, e, n, p in zip(first.tolist(), last.tolist(), many.tolist(), prints):
                 for i in self.within(p, length):
-                    like = similarity(hashes[s : s + span], self.bags[i])
+                    like = similarity(hashes[s : s + n], self.bags[i])
                     key = int(owner[s]), i
                     if like >= least and (key not in best or like > best[key][0]):
-                        best[key] = like, int(start[s]), int(end[s + length - 1])
+                        best[key] = like, int(start[s]), int(end[e - 1])
 
 
 def keep_clean(
     documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    least: float = SIMILARITY, block_items: int = BLOCK_ITEMS,
+    least: float = SIMILARITY, block_items: int = BLOCK_ITEMS, clipped: bool = False,
 ) -> DataFrame:
     """The documents that hold no item of the benchmark, all columns; the same search, as a filter on the text."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
@@ -196,11 +202,11 @@ def keep_clean(
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         shared = documents.sparkSession.sparkContext.broadcast(sorted(map(tuple, block.distinct().collect()), key=repr))
-        documents = documents.where(~_holds(shared, least)(F.col(text)))
+        documents = documents.where(~_holds(shared, least, clipped)(F.col(text)))
     return documents
 
 
-def _holds(shared, least: float):
+def _holds(shared, least: float, clipped: bool):
     @F.arrow_udf("boolean")
     def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Index(shared.value)
@@ -208,7 +214,7 @@ def _holds(shared, least: float):
             texts = column.fill_null("").to_pylist()
             out = np.zeros(len(texts), bool)
             for a, b in _parts(texts):
-                out[[a + t for t, *_ in index.matches(texts[a:b], least)]] = True
+                out[[a + t for t, *_ in index.matches(texts[a:b], least, clipped)]] = True
             yield pa.array(out)
 
     return holds
@@ -227,14 +233,15 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def find_leaks(
     documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    least: float = SIMILARITY, block_items: int = BLOCK_ITEMS,
+    least: float = SIMILARITY, block_items: int = BLOCK_ITEMS, clipped: bool = False,
 ) -> DataFrame:
     """One row for each document row and item it holds: ids, similarity and the span of the best window.
 
     Columns: id, item id, ``similarity`` (at least ``least``), ``char_start``, ``char_end``. Words
     are lowered runs of letters and digits; items under five words are compared as one whole shingle;
     items and texts without words (null and empty ones too) match nothing; among equal
-    windows the first counts. The benchmark is the query set: its items go to all tasks in blocks of
+    windows the first counts. ``clipped`` also compares items with what a text holds of them at its
+    start or end, and with texts shorter than they are. The benchmark is the query set: its items go to all tasks in blocks of
     ``block_items``, one pass over the documents for each block. Only the columns named are read.
     """
     spark = documents.sparkSession
@@ -248,17 +255,17 @@ def find_leaks(
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast(sorted(map(tuple, block.distinct().collect()), key=repr))
-        found = found.unionByName(texts.mapInArrow(_search(shared, least, arrow_item), kind))
+        found = found.unionByName(texts.mapInArrow(_search(shared, least, arrow_item, clipped), kind))
     return found.withColumnsRenamed({"doc_id": doc_id, "item_id": item_id})
 
 
-def _search(shared, least: float, item_type: pa.DataType):
+def _search(shared, least: float, item_type: pa.DataType, clipped: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
             for a, b in _parts(texts):
-                rows = index.matches(texts[a:b], least)
+                rows = index.matches(texts[a:b], least, clipped)
                 if rows:
                     t, item, like, start, end = zip(*rows)
                     ids = batch.column(0).take(pa.array([a + i for i in t], pa.int64()))

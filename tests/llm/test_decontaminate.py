@@ -93,3 +93,54 @@ def test_odd_rows(odd, table, items, spark):
     assert f.keep_clean(odd, none).count() == 10
     twice = table([(1, "short item"), (1, "short item"), (None, "short item")])
     assert sorted(((r.doc_id, r.item_id) for r in f.find_leaks(twice, items).collect()), key=repr) == sorted([(1, 2), (1, 2), (None, 2)], key=repr)
+
+
+def brute_clipped(docs, items, least=0.8):
+    """Windows of an item's length at every place that touches the text, on the words that are there."""
+    out = {}
+    for d, text in docs:
+        w = words(text)
+        for i, item in items:
+            own = words(item)
+            k, best = min(5, len(own)), 0
+            for s in range(1 - len(own), len(w)) if own else ():
+                window = w[max(s, 0) : max(s + len(own), 0)]
+                if len(window) >= k:
+                    best = max(best, likeness(Counter(tuple(window[i : i + k]) for i in range(len(window) - k + 1)), bag(own)))
+            if best >= least:
+                out[d, i] = round(best, 9)
+    return out
+
+
+def test_items_cut_at_the_ends_of_texts(items, table, spark):
+    long = [f"u{i}" for i in range(100)]
+    more = items.unionByName(spark.createDataFrame([(8, " ".join(long), "x")], items.schema))
+    other = " ".join(f"foreign{i}" for i in range(120))
+    cases = CASES + [
+        (20, " ".join(long[:95])), (21, " ".join(long[5:])), (22, " ".join(long[8:94])), (23, " ".join(long[:85]) + " " + other), (24, other + " " + " ".join(long[:85])),
+        (25, " ".join(long[15:]) + " " + other), (26, " ".join(long[:70])), (27, other + " " + " ".join(long[:70])), (28, "a b a b a b a b a b a"), (29, "item"),
+        (30, " ".join(long[:40] + ["no"] + long[41:95])),
+    ]
+    own = [(r.item_id, r.text) for r in more.collect()]
+    want = brute_clipped(cases, own)
+    assert {(2, 1), (20, 8), (21, 8), (22, 8), (24, 8), (25, 8), (30, 8)} <= set(want) and not {(26, 8), (27, 8), (29, 2)} & set(want)
+    assert set(brute(cases, own)) < set(want)
+    rows = f.find_leaks(table(cases), more, clipped=True).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in rows} == want and len(rows) == len(want)
+    (one,) = [r for r in rows if (r.doc_id, r.item_id) == (24, 8)]
+    assert dict(cases)[24][one.char_start : one.char_end] == " ".join(long[:85])
+    kept = f.keep_clean(table(cases), more, block_items=3, clipped=True)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in cases} - {d for d, _ in want})
+
+
+def test_query_and_pipeline_try_the_ends(spark, given, tmp_path):
+    import corpus_pipeline
+    from tablewright.llm.queries import QUERIES
+
+    item = next(r for r in given("benchmark").orderBy("item_id").collect() if len(words(r.text)) >= 25)
+    text = " ".join(words(item.text)[:-1])
+    docs = given("documents").limit(1).drop("doc_id", "text").selectExpr("CAST(1 AS BIGINT) AS doc_id", f"'{text}' AS text", "*")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    given("benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert item.item_id in {r.item_id for r in QUERIES["op3_decontamination"](spark, str(tmp_path)).collect()}
+    assert corpus_pipeline.without_benchmark(spark, docs, str(tmp_path)).count() == 0
