@@ -145,6 +145,18 @@ def near_links(fingerprints: DataFrame, radius: int = 3, most_members: int = MOS
     return links.distinct()
 
 
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint in (id, fp); the root, a fingerprint, is never null."""
+    kinds = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    links = checkpointed(near_links(kinds.select("fp"), radius))
+    roots = connected(links).withColumnRenamed("node", "fp")
+    smallest = roots.join(kinds, "fp").groupBy("root").agg(F.min("least").alias("smallest"))
+    linked = roots.join(smallest, "root").select("fp", "root", "smallest")
+    return kinds.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("smallest", "least").alias("component_id")
+    )
+
+
 def near_duplicates(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3
 ) -> DataFrame:
@@ -156,30 +168,31 @@ def near_duplicates(
     Only the two columns named are read, so other columns cannot clash. An empty table gives no rows.
     """
     prints = checkpointed(documents.select(F.col(doc_id).alias("id"), fingerprint(F.col(text), words).alias("fp")))
-    kinds = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    links = checkpointed(near_links(kinds.select("fp"), radius))
-    roots = connected(links).withColumnRenamed("node", "fp")
-    smallest = roots.join(kinds, "fp").groupBy("root").agg(F.min("least").alias("smallest"))
-    linked = roots.join(smallest, "root").select("fp", "smallest")
-    named = kinds.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return prints.join(named, "fp").select(
+    return prints.join(_grouped(prints, radius).drop("root"), "fp").select(
         F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """The documents that name their component: one of each group of near copies, all columns.
+    """One row of each component of near copies, all columns: that of the least id, null ids last.
 
-    Of rows that repeat one id, the least by all columns stays; only such rows are grouped.
+    Of rows of one component that share this id the one with the least digest of all columns stays;
+    of rows that are equal in all columns, one. Rows are chosen by component, never by id alone.
     """
-    groups = near_duplicates(documents, doc_id, text, words, radius)
-    names = groups.where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    kept = checkpointed(names.groupBy(F.col(doc_id).alias("kept_id")).agg(F.count("*").alias("kept_rows")))
-    single, several = kept.where("kept_rows = 1"), kept.where("kept_rows > 1")
-    once = documents.join(single, documents[doc_id].eqNullSafe(single["kept_id"]), "left_semi")
-    if several.isEmpty():
-        return once
-    repeated = documents.join(several, documents[doc_id].eqNullSafe(several["kept_id"]), "left_semi")
-    row = F.struct(*[repeated[c] for c in repeated.columns])
-    least = repeated.groupBy(repeated[doc_id]).agg(F.min(row).alias("least_row")).select("least_row.*")
-    return once.unionByName(least)
+    digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), {"ignoreNullFields": "false"}), 256)
+    prints = checkpointed(documents.select(F.col(doc_id).alias("id"), fingerprint(F.col(text), words).alias("fp"), digest.alias("digest")))
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "digest")
+    chosen = prints.join(_grouped(prints, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("first"))
+    kept = checkpointed(chosen.select("first.digest"))
+    rows = documents.withColumn("_digest_of_row", digest)
+    once = rows.join(kept, rows["_digest_of_row"] == kept["digest"], "left_semi")
+    # equal rows: only those that were chosen and occur more than once are grouped
+    copies = prints.join(kept, "digest", "left_semi").groupBy("digest").count().where("count > 1").select("digest")
+    copies = checkpointed(copies)
+    if copies.isEmpty():
+        return once.drop("_digest_of_row")
+    single = once.join(copies, once["_digest_of_row"] == copies["digest"], "left_anti").drop("_digest_of_row")
+    several = once.join(copies, once["_digest_of_row"] == copies["digest"], "left_semi")
+    row = F.struct(*[several[f"`{c}`"] for c in documents.columns])
+    one = several.groupBy("_digest_of_row").agg(F.first(row).alias("row")).select("row.*")
+    return single.unionByName(one)

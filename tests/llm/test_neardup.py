@@ -97,3 +97,17 @@ def test_odd_rows(odd, table):
     assert kept == sorted([1, 3, 7, 8, 9, None], key=repr)
     again = table([(1, "a b c d"), (1, "a b c d"), (2, "x y z")])
     assert sorted(r.doc_id for r in f.keep_one(again).collect()) == [1, 2]
+
+
+def test_one_row_of_each_component_whatever_the_ids(table):
+    a, b, c = "alpha beta gamma delta", "one two three four five", "red green blue white"
+    kept = lambda pairs: sorted(((r.doc_id, r.text) for r in f.keep_one(table(pairs)).collect()), key=repr)
+    order = lambda *pairs: sorted(pairs, key=repr)
+    # three components without an id, one of them twice
+    assert kept([(None, a), (None, b), (None, c), (None, c)]) == order((None, a), (None, b), (None, c))
+    # two texts under one id, both the least of their component
+    assert kept([(1, a), (1, b), (2, b)]) == order((1, a), (1, b))
+    # only one of the rows with id 2 names its component; the other is a copy of row 1
+    assert kept([(1, a), (2, a), (2, b), (3, b)]) == order((1, a), (2, b))
+    # copies that differ in case only, under one id and under none
+    assert len(kept([(4, a), (4, a.upper()), (None, a)])) == 1
