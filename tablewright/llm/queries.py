@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import decontaminate, fingerprints, language, neardup, packing, quality, secrets, token_orc, toxicity, warc
+from tablewright.llm import decontaminate, fingerprints, language, neardup, packing, quality, secrets, token_orc, toxicity, warc, whitening
 from tablewright.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +76,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 # base 32 of a SHA-1: each five hex digits are four characters
 ORACLES["op6_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
