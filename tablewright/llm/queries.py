@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import decontaminate, fingerprints, language, neardup, packing, quality, secrets, token_orc, toxicity, warc, whitening
+from tablewright.llm import decontaminate, divergence, fingerprints, language, neardup, packing, quality, secrets, token_orc, toxicity, warc, whitening
 from tablewright.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +76,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
@@ -93,3 +98,24 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
 FROM g
 """
+
+# the largest operand is UNIT times a count, the largest square that of a share: wider than a long on the way, not at the end
+ORACLES["op12_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+     t AS (SELECT id, lang, source, unnest(ts) AS term FROM d),
+     k AS (SELECT lang, term FROM (SELECT DISTINCT id, lang, term FROM t) GROUP BY lang, term HAVING count(*) >= 3),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+     every AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+     p AS (SELECT *, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER w + count(*) OVER w) AS p FROM every WINDOW w AS (PARTITION BY lang, source)),
+     q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // (sum(sum(n)) OVER w + count(*) OVER w) AS q FROM every GROUP BY lang, term WINDOW w AS (PARTITION BY lang)),
+     s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+           FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+               FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+     best AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+               FROM (SELECT * FROM pairs UNION ALL SELECT * FROM best)) WHERE part = 'pair' OR rank <= 200
+"""
