@@ -27,11 +27,10 @@ LEAST_DOCUMENTS = 3
 UNIT = 1_000_000_000
 TOP = 200
 PIECE = 1 << 20  # bytes of a text whose terms are listed at once
-HELD_TERMS = 400_000  # terms a task counts before it hands them on
-BUFFER = 32 << 20  # bytes of text that a task sorts by group
+HELD_TERMS, HELD_TOKENS = 600_000, 16 << 20  # distinct terms, and tokens, that a task holds before it hands counts on
 SHARD_KEYS = 200_000
 BUNDLE_BYTES = 64 << 20  # most that is broadcast at once; more shards take more passes
-BLOCK_CELLS = 1 << 20  # terms times sources of one task's table
+BLOCK_CELLS = 1 << 17  # terms times sources of one table of counts
 
 
 def pieces(data: bytes) -> Iterator[bytes]:
@@ -120,75 +119,107 @@ def _loaded(sent: Broadcast) -> dict[str, Shards]:
     return out
 
 
-def recount(documents: DataFrame, sent: Broadcast) -> DataFrame:
-    """(lang, source, slot, term, n): occurrences of the broadcast terms in each group, without noughts."""
+class _Numbers(dict):
+    """Numbers terms as they are first asked for."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = number = len(self)
+        return number
+
+
+CELLS = "lang string, block long, source string, total long, slots binary, n binary, names array<string>"
+
+
+def recount(documents: DataFrame, sent: Broadcast, block: int) -> DataFrame:
+    """Occurrences of the broadcast terms in each group, a row for each group and block of slots.
+
+    ``slots`` and ``n`` are the numbers of the block's terms that occur (32 bits) and how often (64
+    bits), ``total`` their sum. One row of each block, without a source, has its terms as ``names``.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, held, size = _loaded(sent), {}, 0
+        tables = _loaded(sent)
+        numbers, held, size = {lang: _Numbers() for lang in tables}, {}, 0
 
         def handed_on():
-            for (lang, source), texts in held.items():
+            of = {}
+            for lang, known in numbers.items():
+                found = tables[lang].find(list(known))
+                of[lang] = np.where(found >= 0, found, tables[lang].size)
+            for (lang, source), parts in held.items():
                 table = tables[lang]
-                dense = np.zeros(table.size, np.int64)
-                for some in _portions(texts):
-                    counts = Counter()
-                    for part in some:
-                        counts.update(part)
-                    names = list(counts)
-                    slots = table.find(names)
-                    n = np.fromiter(counts.values(), np.int64, len(counts))
-                    dense[slots[slots >= 0]] += n[slots >= 0]
+                dense = np.bincount(of[lang][np.concatenate(parts)], minlength=table.size + 1)[:-1]
                 slots = np.flatnonzero(dense)
-                yield pa.RecordBatch.from_arrays(
-                    [_repeated(lang, len(slots)), _repeated(source, len(slots)), pa.array(slots + table.first), pa.array(dense[slots])],
-                    names=["lang", "source", "slot", "n"],
-                )
+                yield _cells(lang, source, slots + table.first, dense[slots], block)
             held.clear()
+            for known in numbers.values():
+                known.clear()
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if lang not in tables:
+                known = numbers.get(lang)
+                if known is None:
                     continue
-                data = text.as_buffer().to_pybytes()
-                held.setdefault((lang, source), []).append(data)
-                size += len(data)
-                if size > BUFFER:
-                    yield from handed_on()
-                    size = 0
+                for some in terms(text.as_buffer().to_pybytes()):
+                    held.setdefault((lang, source), []).append(np.fromiter(map(known.__getitem__, some), np.int32, len(some)))
+                    size += len(some)
+                    if size > HELD_TOKENS or len(known) > HELD_TERMS:
+                        yield from handed_on()
+                        size = 0
         yield from handed_on()
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _loaded(sent)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by block and source
+        tables, at, dense = _loaded(sent), None, np.zeros(block, np.int64)
+
+        def done(lang, number, source):
+            slots = np.flatnonzero(dense)
+            out = _cells(lang, source, slots + number * block, dense[slots], block)
+            dense[:] = 0
+            return out
+
         for batch in batches:
-            langs, slots = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy()
-            names = np.empty(len(langs), object)
-            for lang in set(langs):
-                at = np.flatnonzero(langs == lang)
-                names[at] = tables[lang].keys(slots[at])
-            columns = [*batch.columns[:3], pa.array(names.tolist(), pa.binary()).cast(pa.string()), batch.column(3)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "slot", "term", "n"])
-
-    some = documents.select("lang", "source", "text").mapInArrow(counted, "lang string, source string, slot long, n long")
-    summed = some.groupBy("lang", "source", "slot").agg(F.sum("n").alias("n"))
-    return summed.mapInArrow(named, "lang string, source string, slot long, term string, n long")
-
-
-def _portions(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
-    """Lists of the terms of some texts, about a few megabytes of text at a time."""
-    held, size = [], 0
-    for text in texts:
-        for piece in pieces(text):
-            held.append(TERM.findall(piece.translate(LOWER)))
-            size += len(piece)
-            if size > 4 * PIECE:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def counts(spark: SparkSession, documents: DataFrame, least: int, bundle_bytes: int = BUNDLE_BYTES, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (lang, source, slot, term, n), slots from nought in each language; and (lang, v), the kept terms of each."""
+            for lang, number, source, slots, n in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
+                if at and at != (lang, number, source):
+                    yield done(*at)
+                if not at or at[:2] != (lang, number):
+                    yield _names(lang, number, tables[lang], block)
+                at = lang, number, source
+                dense[np.frombuffer(slots, np.uint32)] += np.frombuffer(n, np.int64)
+        if at:
+            yield done(*at)
+
+    some = documents.select("lang", "source", "text").mapInArrow(counted, CELLS)
+    return some.repartition("lang", "block").sortWithinPartitions("lang", "block", "source").mapInArrow(merged, CELLS)
+
+
+_KINDS = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()))
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=["lang", "block", "source", "total", "slots", "n", "names"])
+
+
+def _names(lang: str, number: int, table: Shards, block: int) -> pa.RecordBatch:
+    """The row of a block that names its terms, as far as they are here."""
+    own = np.arange(max(table.first, number * block), min(table.first + table.size, (number + 1) * block))
+    slots = (own - number * block).astype(np.uint32)
+    return _rows([(lang, number, None, 0, slots.tobytes(), b"", [t.decode() for t in table.keys(own)])])
+
+
+def _cells(lang: str, source: str, slots: np.ndarray, n: np.ndarray, block: int) -> pa.RecordBatch:
+    """Counts by rising slot, a row for each block."""
+    number = slots // block
+    limits = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(slots)]]).tolist() if len(slots) else [0]
+    inside, n = (slots - number * block).astype(np.uint32), n.astype(np.int64)
+    return _rows([
+        (lang, int(number[a]), source, int(n[a:b].sum()), inside[a:b].tobytes(), n[a:b].tobytes(), None) for a, b in zip(limits[:-1], limits[1:])
+    ])
+
+
+def counts(spark: SparkSession, documents: DataFrame, least: int, block: int, bundle_bytes: int = BUNDLE_BYTES, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``recount`` over all shards, slots from nought in each language; and (lang, v), the kept terms of each."""
     kept = checkpointed(kept_terms(documents, least))
     largest = kept.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     bits = max(0, int(-(-largest // shard_keys) - 1).bit_length())
@@ -196,16 +227,15 @@ def counts(spark: SparkSession, documents: DataFrame, least: int, bundle_bytes:
     after = F.sum("n").over(Window.partitionBy("lang").orderBy("shard"))
     listed = shards.select("lang", "shard", "n", "bytes", (after - F.col("n")).alias("base")).orderBy("lang", "shard").collect()
     path = scratch_path(spark, "recount")
-    shape = "lang string, source string, slot long, term string, n long"
-    spark.createDataFrame([], shape).write.parquet(path)
+    spark.createDataFrame([], CELLS).write.parquet(path)
     for bundle in bundles(listed, bundle_bytes):
         base = {(s.lang, s.shard): s.base for s in bundle}
         wanted = spark.createDataFrame(list(base), "lang string, shard int")
         rows = shards.join(F.broadcast(wanted), ["lang", "shard"]).select("lang", "shard", "packed").collect()
         sent = spark.sparkContext.broadcast((bits, [(r.lang, r.shard, base[r.lang, r.shard], bytes(r.packed)) for r in rows]))
-        recount(documents, sent).write.mode("append").parquet(path)
+        recount(documents, sent, block).write.mode("append").parquet(path)
         sent.unpersist()
-    return spark.read.schema(shape).parquet(path), shards.groupBy("lang").agg(F.sum("n").alias("v"))
+    return spark.read.schema(CELLS).parquet(path), shards.groupBy("lang").agg(F.sum("n").alias("v"))
 
 
 def shares(n: np.ndarray, total) -> np.ndarray:
@@ -253,24 +283,27 @@ def audit(
     """
     spark = documents.sparkSession
     docs = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))))
-    found, sizes = counts(spark, docs, least, bundle_bytes, shard_keys)
-    used = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = docs.select("lang", "source").distinct().join(used, ["lang", "source"], "left").join(sizes, "lang", "left")
-    groups = checkpointed(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v")))
+    groups = checkpointed(docs.select("lang", "source").distinct())
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
     block = max(256, min(1 << 16, BLOCK_CELLS // most))
+    found, sizes = counts(spark, docs, least, block, bundle_bytes, shard_keys)
+    used = found.where("source IS NOT NULL").groupBy("lang", "source").agg(F.sum("total").alias("total"))
+    groups = groups.join(used, ["lang", "source"], "left").join(sizes, "lang", "left")
+    groups = checkpointed(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v")))
 
     def compared(key, cells, stats):
         stats = stats.sort_by("source")
         sources, totals = stats.column("source").to_pylist(), stats.column("total").to_numpy()
         own, at = key[0].as_py(), {s: i for i, s in enumerate(sources)}
-        slot = cells.column("slot").to_numpy()
-        slots, first, column = np.unique(slot, return_index=True, return_inverse=True)
-        n = np.zeros((len(sources), len(slots)), np.int64)
-        row = np.fromiter((at[s] for s in cells.column("source").to_pylist()), np.int64, len(slot))
-        n[row, column] = cells.column("n").to_numpy()
-        names = cells.column("term").take(pa.array(first)).to_pylist()
-        pairs, best = compare_block(sources, totals, stats.column("v")[0].as_py(), n, names, top)
+        n, names = np.zeros((len(sources), block), np.int64), np.empty(block, object)
+        for source, slots, counted, called in zip(*(cells.column(c).to_pylist() for c in ("source", "slots", "n", "names"))):
+            slots = np.frombuffer(slots, np.uint32)
+            if source is None:
+                names[slots] = called
+            else:
+                n[at[source], slots] = np.frombuffer(counted, np.int64)
+        here = np.flatnonzero(n.any(axis=0))
+        pairs, best = compare_block(sources, totals, stats.column("v")[0].as_py(), n[:, here], names[here].tolist(), top)
         a, b = np.nonzero(~np.eye(len(sources), dtype=bool))
         rows = [("pair", sources[i], sources[j], int(pairs[i, j])) for i, j in zip(a.tolist(), b.tolist())] + [("term", *r) for r in best]
         part, source_, item, value = list(zip(*rows)) or ((),) * 4
@@ -279,9 +312,8 @@ def audit(
 
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(v - 1) div {block}")))
     stats = groups.where("v > 0").select("*", blocks.alias("block"))
-    cells = found.withColumn("block", F.expr(f"slot div {block}"))
     rows = (
-        cells.groupBy("lang", "block")
+        found.groupBy("lang", "block")
         .cogroup(stats.groupBy("lang", "block"))
         .applyInArrow(compared, "lang string, source string, part string, item string, value long")
     )

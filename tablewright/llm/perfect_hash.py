@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from itertools import repeat
 
 import numpy as np
 import xxhash
@@ -15,7 +16,7 @@ SPARE = 2.0  # bits for each key of a level
 
 
 def hashes(keys: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(lambda k: xxhash.xxh64_intdigest(k, SEED), keys), np.uint64, len(keys))
+    return np.fromiter(map(xxhash.xxh64_intdigest, keys, repeat(SEED)), np.uint64, len(keys))
 
 
 def joined(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
