@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import decontaminate, divergence, fingerprints, language, neardup, packing, quality, secrets, token_orc, toxicity, warc, whitening
+from tablewright.llm import decontaminate, divergence, fingerprints, language, lm, neardup, packing, quality, secrets, token_orc, toxicity, warc, whitening
 from tablewright.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +76,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
