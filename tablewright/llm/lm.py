@@ -34,7 +34,7 @@ END = b""  # no word is empty
 FOLDS, HELD_OUT = 7, 2
 ORDER = 2
 STRENGTH = 500.0  # weight of the shorter history, in tokens
-CHUNK, PIECE = 8 << 20, 4 << 20  # bytes of text of a chunk, and of a piece of a long text
+CHUNK, PIECE = 6 << 20, 4 << 20  # bytes of text of a chunk, and of a piece of a long text
 BUCKET_KEYS = 1 << 20
 STRIDE = 128  # tokens that one reader of the automaton takes
 
@@ -66,6 +66,24 @@ class _Numbers(dict):
         return number
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key in some sorted keys, -1 where it is missing; looked up in order, which the cache likes."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1, np.int64)
+    by = np.argsort(keys)
+    place = np.searchsorted(sorted_keys, keys[by])
+    place[place == len(sorted_keys)] = 0
+    out = np.empty(len(keys), np.int64)
+    out[by] = np.where(sorted_keys[place] == keys[by], place, -1)
+    return out
+
+
 def _chunk_schema(doc_id) -> StructType:
     many = [("row", LongType()), ("id", doc_id), ("held", BooleanType()), ("before", LongType()), ("size", LongType())]
     schema = StructType().add("chunk", LongType()).add("trained", LongType()).add("tokens", BinaryType()).add("words", ArrayType(BinaryType()))
@@ -151,15 +169,16 @@ class Chunk:
     def grams(self) -> np.ndarray:
         """Sorted distinct keys of all n-grams of two words and more."""
         found = [k[self.since >= n] for n, k in enumerate(self.keys) if n]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        return _distinct(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
     def trained(self, grams: np.ndarray) -> np.ndarray:
         """How often each n-gram ends at a training token here."""
         found = [k[self.train & (self.since >= n)] for n, k in enumerate(self.keys) if n]
         out = np.zeros(len(grams), np.int64)
         if found:
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            out[np.searchsorted(grams, keys)] = n
+            keys = np.sort(np.concatenate(found))
+            first = np.flatnonzero(np.concatenate([np.full(min(1, len(keys)), True), keys[1:] != keys[:-1]]))
+            out[np.searchsorted(grams, keys[first])] = np.diff(first, append=len(keys))
         return out
 
 
@@ -240,10 +259,7 @@ class Automaton:
         for k in range(1, order):
             at = np.flatnonzero(c.since >= k)
             found = np.full(len(nodes), -1, np.int64)
-            place = np.searchsorted(grams, c.keys[k][at])
-            place[place == len(grams)] = 0
-            real = grams[place] == c.keys[k][at] if len(grams) else np.zeros(len(at), bool)
-            at, place = at[real], place[real] + width
+            place = _places(grams, c.keys[k][at]) + width
             found[at] = place
             one = np.full(len(count), -1, np.int64)
             one[place] = at  # a position of each n-gram of this length
@@ -272,16 +288,15 @@ class Automaton:
         states, total = states.copy(), np.zeros(len(states))
         left = np.arange(len(states))
         while len(left):
-            at_root = left[states[left] < 0]
+            rooted = states[left] < 0
+            at_root = left[rooted]
             total[at_root] += self.root[words[at_root]]
             states[at_root] = self.after_root[words[at_root]]
-            left = np.setdiff1d(left, at_root, assume_unique=True) if len(at_root) else left
+            left = left[~rooted]
             if not len(left):
                 break
-            arc = states[left] * self.width + words[left]
-            place = np.searchsorted(self.arcs, arc)
-            place[place == len(self.arcs)] = 0
-            hit = self.arcs[place] == arc if len(self.arcs) else np.zeros(len(arc), bool)
+            place = _places(self.arcs, states[left] * self.width + words[left])
+            hit = place >= 0
             total[left[hit]] += self.weights[place[hit]]
             states[left[hit]] = self.into[place[hit]]
             left = left[~hit]
