@@ -59,13 +59,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return everything[limits[0] : limits[-1]], limits - limits[0]
 
 
-def portions(limits: np.ndarray, most: int):
-    """Ranges of texts holding about ``most`` bytes each; a longer text is a portion of its own."""
+def portions(limits: np.ndarray, most: int, most_texts: int | None = None):
+    """Ranges of texts holding about ``most`` bytes each, and no more than ``most_texts``; a longer text is a portion of its own."""
     first, n = 0, len(limits) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(limits, limits[first] + most, side="right")) - 1)
-        yield first, min(last, n)
-        first = min(last, n)
+        last = min(last, n, first + (most_texts or n))
+        yield first, last
+        first = last
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ PASSAGES_PER_TEXT = 24
 FOLDS = 5
 EPOCHS = 20
 KEEP_FROM = 0.3
-PORTION = 1 << 21
+PORTION, TEXTS = 1 << 18, 512  # bytes and texts whose passages are held at once
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,8 @@ def passages(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Feature rows of all passages of some texts, and the number of passages of each text.
 
     A passage is up to 512 bytes; an empty text has one empty passage. Features: shares of bytes and
-    of hashed three-byte runs (as roots), the share of distinct runs, and the length.
+    of hashed three-byte runs (as roots), the share of distinct runs, and the length. Callers hand over
+    a portion at a time: a passage takes about 10 kB here.
     """
     lengths = np.diff(limits)
     counts = np.maximum(1, -(-lengths // PASSAGE))
@@ -127,9 +128,11 @@ def _bag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         data, limits = text_bytes(texts)
         out = []
         for a, b in zip(limits[:-1], limits[1:]):
-            x, _ = passages(data[a:b], np.array([0, b - a]))
-            at = np.unique(np.linspace(0, len(x) - 1, min(len(x), PASSAGES_PER_TEXT)).astype(int))
-            out.append(x[at].astype(np.float16).tobytes())
+            n = max(1, -(-(b - a) // PASSAGE))
+            at = np.unique(np.linspace(0, n - 1, min(n, PASSAGES_PER_TEXT)).astype(int))
+            parts = [data[a + i * PASSAGE : min(b, a + (i + 1) * PASSAGE)] for i in at]
+            x, _ = passages(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
+            out.append(x.astype(np.float16).tobytes())
         yield pa.array(out, pa.binary())
 
 
@@ -152,16 +155,16 @@ def scores_of(texts: pa.Array, model: Model | None) -> np.ndarray:
         return np.full(len(texts), 0.5)
     data, limits = text_bytes(texts)
     out = []
-    for first, last in portions(limits, PORTION):
+    for first, last in portions(limits, PORTION, TEXTS):
         out.append(_scores(data[limits[first] : limits[last]], limits[first : last + 1] - limits[first], model))
     return np.concatenate(out) if out else np.zeros(0)
 
 
 def _scores(data: np.ndarray, limits: np.ndarray, m: Model) -> np.ndarray:
-    if len(data) <= 4 * PORTION:
+    if len(data) <= PORTION or len(limits) > 2:
         x, counts = passages(data, limits)
         return _forward((x - m.centre) / m.scale, np.concatenate([[0], np.cumsum(counts)[:-1]]), m)[0]
-    # one very long text: the attention sums over its passages are carried from part to part
+    # one long text: the attention sums over its passages are carried from part to part
     top, weight, sum_ = -np.inf, 0.0, np.zeros(HIDDEN)
     for at in range(0, len(data), PORTION // PASSAGE * PASSAGE):
         part = data[at : at + PORTION // PASSAGE * PASSAGE]

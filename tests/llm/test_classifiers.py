@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -150,3 +151,53 @@ def test_convolution_by_hand():
     top = language.pooled(windows, tables)
     for i, g in enumerate(got):
         assert np.allclose(top[:, i * language.FILTERS : i * language.FILTERS + 2], g, atol=1e-5)
+
+
+def plain_quality(text, m):
+    """Score of one text by loops: features of each passage, gated attention, classifier."""
+    parts = [text[i : i + quality.PASSAGE] for i in range(0, max(1, len(text)), quality.PASSAGE)]
+    hidden, weights = [], []
+    for part in parts:
+        x = np.zeros(quality.FEATURES)
+        for b in part:
+            x[b] += 1
+        codes = [((a << 16 | b << 8 | c) * 0x9E3779B1 & 0xFFFFFFFF) >> 20 for a, b, c in zip(part, part[1:], part[2:])]
+        for code in codes:
+            x[256 + (code >> 4)] += 1
+        x[:-2] = np.sqrt(x[:-2] / max(1, len(part)))
+        x[-2], x[-1] = len(set(codes)) / max(1, len(part)), len(part) / quality.PASSAGE
+        h = np.tanh((x - m.centre) / m.scale @ m.encode + m.encode_bias)
+        hidden.append(h)
+        weights.append(np.exp((np.tanh(h @ m.v) / (1 + np.exp(-(h @ m.u)))) @ m.w))
+    z = sum(w * h for w, h in zip(weights, hidden)) / sum(weights)
+    return 1 / (1 + np.exp(-(z @ m.out + m.out_bias[0])))
+
+
+def some_model(seed):
+    draw = np.random.default_rng(seed)
+    shapes = [(quality.FEATURES,), (quality.FEATURES,), (quality.FEATURES, quality.HIDDEN), (quality.HIDDEN,), (quality.HIDDEN, quality.ATTENTION), (quality.HIDDEN, quality.ATTENTION), (quality.ATTENTION,), (quality.HIDDEN,), (1,)]
+    arrays = [draw.normal(0, 0.3, s) for s in shapes]
+    arrays[1] = np.abs(arrays[1]) + 0.1
+    return quality.Model(*arrays)
+
+
+def test_quality_by_plain_loops(monkeypatch):
+    model, draw = some_model(1), np.random.default_rng(2)
+    texts = ["", "a", "ab", "abc" * 300, "é" * 700] + ["".join(map(chr, draw.integers(32, 600, n))) for n in (5, 511, 512, 513, 3000, 20_000)]
+    want = [plain_quality(t.encode(), model) for t in texts]
+    assert quality.scores_of(pa.array(texts), model) == pytest.approx(want, abs=1e-5)
+    # small portions and streamed long texts give the same
+    monkeypatch.setattr(quality, "PORTION", 1024)
+    monkeypatch.setattr(quality, "TEXTS", 2)
+    assert quality.scores_of(pa.array(texts), model) == pytest.approx(want, abs=1e-5)
+
+
+def test_quality_memory_does_not_follow_the_texts():
+    model = some_model(3)
+    for texts in (["word and word " * 500_000], [""] * 20_000, ["some words of a text " * 50] * 5000):
+        column = pa.array(texts)
+        tracemalloc.start()
+        quality.scores_of(column, model)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6, (len(texts), peak)
