@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 from itertools import chain
@@ -10,7 +11,8 @@ from unicodedata import is_normalized
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-MOST_WORDS = 800_000
+MOST_BYTES = 64 << 20  # of the table of known words
+WORD_BYTES = 150  # of an entry beside its letters: dict slot, object head, number, ids
 JOINED = 64  # words encoded as one text
 TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")  # signs that end words
 LAST_PLAIN = "\u0530"  # letters below have one lower-case form for all libraries
@@ -38,11 +40,14 @@ class WordEncoder:
 
     Such a tokenizer (white space runs become one blank, pieces are letters, single digits or signs)
     never joins characters across white space, so the ids of a text are those of its words in a row,
-    whatever the case of A-Z. That is tried on a probe when the file is loaded; where it fails, and
-    for texts that hold a special token's sign, whole texts are encoded. Known words are kept up to
-    ``MOST_WORDS``, then forgotten.
+    whatever the case of A-Z. The file's normalizer, splitter and special tokens are looked at when it is
+    loaded, and a probe is tried; where they are others, and for texts that hold a special token's sign in
+    any case (the library takes it in its own case only), whole texts are encoded. Known words are kept up
+    to ``MOST_BYTES``, then forgotten; ``forget`` drops them at the end of a task.
     """
 
+    NORMALIZERS, SPLITTERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
     PROBE = "Its THE rain's  12ab-c_d,\tÉcole ÜBER\n\"don't\" é <a> 漢字! X, garçon. \"so\"."
 
     def __init__(self, path: str):
@@ -57,7 +62,8 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [(self._head(t.content), t.content.lower()) for t in added]
         self.known = _Numbers()
         self._clear()
         words = self.PROBE.encode().lower().split()
@@ -68,11 +74,26 @@ class WordEncoder:
             parts = [i for w in words for i in self._ids_of(w)]
         except ValueError:
             parts = None
-        self.by_words = parts == self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids
+        plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added)
+        self.by_words = self._kinds() and plain and parts == self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids
+        self.forget()
+
+    def _kinds(self) -> bool:
+        file = json.loads(self.tokenizer.to_str())
+        parts = [(file.get(k) or {}).get(many, []) for k, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        return [[x["type"] for x in p] for p in parts] == [self.NORMALIZERS, self.SPLITTERS]
+
+    @staticmethod
+    def _head(sign: str) -> str:
+        """The signs before the first letter, which are the same in any case."""
+        return sign[: next((i for i, c in enumerate(sign) if c.isalnum()), len(sign))]
+
+    def forget(self) -> None:
+        self._clear()
 
     def _clear(self) -> None:
         self.known.clear()
-        self.known.fresh = []
+        self.known.fresh, self.held = [], 0
         self.ids, self.limits = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _ids_of(self, word: bytes) -> list[int]:
@@ -113,6 +134,7 @@ class WordEncoder:
         head, tail = np.array(heads, np.int64), np.array(tails, np.int64) + len(letters)
         head = np.where(head < 0, len(letters) - 1 - head, head)
         pairs = np.stack([head, tail], axis=1).ravel()
+        self.held += sum(map(len, self.known.fresh)) + WORD_BYTES * len(self.known.fresh)
         self.known.fresh = []
         self.ids = np.concatenate([self.ids, ids[_runs(first[pairs], sizes[pairs])]])
         self.limits = np.concatenate([self.limits, self.limits[-1] + np.cumsum(sizes[head] + sizes[tail])])
@@ -120,7 +142,7 @@ class WordEncoder:
     def _places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of all texts in a row, and the number of words of each text."""
         split = [t.encode().lower().split() for t in texts]
-        if len(self.known) > MOST_WORDS:
+        if self.held > MOST_BYTES:
             self._clear()
         counts = np.fromiter(map(len, split), np.int64, len(split))
         places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
@@ -129,7 +151,7 @@ class WordEncoder:
         return places, counts
 
     def _whole(self, texts: list[str]) -> bool:
-        return not self.by_words or any(s in t for s in self.special for t in texts)
+        return not self.by_words or any(head in t and sign in t.lower() for head, sign in self.special for t in texts)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Number of ids of each text."""

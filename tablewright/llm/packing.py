@@ -81,10 +81,13 @@ def token_count(text: Column, tokenizer_path: str) -> Column:
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = encoder(tokenizer_path)
-        for texts in batches:
-            limits = text_bytes(texts)[1]
-            parts = [words.counts(texts.slice(a, b - a).fill_null("").to_pylist()) for a, b in portions(limits, 1 << 20)]
-            yield pa.array(np.concatenate(parts) + 1 if parts else np.zeros(0, np.int64), pa.int64())
+        try:
+            for texts in batches:
+                limits = text_bytes(texts)[1]
+                parts = [words.counts(texts.slice(a, b - a).fill_null("").to_pylist()) for a, b in portions(limits, 1 << 20)]
+                yield pa.array(np.concatenate(parts) + 1 if parts else np.zeros(0, np.int64), pa.int64())
+        finally:
+            words.forget()
 
     return count(text)
 

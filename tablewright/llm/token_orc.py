@@ -30,23 +30,26 @@ def _encode(tokenizer_path: str, end_id: int):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, before = encoder(tokenizer_path), 0
-        for batch in batches:
-            _, limits = text_bytes(batch.column(1))
-            for first, last in portions(limits, PORTION):
-                texts = batch.column(1).slice(first, last - first).fill_null("").to_pylist()
-                ids, sizes = words.encode(texts)
-                ends = np.cumsum(sizes + 1)
-                out = np.full(int(ends[-1]), end_id, np.int32)
-                own = np.ones(len(out), bool)
-                own[ends - 1] = False
-                out[own] = ids
-                starts = np.concatenate([[0], ends[:-1]])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]), pa.int32()), pa.array(out))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(before + starts), pa.array(sizes + 1), lists],
-                    schema=kind,
-                )
-                before += int(ends[-1])
+        try:
+            for batch in batches:
+                _, limits = text_bytes(batch.column(1))
+                for first, last in portions(limits, PORTION):
+                    texts = batch.column(1).slice(first, last - first).fill_null("").to_pylist()
+                    ids, sizes = words.encode(texts)
+                    ends = np.cumsum(sizes + 1)
+                    out = np.full(int(ends[-1]), end_id, np.int32)
+                    own = np.ones(len(out), bool)
+                    own[ends - 1] = False
+                    out[own] = ids
+                    starts = np.concatenate([[0], ends[:-1]])
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]), pa.int32()), pa.array(out))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(first, last - first), pa.array(before + starts), pa.array(sizes + 1), lists],
+                        schema=kind,
+                    )
+                    before += int(ends[-1])
+        finally:
+            words.forget()
 
     return encode
 

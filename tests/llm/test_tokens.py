@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -28,6 +29,40 @@ def test_words_encode_as_texts_do():
         assert encoder.counts([t, "x"]).tolist() == [len(want), 1]
 
 
+def test_special_signs_in_any_case():
+    encoder, tokenizer = WordEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    draw, texts = random.Random(4), []
+    for sign in ("<|endoftext|>", "<|startoftext|>"):
+        for way in (str, str.upper, str.title, str.capitalize, str.swapcase, lambda s: "".join(draw.choice((c, c.upper())) for c in s)):
+            texts += [way(sign), f"{way(sign)} a", f"x{way(sign)}y", f"A {way(sign)}{way(sign)}", f"{way(sign)[:-1]} {way(sign)[1:]}"]
+    for t in texts:
+        want = tokenizer.encode(t, add_special_tokens=False).ids
+        assert encoder.encode([t])[0].tolist() == want and encoder.counts([t]).tolist() == [len(want)], t
+
+
+def test_random_unicode():
+    encoder, tokenizer = WordEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    draw = random.Random(5)
+    pools = [range(32, 127), range(0, 0x250), range(0x300, 0x600), range(0x1E00, 0x2100), range(0x3000, 0x3100), range(0xAC00, 0xAD00), range(0xFB00, 0xFB50), range(0x1F600, 0x1F650)]
+    for _ in range(1500):
+        parts = ["".join(chr(draw.choice(draw.choice(pools))) for _ in range(draw.randint(1, 9))) for _ in range(draw.randint(1, 8))]
+        text = draw.choice(" \t\n  ").join([*parts, draw.choice(["<|EndOfText|>", "<|endoftext|>", "it's", ""])])
+        assert encoder.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_known_words_are_bounded_and_forgotten(monkeypatch):
+    from tablewright.llm import bpe
+
+    monkeypatch.setattr(bpe, "MOST_BYTES", 20_000)
+    encoder, tokenizer = WordEncoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for k in range(30):
+        text = " ".join(f"word{k}x{i}" for i in range(100))
+        assert encoder.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 300
+    encoder.forget()
+    assert not encoder.known and len(encoder.ids) == 0
+
+
 def test_documents_round_trip(spark, given):
     path, docs = scratch_path(spark, "tokens"), given("documents")
     f.write_tokens(docs, path, TOKENIZER)
