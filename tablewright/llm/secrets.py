@@ -2,14 +2,18 @@
 
 The fixed patterns always count. Beside them, a string that stands in a sensitive context is a
 secret if zstandard, primed with an identifier dictionary and the text around the string, saves
-almost nothing on it: its marginal compressed bytes come close to its length.
+almost nothing on it: its marginal compressed bytes come close to those of a random string of the same
+length and alphabet. The context reaches over line ends and to both sides of a sensitive word, and the
+body of a private key block is a string of its own. Strings count whole, however long they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,11 +32,32 @@ SENSITIVE_WORDS = (
     "password", "passwd", "pwd", "secret", "token", "key", "credential", "authorization", "bearer", "private", "signature", "session",
 )
 SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,256}")
+PLAIN = "A-Za-z0-9+/_=.~-"
+CANDIDATE, RUN = re.compile(f"[{PLAIN}]{{16,}}"), re.compile(f"[{PLAIN}]*")
+BEFORE = re.compile(f"[^{PLAIN}]")
+KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----\s*([A-Za-z0-9+/=\s]{15,}[A-Za-z0-9+/=])")
+LEAST = 16
 REACH = 64  # code points between the word and the string
+GAP = 4  # code points between a found string and one that goes on with it
 AROUND = 512  # code points on either side that prime the compressor
 LEAST_NOVEL = 0.9
 
+# alphabets that random strings are written in, small ones first
+ALPHABETS = (
+    "0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=.~-",
+)
+HEX_ALPHABETS = ALPHABETS[:3]
+
+# pairs of letters that words of Latin script are full of, random strings are not
+WORD_PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll"
+    " be ma si om ur".split()
+)
+WORDY, LEAST_PAIRS = 0.25, 4
+
 # names that code is full of; they prime the compressor
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret "
@@ -73,26 +98,91 @@ def marginal_bytes(text: str, start: int, end: int) -> int:
     return len(write.compress(text[start:end].encode())) - len(write.compress(b""))
 
 
+def alphabet_of(value: str) -> str:
+    """The first alphabet that has all the string's characters."""
+    used = set(value)
+    return next((a for a in ALPHABETS if used <= set(a)), ALPHABETS[-1])
+
+
+@lru_cache(maxsize=4096)
+def random_bytes(length: int, alphabet: str) -> int:
+    """Compressed bytes that a random string adds: what it is made of is in no dictionary."""
+    draw = random.Random(length)
+    return marginal_bytes("".join(draw.choices(alphabet, k=length)), 0, length)
+
+
+def wordy(value: str) -> bool:
+    """True where many neighbouring letters are such as words have, so that the string is made of names."""
+    if alphabet_of(value) in HEX_ALPHABETS:
+        return False
+    pairs = [value[i : i + 2].lower() for i in range(len(value) - 1) if value[i : i + 2].isalpha()]
+    common = sum(p in WORD_PAIRS for p in pairs)
+    return common >= LEAST_PAIRS and common >= WORDY * len(pairs)
+
+
+def is_novel(text: str, start: int, end: int) -> bool:
+    value = text[start:end]
+    if wordy(value):
+        return False
+    # what random strings cost is measured up to a length; beyond it, it grows in proportion
+    size, alphabet = len(value), alphabet_of(value)
+    known = min(size, 1024)
+    return marginal_bytes(text, start, end) >= LEAST_NOVEL * random_bytes(known, alphabet) * size / known
+
+
+def _windows(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of the text within reach of a sensitive word, with the whole strings at their ends; none overlap."""
+    at = end = -1
+    for word in SENSITIVE.finditer(text):
+        low, high = max(0, word.start() - REACH), word.end() + REACH
+        if low > end:
+            if end >= 0:
+                yield at, end
+            while low and not BEFORE.match(text, low - 1):
+                low -= 1
+            at = max(low, end, 0)
+        end = max(end, RUN.match(text, min(high, len(text))).end())
+    if end >= 0:
+        yield at, end
+
+
+def _pieces(start: int, end: int, known: list[Span]) -> list[tuple[int, int]]:
+    """A string without the assignments in it; none where a fixed pattern has all of it."""
+    over = [s for s in known if s.start < end and start < s.end]
+    if any(s.start <= start and end <= s.end for s in over):
+        return []
+    out, at = [], start
+    for s in over:
+        if s.kind == 0:
+            out.append((at, s.start))
+            at = max(at, s.end)
+    return [(a, b) for a, b in [*out, (at, end)] if b - a >= LEAST]
+
+
 def novel_spans(text: str, known: list[Span]) -> list[Span]:
-    """Strings of letters and digits near a sensitive word that the primed compressor cannot shorten."""
+    """Strings near a sensitive word that the primed compressor finds as new as random ones."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
     out, done = [], 0
-    for word in SENSITIVE.finditer(text):
-        line = text.find("\n", word.end())
-        limit = min(word.end() + REACH, len(text) if line < 0 else line)
-        for m in CANDIDATE.finditer(text, word.end()):
-            if m.start() >= limit:
-                break
-            value = m.group()
-            mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-            if m.start() < done or not mixed or any(s.start < m.end() and m.start() < s.end for s in known):
+    for block in KEY_BLOCK.finditer(text):
+        if is_novel("".join(block[1].split()), 0, len("".join(block[1].split()))):
+            out.append(Span(block.start(1), 3, block.end(1), block.start(1)))
+    blocks = list(out)
+    for first, last in _windows(text):
+        at = max(first, done)
+        while m := CANDIDATE.search(text, at, last):
+            at = m.end()
+            if any(s.start < m.end() and m.start() < s.end for s in blocks):
                 continue
-            if marginal_bytes(text, m.start(), m.end()) >= LEAST_NOVEL * len(value):
-                out.append(Span(m.start(), 3, m.end(), m.start()))
-                done = m.end()
-    return out
+            for start, end in _pieces(m.start(), m.end(), known):
+                if is_novel(text, start, end):
+                    out.append(Span(start, 3, end, start))
+                    if end == m.end():  # the next line may go on with it
+                        more = CANDIDATE.search(text, end, end + GAP + LEAST)
+                        last = max(last, RUN.match(text, more.start()).end()) if more and more.start() <= end + GAP else last
+        done = max(at, done)
+    return sorted(set(out))
 
 
 def spans_of(text: str) -> tuple[list[Span], list[Span]]:

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tablewright.llm import secrets as f
 
 
@@ -46,6 +48,53 @@ def test_novelty():
     assert [s.kind for s in f.spans_of(f"token={key}")[1]] == [0]
 
 
+@pytest.mark.parametrize("alphabet", [
+    "0123456789", "0123456789ABCDEF", f.ALPHABETS[5], f.ALPHABETS[6], f.ALPHABETS[8], f.ALPHABETS[9], f.ALPHABETS[9] + "+/",
+])
+@pytest.mark.parametrize("length", [20, 40, 64, 128, 257, 1024, 4096])
+def test_random_strings_are_found_whole(alphabet, length):
+    draw, found = random.Random(length), 0
+    for _ in range(40):
+        value = "".join(draw.choices(alphabet, k=length))
+        text = f"please send the bearer {value} to the gate and go on"
+        found += any(text[s.start : s.end] == value for s in f.spans_of(text)[1])
+    assert found >= 38
+    assert value not in f.redacted(text)
+
+
+def test_words_are_not():
+    for text in [
+        "session com.example.application.configuration.SettingsManager", "token access_token_expiry_seconds", "bearer version-2.10.3-release-candidate-1",
+        "key https://www.example.org/path/to/some/article", "secret " + "ab" * 200, "private " + "0123456789abcdef" * 4 + "x", "key " + "=" * 80,
+    ]:
+        assert [s for s in f.spans_of(text)[1] if s.kind == 3] == [], text
+
+
+def test_context_reaches_over_lines_and_both_ways():
+    draw = random.Random(3)
+    key = "".join(draw.choices(f.ALPHABETS[9], k=32))
+    lines = "\n".join("".join(draw.choices(f.ALPHABETS[9] + "+/", k=64)) for _ in range(6))
+    for text in [f"credential:\n  {key}\n", f"{key} is the session key", f"bearer {key}~tail.of_it", f"my secret\n\n\t{key}"]:
+        assert any(key in text[s.start : s.end] for s in f.spans_of(text)[1]), text
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\nabCD12==\n-----END RSA PRIVATE KEY-----"
+    assert [(s.kind, block[s.start : s.end]) for s in f.spans_of(block)[1] if s.kind == 3] == [(3, f"{lines}\nabCD12==")]
+    assert lines[:20] not in f.redacted(block)
+    # lines that go on with a found string, far beyond the word's reach
+    assert f.redacted(f"signature:\n{lines}\nand on").count("[SECRET]") == 6
+
+
+def test_marginal_bytes_recounted():
+    import zstandard
+
+    draw = random.Random(8)
+    for n in (16, 100, 3000):
+        value = "".join(draw.choices(f.ALPHABETS[9], k=n))
+        text = "x" * 700 + value + "y" * 600
+        primed = zstandard.ZstdCompressionDict((f.IDENTIFIERS + "\n" + "x" * 512 + "\n" + "y" * 512).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = [len(zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False).compress(v)) for v in (value.encode(), b"")]
+        assert f.marginal_bytes(text, 700, 700 + n) == size[0] - size[1]
+
+
 def test_redaction_keeps_the_rest():
     text = "a password=hunter2hunter2 b AKIA" + "Q" * 16 + " c token='" + "ab12" * 10 + "' d"
     assert f.redacted(text) == "a password=[SECRET] b [SECRET] c token='[SECRET]' d"
