@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from tablewright.functions import hints
 from tablewright.operators.frames import to_long
 from tablewright.operators.profile import row_counts
-from tablewright.session import sql_over
+from tablewright.session import checkpointed, sql_over
+from tablewright.sources import quoted_csv
 
 
 def reader_for(path: str) -> str:
@@ -33,27 +34,26 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return max(steady or header or [","], key=lambda s: lines[0].count(s) if lines else 0)
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """True when some line of the whole file holds an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
 def read_csv(
     spark: SparkSession, path: str, schema=None, sep: str | None = None, multi_line: bool | None = None, surplus: bool | None = None
 ) -> DataFrame:
-    """CSV with a header. What is not given is found out, by one pass over the file for each of them.
+    """CSV with a header. What is not given is found out.
 
     ``sep`` comes from the name (.tsv) or the first lines, ``multi_line`` (cells that hold line
-    ends; such files are not split) from the quotes of all lines, the schema from all values. Rows whose cells do not fit the
+    ends) from the quotes of all lines, the schema from all values. Rows whose cells do not fit the
     columns are kept: with ``surplus``, or where the file holds any, their text is in the column
-    ``_corrupt_record``.
+    ``_corrupt_record``. Files with such cells are read by many tasks too (``quoted_csv``).
     """
     sep = sep or ("\t" if path.lower().endswith(".tsv") else sniff_separator(spark, path))
-    multi_line = has_quoted_newlines(spark, path) if multi_line is None else multi_line
+    if multi_line is None:
+        of_ranges = checkpointed(quoted_csv.ranges(spark, path))
+        if not of_ranges.where("odd > 0").isEmpty():
+            return quoted_csv.read(spark, path, sep, schema, surplus, CORRUPT, of_ranges)
+    elif multi_line:
+        return quoted_csv.read(spark, path, sep, schema, surplus, CORRUPT)
 
     def reader():
-        options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "enforceSchema": True}
+        options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "enforceSchema": True}
         return spark.read.options(**options)
 
     if schema is None:

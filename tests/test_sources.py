@@ -1,13 +1,14 @@
 """Readers, SQLite, layers."""
 
 import json
+import random
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.plans import prepare
-from tablewright.sources import files, layers, sqlite
+from tablewright.sources import files, layers, quoted_csv, sqlite
 
 
 @pytest.fixture
@@ -202,3 +203,67 @@ def test_scratch_folder_is_named_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def dirty_csv(path, rows, seed, end="\n"):
+    """Cells with line ends, quotes, separators and blanks in one file; gives the number of its records."""
+    draw = random.Random(seed)
+    parts = ["plain", "a;b", 'q"q', "\n", end, ";", '"', "é", " ", "", "x" * 30, '\n"\n']
+
+    def cell():
+        text = "".join(draw.choices(parts, k=draw.randint(0, 5)))
+        return '"' + text.replace('"', '""') + '"' if draw.random() < 0.7 or any(c in text for c in ';"\n\r') else text
+
+    lines = ["id;note;more"] + [f"{i};{cell()};{cell()}" + (";surplus" if draw.random() < 0.02 else "") for i in range(rows)]
+    if seed % 2:
+        lines.insert(3, "")
+    path.write_text(end.join(lines) + (end if seed % 3 else ""), encoding="utf-8", newline="")
+
+
+@pytest.fixture
+def small_ranges(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "400", "spark.sql.files.openCostInBytes": "1"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quoted_csv_in_ranges(spark, tmp_path, small_ranges, seed):
+    folder = tmp_path / "x.csv"
+    folder.mkdir()
+    for k in range(2):
+        dirty_csv(folder / f"{k}.csv", 150, seed + 7 * k, "\r\n" if seed == 2 else "\n")
+    path = str(folder)
+    of_ranges = quoted_csv.ranges(spark, path).collect()
+    assert len(of_ranges) > 10 and any(r["open"] for r in of_ranges) and any(r["odd"] for r in of_ranges)
+    shape = "id int, note string, more string, _corrupt_record string"
+    whole = spark.read.options(header=True, sep=";", quote='"', escape='"', multiLine=True, columnPruning=False).schema(shape).csv(path)
+    ours = files.read_csv(spark, path, "id int, note string, more string", ";", surplus=True)
+    clean = lambda df: sorted(((r["id"], r["note"], r["more"], r["_corrupt_record"] is not None) for r in df.collect()), key=str)
+    assert clean(ours) == clean(whole) and len(clean(ours)) == 300
+    assert ours.rdd.getNumPartitions() > 4
+
+
+def test_types_of_quoted_csv(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text(
+        'i,l,d,x,day,ts,b,s,none,big\n1,3000000000,1.5,1e3,2024-01-02,2024-01-02 03:04:05,true,"a\nb",,123456789012345678901\n-2,4,2,.5,2024-12-31,2024-01-02,FALSE,7,,5\n'
+    )
+    ours = files.read_csv(spark, str(path))
+    whole = spark.read.options(header=True, quote='"', escape='"', multiLine=True, inferSchema=True).csv(str(path))
+    assert [(f.name, f.dataType) for f in ours.schema] == [(f.name, f.dataType) for f in whole.schema]
+    assert sorted(map(str, ours.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_quoted_csv_edges(spark, tmp_path):
+    for k, text in enumerate(['a,b\n1,"x\ny"\n', 'a,b\n1,"x\ny"', 'a,b\r\n\r\n1,"x\r\ny"\r\n', '"a\nb",c\n"1\n2",3\n']):
+        path = tmp_path / f"e{k}.csv"
+        path.write_text(text, newline="")
+        ours = files.read_csv(spark, str(path), multi_line=True)
+        whole = spark.read.options(header=True, quote='"', escape='"', multiLine=True, inferSchema=True).csv(str(path))
+        assert [c.strip() for c in ours.columns if c != "_corrupt_record"] == [c.strip() for c in whole.columns]
+        assert [tuple(r)[:2] for r in ours.collect()] == [tuple(r)[:2] for r in whole.collect()], text
