@@ -58,6 +58,22 @@ def s2(spark, sf):
     return files.read_json(spark, path).select("event_id", "user_id", "event_type", "value", "props", "ts")
 
 
+# one array of nested objects, on one line, brackets and escaped quotes in the texts
+_NESTED = """SELECT event_id AS id, concat('a "', event_type, chr(92), '", ', chr(123), '[', user_id, ' ]', chr(125)) AS note, value AS amount, user_id, event_type FROM {events}"""
+
+
+@query("s2_json_array", with_src(_NESTED, "SELECT CAST(id AS BIGINT) AS id, note, amount, CAST(user_id AS BIGINT) AS who, event_type AS kind FROM src"))
+def s2_array(spark, sf):
+    rows = frame(spark, sf, _NESTED).select("id", "note", "amount", F.struct(F.array(F.struct("user_id", "event_type")).alias("list")).alias("inner"))
+    each = rows.select(F.to_json(F.struct("id", "note", "amount", "inner"), {"ignoreNullFields": "false"}).alias("value"))
+    path = scratch_path(spark, "events") + ".json"
+    listed = each.groupBy(F.spark_partition_id().alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n "), F.lit("]")).alias("value"))
+    listed.repartition(2, "part").select("value").write.option("lineSep", " ").text(path)
+    back = files.read_json(spark, path, lines=False)
+    first = F.col("inner.list")[0]
+    return back.select("id", "note", "amount", first["user_id"].alias("who"), first["event_type"].alias("kind"))
+
+
 @query("s3_parquet_scan", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_quantity < 25 GROUP BY ALL")
 def s3(spark, sf):
     scan = files.read_parquet(spark, f"{sf}/lineitem.parquet").where("l_quantity < 25")

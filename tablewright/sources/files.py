@@ -10,7 +10,7 @@ from tablewright.functions import hints
 from tablewright.operators.frames import to_long
 from tablewright.operators.profile import row_counts
 from tablewright.session import checkpointed, sql_over
-from tablewright.sources import quoted_csv
+from tablewright.sources import json_array, quoted_csv
 
 
 def reader_for(path: str) -> str:
@@ -69,18 +69,22 @@ def read_csv(
 
 
 def read_json(spark: SparkSession, path: str, schema=None, lines: bool | None = None) -> DataFrame:
-    """JSON lines, or files that hold one array or object each (``lines=False``)."""
+    """JSON lines, or files that hold one array or object each (``lines=False``). Arrays are read by many tasks a file."""
+    first = _first_sign(spark, path) if lines is None or not lines else ""
     if lines is None:
-        lines = path.lower().endswith((".jsonl", ".ndjson")) or not _starts_as_document(spark, path)
+        lines = path.lower().endswith((".jsonl", ".ndjson")) or first == ""
+    if not lines and first == "[":
+        return json_array.read(spark, path, schema, CORRUPT)
     reader = spark.read.option("multiLine", not lines)
     return reader.schema(schema).json(path) if schema else reader.json(path)
 
 
-def _starts_as_document(spark, path):
-    """A first line that opens an array, or an object it does not close, starts a whole document."""
-    first = spark.read.text(path).where("trim(value) != ''").take(1)
-    line = first[0][0].strip() if first else ""
-    return line.startswith("[") or (line.startswith("{") and not line.endswith("}"))
+def _first_sign(spark, path):
+    """"[" where the first line opens an array, "{" where it opens an object that it does not close, else ""."""
+    first = spark.read.text(path).where("trim(value) != ''").limit(1).select(F.left(F.trim("value"), F.lit(1)).alias("sign"), F.right(F.trim("value"), F.lit(1)).alias("last")).collect()
+    if not first or first[0].sign not in ("[", "{"):
+        return ""
+    return "" if (first[0].sign, first[0].last) == ("{", "}") else first[0].sign
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

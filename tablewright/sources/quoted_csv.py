@@ -2,12 +2,8 @@
 
 Where a record begins depends on all quotes before it. Tasks count the quotes of the byte ranges that
 Spark cuts a file into; the parity of their running sum tells each range whether it starts inside a cell.
-Then each task puts the lines of its range together to records. A record that crosses the end of a range
-comes out in fragments, at most two a range, which are joined in order of the ranges.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,115 +12,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.session import checkpointed
-
-MOST_RANGES = 2_000_000  # one small row a range is sent to every task
-_WHOLE, _TAIL, _HEAD = 0, 1, 2
-_RECORDS = "file string, ordinal long, kind int, record string"
-
-
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with the byte range that they begin in; a line's own end is a line feed alone."""
-    text = spark.read.option("lineSep", "\n").text(path)
-    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-
-
-def _quotes(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+from tablewright.sources.byte_ranges import joined_records, segments
 
 
 def ranges(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, ordinal, open, cut, odd): of each byte range its place in the file, whether it starts and ends inside a cell, and its lines with an odd number of quotes."""
-    of_line = _lines(spark, path).withColumn("quotes", _quotes(F.col("value")))
+    """(file, start, ordinal, open, torn, odd): of each byte range its place in the file, whether it starts inside a cell, whether it starts or ends there, and its lines with an odd number of quotes."""
+    line = F.col("value")
+    of_line = segments(spark, path, "\n").withColumn("quotes", F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit(""))))
     sums = of_line.groupBy("file", "start").agg(F.sum("quotes").alias("quotes"), F.sum(F.col("quotes") % 2).alias("odd"))
     until = Window.partitionBy("file").orderBy("start")
     running = F.sum("quotes").over(until)
+    before = (running - F.col("quotes")) % 2 == 1
     return sums.select(
-        "file", "start", (F.row_number().over(until) - 1).cast("long").alias("ordinal"),
-        ((running - F.col("quotes")) % 2 == 1).alias("open"), (running % 2 == 1).alias("cut"), "odd",
+        "file", "start", (F.row_number().over(until) - 1).cast("long").alias("ordinal"), before.alias("open"), (before | (running % 2 == 1)).alias("torn"), "odd"
     )
 
 
-def _together(values: pa.Array, quotes: np.ndarray, inside: bool) -> tuple[pa.Array, bool]:
-    """Lines joined to records, and whether the last is unfinished."""
-    after = (np.cumsum(quotes) + inside) % 2 == 1
-    ends = np.flatnonzero(~after) + 1
-    unfinished = len(ends) == 0 or ends[-1] < len(values)
-    limits = np.concatenate([[0], ends, [len(values)] if unfinished else []]).astype(np.int32)
-    records = pc.binary_join(pa.ListArray.from_arrays(pa.array(limits), values), "\n")
-    return records, unfinished
-
-
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of the ranges of a task, from lines in order; ``kind`` tells whole ones from fragments.
-
-    ``ordinal`` is that of the range, and -1 for the first record of a file, its header.
-    """
-    at, held, inside, goes_on, untitled = None, None, False, False, False
-
-    def rows(records: list[str], kinds: list[int]) -> pa.RecordBatch:
-        nonlocal untitled
-        ordinals = [at[1]] * len(records)
-        if untitled:
-            first = next((i for i, r in enumerate(records) if r.rstrip("\r")), None)
-            if first is not None:
-                ordinals[first], untitled = -1, False
-        columns = [pa.array([at[0]] * len(records), pa.string()), pa.array(ordinals, pa.int64()), pa.array(kinds, pa.int32()), pa.array(records, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, names=["file", "ordinal", "kind", "record"])
-
-    def left() -> Iterator[pa.RecordBatch]:
-        if held:
-            yield rows(["\n".join(held)], [_TAIL if goes_on else _HEAD])
-
-    for batch in batches:
-        files, ordinals = batch.column("file"), batch.column("ordinal").to_numpy()
-        named = files.dictionary_encode().indices.to_numpy() if batch.num_rows else np.zeros(0, int)
-        change = np.flatnonzero((np.diff(named) != 0) | (np.diff(ordinals) != 0)) + 1
-        limits = [0, *change.tolist(), batch.num_rows]
-        quotes = pc.count_substring(batch.column("value"), '"').to_numpy()
-        for a, b in zip(limits[:-1], limits[1:]):
-            if a == b:
-                continue
-            here = (files[a].as_py(), int(ordinals[a]))
-            if here != at:
-                yield from left()
-                at, held, inside = here, [], batch.column("open")[a].as_py()
-                goes_on, untitled = inside, here[1] == 0
-            records, unfinished = _together(batch.column("value").slice(a, b - a), quotes[a:b], inside)
-            out = records.to_pylist()
-            rest = [out.pop()] if unfinished else []
-            if out and held:  # what was held ends here
-                out[0], held = "\n".join([*held, out[0]]), []
-            held, inside = held + rest, unfinished
-            if out:
-                yield rows(out, [_TAIL if goes_on else _WHOLE] + [_WHOLE] * (len(out) - 1))
-                goes_on = False
-    yield from left()
+def _scan(lines: pa.Array, state: tuple) -> tuple[np.ndarray, tuple]:
+    inside = (np.cumsum(pc.count_substring(lines, '"').to_numpy()) + state[0]) % 2 == 1
+    return ~inside, (bool(inside[-1]),)
 
 
 def records(spark: SparkSession, path: str, of_ranges: DataFrame) -> DataFrame:
-    """(record): the records of all files but their headers.
-
-    ``of_ranges`` is a checkpointed ``ranges``. A range that is not in it (Spark cut the file otherwise, as
-    the number of cores had changed) is an error, not a wrong record.
-    """
-    count = of_ranges.count()
-    if count > MOST_RANGES:
-        raise ValueError(f"{count} byte ranges; raise spark.sql.files.maxPartitionBytes")
-    lines = _lines(spark, path).join(F.broadcast(of_ranges.drop("odd")), ["file", "start"], "left")
-    known = F.when(F.col("ordinal").isNull(), F.raise_error(F.lit("the byte ranges of the file have changed; read it again"))).otherwise(F.col("ordinal"))
-    lines = lines.select("value", "file", known.alias("ordinal"), "open", "cut")
-    whole = lines.drop("cut").mapInArrow(_records, _RECORDS).where(F.col("kind") == _WHOLE)
-    # only ranges that are cut inside a record have fragments
-    parts = lines.where("open OR cut").drop("cut").mapInArrow(_records, _RECORDS).where(F.col("kind") != _WHOLE)
-    before = Window.partitionBy("file").orderBy("ordinal", "kind")
-    owner = F.sum(F.when(F.col("kind") == _HEAD, 1).otherwise(0)).over(before)
-    in_order = F.sort_array(F.collect_list(F.struct("ordinal", "kind", "record")))
-    joined = (
-        parts.withColumn("owner", owner)
-        .groupBy("file", "owner")
-        .agg(F.min("ordinal").alias("ordinal"), F.array_join(F.transform(in_order, lambda p: p["record"]), "\n").alias("record"))
-    )
-    return whole.select("ordinal", "record").unionByName(joined.select("ordinal", "record")).where("ordinal >= 0").select("record")
+    """(record): the records of all files but their headers, from a checkpointed ``ranges``."""
+    every = joined_records(segments(spark, path, "\n"), of_ranges, ["open"], "\n", _scan, lambda state: state[0])
+    return every.where("ordinal >= 0").select("record")
 
 
 _INT, _NUMBER = r"^[+-]?\d+$", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"

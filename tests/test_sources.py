@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.plans import prepare
-from tablewright.sources import files, layers, quoted_csv, sqlite
+from tablewright.sources import files, json_array, layers, quoted_csv, sqlite
 
 
 @pytest.fixture
@@ -267,3 +267,62 @@ def test_quoted_csv_edges(spark, tmp_path):
         whole = spark.read.options(header=True, quote='"', escape='"', multiLine=True, inferSchema=True).csv(str(path))
         assert [c.strip() for c in ours.columns if c != "_corrupt_record"] == [c.strip() for c in whole.columns]
         assert [tuple(r)[:2] for r in ours.collect()] == [tuple(r)[:2] for r in whole.collect()], text
+
+
+def array_of(n, seed):
+    """Objects with nested brackets, braces and quotes in their texts, no two layouts alike."""
+    draw = random.Random(seed)
+    signs = ["{", "}", "[", "]", '"', "\\", ",", ":", "é", "\n", "\\\\", '\\"', "x" * 20, "}{", '"}', "\\}"]
+
+    def text():
+        return "".join(draw.choices(signs, k=draw.randint(0, 6)))
+
+    return [
+        {"id": i, "note": text(), text() + "k" if draw.random() < 0.02 else "extra": draw.random(), "deep": {"list": [{"a": text()}, {"a": str(i)}], "more": {"b": draw.random() < 0.5}}}
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_json_array_in_ranges(spark, tmp_path, small_ranges, seed):
+    folder = tmp_path / "x.json"
+    folder.mkdir()
+    shape = "id long, note string, extra double, deep struct<list: array<struct<a: string>>, more: struct<b: boolean>>"
+    want = []
+    for k in range(2):
+        rows = array_of(120, seed + 5 * k)
+        want += rows
+        text = json.dumps(rows, indent=seed % 3 or None, ensure_ascii=seed % 2 == 0, separators=(",", ":") if seed == 3 else None)
+        (folder / f"{k}.json").write_text(text + "\n" * (seed % 2))
+    of_ranges = json_array.ranges(spark, str(folder)).collect()
+    assert len(of_ranges) > 10 and any(r["depth"] > 2 for r in of_ranges) and any(r["open"] for r in of_ranges)
+    ours = files.read_json(spark, str(folder), shape, lines=False)
+    got = sorted((r["id"], r["note"], tuple(x["a"] for x in r["deep"]["list"]), r["deep"]["more"]["b"]) for r in ours.collect())
+    assert got == sorted((r["id"], r["note"], tuple(x["a"] for x in r["deep"]["list"]), r["deep"]["more"]["b"]) for r in want)
+    whole = spark.read.option("multiLine", True).schema(shape).json(str(folder))
+    assert sorted(map(str, ours.collect())) == sorted(map(str, whole.collect()))
+    assert ours.rdd.getNumPartitions() > 4
+
+
+def test_schema_of_json_arrays(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text('[{"i": 1, "d": 1.5, "m": 1, "s": "x}", "b": true, "n": null, "l": [1, 2], "o": {"q r": 1}},\n {"i": 30000000000, "d": 2, "m": "t", "l": [], "z": [{"a": null}]}]')
+    ours = files.read_json(spark, str(path))
+    whole = spark.read.option("multiLine", True).json(str(path))
+    assert ours.schema == whole.schema
+    assert sorted(map(str, ours.collect())) == sorted(map(str, whole.collect()))
+
+
+@pytest.mark.parametrize("text", ["[]", " [ ]\n", "[\n]"])
+def test_json_arrays_without_objects(spark, tmp_path, text):
+    path = tmp_path / "a.json"
+    path.write_text(text)
+    assert files.read_json(spark, str(path)).collect() == []
+    assert files.read_json(spark, str(path), "a int").collect() == []
+
+
+def test_broken_json_is_kept(spark, tmp_path):
+    path = tmp_path / "a.json"
+    path.write_text('[{"a": 1}, {"a": oops}, {"a": 3}]')
+    got = sorted(((r["a"], r["_corrupt_record"]) for r in files.read_json(spark, str(path)).collect()), key=str)
+    assert got == [(1, None), (3, None), (None, '{"a": oops}')]
