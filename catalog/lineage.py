@@ -90,13 +90,10 @@ def n6_tables(spark, sf):
     return _paths(spark, sf, EDGES)
 
 
-# all the way: 100 nodes are more than any user's first fifty events
-_FIRST_EVENTS = CHAINS.replace("FROM {events}", "FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM {events}) AS p WHERE place <= 50")
-
-
-@query("n6_full_path_whole", with_src(_FIRST_EVENTS, _walk(100)).replace("WITH src", "WITH RECURSIVE src"), nodes="BIGINT")
+# all the way: 128 nodes are more than any user's events
+@query("n6_full_path_whole", with_src(CHAINS, _walk(128)).replace("WITH src", "WITH RECURSIVE src"), nodes="BIGINT")
 def n6_whole(spark, sf):
-    return _paths(spark, sf, _FIRST_EVENTS, 100)
+    return _paths(spark, sf, CHAINS, 128)
 
 
 @query("n7_column_upstream", with_src(_PARTS, f"SELECT * FROM ({_COLUMNS}) WHERE target = 'silver:part/Brand#7' AND target_column = 'part_name'"))

@@ -180,7 +180,9 @@ def _spread(c):
         max({c})::DOUBLE AS "max", round(avg({c}), 2) AS mean FROM lineitem"""
 
 
-@query("q_distribution", per_column(["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], _spread))
+_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("q_distribution", per_column(_NUMERIC, _spread))
 def q_distribution(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    return profile.numeric_distribution(lines, ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return profile.numeric_distribution(table(spark, sf, "lineitem"), _NUMERIC)
