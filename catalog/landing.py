@@ -305,6 +305,20 @@ def l5(spark, sf):
     return layers.read_partition(spark, _lake(spark, sf, "lake"), "orders", "2026-01-01")
 
 
+# a load that stopped half way has files but no record
+_TORN = "SELECT o_orderkey, o_custkey FROM orders"
+
+
+@query("l5_torn_load", f"SELECT *, 1 AS days, 1 AS loads FROM ({_TORN})", days="BIGINT", loads="BIGINT")
+def l5_torn(spark, sf):
+    base, orders = scratch_path(spark, "lake"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    layers.bronze_append(orders, base, "orders", "2026-01-01")
+    orders.write.parquet(f"{base}/bronze/orders/ingest_date=2026-01-01/load=99999999999999")
+    orders.write.parquet(f"{base}/bronze/orders/ingest_date=2026-01-02/load=99999999999999")
+    days, loads = layers.list_partitions(spark, base, "orders").count(), layers.bronze_loads(spark, base, "orders").count()
+    return layers.read_latest(spark, base, "orders").select("*", F.lit(days).cast("bigint").alias("days"), F.lit(loads).cast("bigint").alias("loads"))
+
+
 @query("l6_read_latest", "SELECT c_custkey, c_name, c_nationkey, c_acctbal * 2 AS c_acctbal, c_mktsegment FROM customer")
 def l6(spark, sf):
     base = scratch_path(spark, "lake")
@@ -314,10 +328,25 @@ def l6(spark, sf):
     return layers.read_latest(spark, base, "customers")
 
 
-@query("l7_bronze_stats", "SELECT * FROM (VALUES ('customers', 1, '2026-01-03', true), ('orders', 2, '2026-01-02', true), ('orders_extra', 1, '2026-01-02', true)) AS t(source, partitions, latest, has_bytes)")
+@query(
+    "l7_bronze_stats",
+    with_src(
+        ORDERS,
+        """SELECT 'customers' AS source, CAST(1 AS INTEGER) AS partitions, '2026-01-03' AS latest, (SELECT count(*) FROM customer) AS "rows", true AS same_bytes
+        UNION ALL SELECT 'orders', 2, '2026-01-02', 2 * (SELECT count(*) FROM src), true UNION ALL SELECT 'orders_extra', 1, '2026-01-02', (SELECT count(*) FROM nation), true""",
+    ),
+    rows="BIGINT",
+)
 def l7(spark, sf):
-    stats = layers.bronze_stats(spark, _lake(spark, sf, "lake"))
-    return stats.select("source", F.col("partitions").cast("int").alias("partitions"), "latest", (F.col("size_bytes") > 0).alias("has_bytes"))
+    base = _lake(spark, sf, "lake")
+    # the files themselves, listed one by one
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{base}/bronze/*/*/load=*").select(
+        F.regexp_extract("path", "/bronze/([^/]+)/", 1).alias("source"), "length"
+    )
+    real = listed.groupBy("source").agg(F.sum("length").alias("bytes"))
+    rows = layers.bronze_loads(spark, base).groupBy("source").agg(F.sum("rows").alias("rows"))
+    stats = layers.bronze_stats(spark, base).join(real, "source").join(rows, "source")
+    return stats.select("source", F.col("partitions").cast("int").alias("partitions"), "latest", "rows", (F.col("size_bytes") == F.col("bytes")).alias("same_bytes"))
 
 
 _SILVER = "SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_totalprice AS total_price FROM orders"

@@ -1,10 +1,11 @@
 """Bronze, silver and gold layers as Parquet folders.
 
-bronze/{source}/ingest_date={date}/load={id}   append-only
+bronze/{source}/ingest_date={date}/load={id}   append-only; a load counts once its record commit={id} is there
 silver/{domain}/{table}/version={v}  the newest complete version is the table
 gold/{name}/version={v}              the newest complete version is the dataset
 """
 
+import json
 import re
 import uuid
 from datetime import datetime, timezone
@@ -12,6 +13,7 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import hints
 from tablewright.operators.frames import union
@@ -91,9 +93,38 @@ def bronze_append(
     path, part = f"{base}/bronze/{_safe(source)}", f"ingest_date={date}"
     if df.isEmpty():
         return _receipt(df, source, path, part, 0, metadata=metadata)
-    folder = f"{path}/{part}/load={_new_version()}"
+    load = _new_version()
+    folder = f"{path}/{part}/load={load}"
     rows = _write_counted(df, lambda d: d.write.mode("errorifexists").parquet(folder))
-    return _receipt(df, source, path, part, rows, folder, metadata)
+    receipt = _receipt(df, source, path, part, rows, folder, metadata)
+    _commit(receipt, df.schema, source, date, load, f"{path}/{part}/commit={load}")
+    return receipt
+
+
+_COMMIT = "source string, ingest_date string, load string, rows long, files long, size_bytes long, schema string, metadata map<string,string>"
+
+
+def _commit(receipt: DataFrame, schema: T.StructType, source: str, date: str, load: str, folder: str) -> None:
+    """The record of a load, written after its files: a folder of one row whose success mark makes the load count."""
+    spark, r = receipt.sparkSession, receipt.first()
+    files = len(_folders(spark, f"{r['path']}/load={load}/part-*"))
+    row = (source, date, load, r["rows"], files, r["size_bytes"], schema.json(), r["metadata"])
+    spark.createDataFrame([row], _COMMIT).coalesce(1).write.mode("errorifexists").json(folder)
+
+
+def _marks(spark: SparkSession, base: str, source: str = "*", date: str = "*") -> list[tuple[str, str, str]]:
+    """(source, date, folder) of the records of committed loads; files are not listed."""
+    marks = [f.rsplit("/", 4) for f in _folders(spark, f"{base}/bronze/{source}/ingest_date={date}/commit=*/_SUCCESS")]
+    return [(s, d.removeprefix("ingest_date="), f"{top}/{s}/{d}/{c}") for top, s, d, c, _ in marks]
+
+
+def bronze_loads(spark: SparkSession, base: str, source: str = "*", date: str = "*") -> DataFrame:
+    """One row per committed load: source, date, load, rows, files, bytes, schema (as JSON) and metadata."""
+    folders = [f for _, _, f in _marks(spark, base, source if source == "*" else _safe(source), date if date == "*" else _safe(date))]
+    if not folders:
+        return spark.createDataFrame([], _COMMIT)
+    # the day in the path is no column of the record
+    return spark.read.schema(_COMMIT).option("recursiveFileLookup", True).json(folders)
 
 
 def bronze_append_csv(spark: SparkSession, csv_path: str, base: str, source: str, ingest_date: str | None = None):
@@ -102,50 +133,58 @@ def bronze_append_csv(spark: SparkSession, csv_path: str, base: str, source: str
     return bronze_append(read_csv(spark, csv_path), base, source, ingest_date, {"source_path": csv_path})
 
 
-def _bronze_days(spark: SparkSession, base: str, source: str = "*") -> list[tuple[str, str, str]]:
-    """(source, date, folder) of the days landed; only folders are listed."""
-    days = [f.rsplit("/", 2) for f in _folders(spark, f"{base}/bronze/{source}/ingest_date=*")]
-    return [(s, d.removeprefix("ingest_date="), f"{top}/{s}/{d}") for top, s, d in days]
-
-
 def list_sources(spark: SparkSession, base: str) -> DataFrame:
-    names = sorted({s for s, _, _ in _bronze_days(spark, base)})
+    names = sorted({s for s, _, _ in _marks(spark, base)})
     return spark.createDataFrame([(s,) for s in names], "source string").orderBy("source")
 
 
 def list_partitions(spark: SparkSession, base: str, source: str) -> DataFrame:
-    days = [(d,) for _, d, _ in _bronze_days(spark, base, _safe(source))]
+    days = sorted({(d,) for _, d, _ in _marks(spark, base, _safe(source))})
     return spark.createDataFrame(days, "ingest_date string").orderBy(F.desc("ingest_date"))
 
 
+def merged_schema(schemas: list[T.StructType]) -> T.StructType:
+    """All columns in first-seen order; a column whose type differs between loads is an error that names it."""
+    fields: dict[str, T.StructField] = {}
+    for field in (f for s in schemas for f in s.fields):
+        seen = fields.setdefault(field.name, field)
+        if seen.dataType != field.dataType:
+            raise ValueError(f"column {field.name!r} is {seen.dataType.simpleString()} in one load and {field.dataType.simpleString()} in another")
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields.values()])
+
+
 def read_partition(spark: SparkSession, base: str, source: str, ingest_date: str) -> DataFrame:
-    """All rows of one date under the columns of all its loads; only that folder is listed and read."""
-    path = f"{base}/bronze/{_safe(source)}"
-    try:
-        reader = spark.read.option("mergeSchema", True).option("recursiveFileLookup", True)
-        return reader.parquet(f"{path}/ingest_date={_safe(ingest_date)}")
-    except AnalysisException as e:
-        raise FileNotFoundError(f"no partition {ingest_date} of {source}") from e
+    """All rows of one date under the columns of all its committed loads.
+
+    Which folders are read and under which schema comes from the records of the loads, a row each;
+    no footers are opened for it, and files of a load that was never committed are not seen.
+    """
+    loads = bronze_loads(spark, base, source, ingest_date).select("load", "schema").orderBy("load").collect()
+    if not loads:
+        raise FileNotFoundError(f"no partition {ingest_date} of {source}")
+    shapes = [T.StructType.fromJson(json.loads(s)) for s in dict.fromkeys(r["schema"] for r in loads)]
+    day = f"{base}/bronze/{source}/ingest_date={ingest_date}"
+    reader = spark.read.schema(merged_schema(shapes)).option("recursiveFileLookup", True)
+    return reader.parquet(*[f"{day}/load={r['load']}" for r in loads])
 
 
 def read_latest(spark: SparkSession, base: str, source: str) -> DataFrame:
-    """The newest day of a source; of the lake only this source's folders are listed."""
-    days = _bronze_days(spark, base, _safe(source))
+    """The newest day of a source that has a committed load; of the lake only this source's folders are listed."""
+    days = [d for _, d, _ in _marks(spark, base, _safe(source))]
     if not days:
         raise FileNotFoundError(f"no data for source {source}")
-    return read_partition(spark, base, source, max(d for _, d, _ in days))
+    return read_partition(spark, base, source, max(days))
 
 
 def bronze_stats(spark: SparkSession, base: str) -> DataFrame:
-    """(source, partitions, latest, size_bytes) per source."""
-    days = [(s, d, _bytes(spark, folder)) for s, d, folder in _bronze_days(spark, base)]
+    """(source, partitions, latest, size_bytes) per source, from the records of the loads."""
     return (
-        spark.createDataFrame(days, "source string, ingest_date string, length bigint")
+        bronze_loads(spark, base)
         .groupBy("source")
         .agg(
             F.count_distinct("ingest_date").alias("partitions"),
             F.max("ingest_date").alias("latest"),
-            F.sum("length").alias("size_bytes"),
+            F.sum("size_bytes").alias("size_bytes"),
         )
     )
 

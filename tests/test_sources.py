@@ -326,3 +326,36 @@ def test_broken_json_is_kept(spark, tmp_path):
     path.write_text('[{"a": 1}, {"a": oops}, {"a": 3}]')
     got = sorted(((r["a"], r["_corrupt_record"]) for r in files.read_json(spark, str(path)).collect()), key=str)
     assert got == [(1, None), (3, None), (None, '{"a": oops}')]
+
+
+def test_torn_load_is_not_seen(spark, lake, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    layers.bronze_append(df, lake, "s", "2026-01-01")
+    before = layers.bronze_stats(spark, lake).collect()
+    # files without a record, a record without its success mark, a day and a source of nothing else
+    df.write.parquet(f"{lake}/bronze/s/ingest_date=2026-01-01/load=9")
+    (tmp_path / "lake" / "bronze" / "s" / "ingest_date=2026-01-01" / "commit=9").mkdir()
+    df.write.parquet(f"{lake}/bronze/s/ingest_date=2026-01-02/load=9")
+    df.write.parquet(f"{lake}/bronze/t/ingest_date=2026-01-02/load=9")
+    assert layers.read_latest(spark, lake, "s").collect() == df.collect()
+    assert layers.bronze_stats(spark, lake).collect() == before
+    assert [r[0] for r in layers.list_sources(spark, lake).collect()] == ["s"]
+    assert [r[0] for r in layers.list_partitions(spark, lake, "s").collect()] == ["2026-01-01"]
+    with pytest.raises(FileNotFoundError):
+        layers.read_latest(spark, lake, "t")
+
+
+def test_record_of_a_load(spark, lake):
+    df = spark.createDataFrame([(1, [1.5], {"k": None})], "a int, `b c` array<double>, m map<string,int>")
+    receipt = layers.bronze_append(df.repartition(1), lake, "s", "2026-01-01", {"from": "here"}).first()
+    record = layers.bronze_loads(spark, lake, "s").first()
+    assert (record["rows"], record["files"], record["size_bytes"], record["metadata"]) == (1, 1, receipt["size_bytes"], {"from": "here"})
+    assert layers.read_partition(spark, lake, "s", "2026-01-01").schema == df.schema
+    assert layers.bronze_loads(spark, lake, "other").count() == 0
+
+
+def test_clashing_types_of_loads(spark, lake):
+    layers.bronze_append(spark.createDataFrame([(1,)], "a int"), lake, "s", "2026-01-01")
+    layers.bronze_append(spark.createDataFrame([("x",)], "a string"), lake, "s", "2026-01-01")
+    with pytest.raises(ValueError, match="'a' is int in one load and string in another"):
+        layers.read_partition(spark, lake, "s", "2026-01-01")
