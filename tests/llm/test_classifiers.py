@@ -201,3 +201,26 @@ def test_quality_memory_does_not_follow_the_texts():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 60e6, (len(texts), peak)
+
+
+def test_a_letter_is_a_letter_by_category():
+    for text, letter in [("½", False), ("²", False), ("Ⅷ", False), ("①", False), ("12 _ !", False), ("é", True), ("漢", True), ("x²", True), ("ʰ", True), ("ǅ", True)]:
+        assert bool(language.LETTER.search(text)) == letter, text
+
+
+def test_language_by_plain_loops():
+    draw = np.random.default_rng(6)
+    tables = tuple(draw.normal(0, 0.3, (w, 256, language.FILTERS)).astype(np.float32) for w in language.WIDTHS)
+    wide = language.FILTERS * len(language.WIDTHS)
+    model = language.Model(("a", "b", "c"), tables, draw.normal(size=wide), draw.normal(size=(wide, 3)), draw.normal(size=3))
+    for text in ["x", "some words of a text " * 40, "é" * 300]:
+        total = np.zeros(3)
+        for row in language.windows_of(text):
+            best = []
+            for table in tables:
+                width = len(table)
+                values = [sum(table[k, row[i + k]].astype(float) for k in range(width)) for i in range(language.WINDOW - width + 1)]
+                best.append(np.max(values, axis=0))
+            logits = np.maximum(np.concatenate(best) + model.bias, 0) @ model.dense + model.offset
+            total += np.exp(logits) / np.exp(logits).sum() * (row > 0).sum()
+        assert language.probabilities(text, model) == pytest.approx(total / total.sum(), abs=1e-5)
