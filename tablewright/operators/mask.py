@@ -43,11 +43,16 @@ def desensitize(
     strategy: str = "mask",
     salt: str | None = None,
     overrides: dict[str, str | None] | None = None,
+    row_key: str | None = None,
 ) -> DataFrame:
-    """The table with its personal-data columns masked; masked columns are strings."""
+    """The table with its personal-data columns masked; masked columns are strings.
+
+    ``row_key``, a column that no two rows share, spares tokens of a large dictionary a written copy
+    of the table; it must not be masked itself.
+    """
     kinds = personal_kinds(df, overrides)
     if strategy == "token":
-        return tokenize(df, kinds)
+        return tokenize(df, kinds, row_key=row_key)
     return df.select(
         *[masked(text(c), kinds[c], strategy, salt).alias(c) if c in kinds else col(c) for c in df.columns]
     )

@@ -33,6 +33,9 @@ class CleanOptions:
     method: str = "auto"
     # write each costly stage to the shared folder, so that later statistics do not recompute it
     write_stages: bool = False
+    # a column that no two rows share and none lacks: it is neither filled nor bounded, and only it
+    # is grouped for near-text duplicates and tokens; the least one of equal texts stays
+    row_key: str | None = None
 
 
 class Stages:
@@ -45,7 +48,7 @@ class Stages:
     def __init__(self, df: DataFrame, options: CleanOptions | None = None):
         o = self.options = options or CleanOptions()
         keep = checkpointed if o.write_stages else (lambda d: d)
-        numbers = numeric_columns(df)
+        numbers = [c for c in numeric_columns(df) if c != o.row_key]
         self.input = df
         extent = ops.fit_extent(df, numbers) if numbers else None
         self.nulls = extent["nulls"] if numbers else {}
@@ -59,7 +62,7 @@ class Stages:
         self.trimmed = ops.trim_strings(self.distinct) if o.normalize else self.distinct
         self.near_distinct = self.last = self.trimmed
         if o.semantic:
-            self.near_distinct = keep(ops.near_text_dedup(self.trimmed, o.text_columns, o.order_by))
+            self.near_distinct = keep(ops.near_text_dedup(self.trimmed, o.text_columns, o.order_by, o.row_key))
             self.last = ops.normalize_semantic(self.near_distinct)
 
 
@@ -70,7 +73,7 @@ def clean(df: DataFrame, options: CleanOptions | None = None) -> DataFrame:
 
 def _masked(s: Stages) -> DataFrame:
     o = s.options
-    return desensitize(s.last, o.desensitize, o.salt, o.overrides) if o.desensitize else s.last
+    return desensitize(s.last, o.desensitize, o.salt, o.overrides, o.row_key) if o.desensitize else s.last
 
 
 def _normalized_cells(before: DataFrame) -> Column:

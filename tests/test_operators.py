@@ -439,3 +439,23 @@ def test_near_text_dedup_by_row_key(spark):
     assert rows(clean.near_text_dedup(df, ["name"], row_key="id")) == [(1, "big ltd!"), (2, "other")]
     plan = clean.near_text_dedup(df, ["name"], row_key="id")._jdf.queryExecution().toString()
     assert "SortAggregate" not in plan
+
+
+def test_clean_by_row_key(spark):
+    rows = [(k, f"Text number {k % 7} !", f"user{k % 5}@mail.com", float(k % 9)) for k in range(200)] + [(10**9, "Text number 3 !", None, 2.0)]
+    df = spark.createDataFrame(rows, "id long, note string, email string, x double")
+    plain = prepare.CleanOptions(semantic=True, text_columns=["note"], order_by=[F.col("id")], outlier_method="none", desensitize="token", overrides={"id": None})
+    keyed = prepare.CleanOptions(semantic=True, text_columns=["note"], row_key="id", desensitize="token", overrides={"id": None})
+    got = prepare.clean(df, keyed)
+    # the key is no number to bound, though one of them lies far outside
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, prepare.clean(df, plain).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_tokens_by_row_key(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"user{k % 5}@mail.com") for k in range(40)], "id long, email string")
+    want = sorted(map(tuple, mask.desensitize(df, "token", overrides={"id": None}).collect()))
+    monkeypatch.setattr(mask, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(mask.tokenize, "__defaults__", (0, None))
+    assert sorted(map(tuple, mask.desensitize(df, "token", overrides={"id": None}, row_key="id").collect())) == want
