@@ -196,7 +196,11 @@ def keep_clean(
     documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
     least: float = SIMILARITY, block_items: int = BLOCK_ITEMS, clipped: bool = False,
 ) -> DataFrame:
-    """The documents that hold no item of the benchmark, all columns; the same search, as a filter on the text."""
+    """The documents that hold no item of the benchmark, all columns; the same search, as a filter on the text.
+
+    Null, empty and too short texts hold no item and stay; repeated rows stay or go together; an empty
+    table gives an empty one, an empty benchmark takes nothing away.
+    """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     blocks = max(1, -(-items.count() // block_items))
     for b in range(blocks):

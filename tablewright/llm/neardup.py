@@ -178,6 +178,7 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     Of rows of one component that share this id the one with the least digest of all columns stays;
     of rows that are equal in all columns, one. Rows are chosen by component, never by id alone.
+    Null, empty and blank texts are one component; an empty table gives an empty one.
     """
     digest = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), {"ignoreNullFields": "false"}), 256)
     prints = checkpointed(documents.select(F.col(doc_id).alias("id"), fingerprint(F.col(text), words).alias("fp"), digest.alias("digest")))

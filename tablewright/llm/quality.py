@@ -205,6 +205,10 @@ def classify(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
-    """The documents that the classifier does not reject, all columns."""
+    """The documents that the classifier does not reject, all columns.
+
+    Null and empty texts are scored as one empty passage; repeated rows stay or go together; without
+    both classes to learn from every document stays; an empty table gives an empty one.
+    """
     model = _trained(documents, labels, doc_id, text, label, per_class)
     return documents.where(score(F.col(text), model) >= KEEP_FROM)

@@ -239,7 +239,10 @@ def scan_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 
 def redact(documents: DataFrame, text: str = "text", n_chars: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every secret's value replaced by ``mark``; all columns, the length counted anew."""
+    """The documents with every secret's value replaced by ``mark``; all columns, the length counted anew.
+
+    Null texts stay null with their length, empty ones empty; every row comes back, repeated rows too.
+    """
 
     @F.arrow_udf("string")
     def cover(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
