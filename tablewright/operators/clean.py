@@ -163,6 +163,28 @@ def null_outliers(
     return kept.select(*_replaced(df, {c: F.when(inside(df, c, bounds), col(c)) for c in columns}))
 
 
+def with_tallies(df: DataFrame, bounds: dict | None, dedup: bool, copies: str, outside: str) -> DataFrame:
+    """Rows with the values outside their fences nulled, equal ones as one where asked for.
+
+    Column ``copies`` tells how many rows of ``df`` a row stands for, ``outside`` how many of their values were
+    nulled. Rows of nulls only are not dropped (``holds_value``), so what was removed and why can
+    be counted from the result alone.
+    """
+    fenced = bounds["fences"] if bounds else {}
+    cut = sum((F.when(~inside(df, c, bounds), 1).otherwise(0) for c in fenced), F.lit(0)).cast("bigint")
+    cells = _replaced(df, {c: F.when(inside(df, c, bounds), col(c)) for c in fenced})
+    every = df.select(*cells, F.lit(1).cast("bigint").alias(copies), cut.alias(outside))
+    if not dedup:
+        return every
+    sums = [F.sum(col(c)).alias(c) for c in (copies, outside)]
+    return every.groupBy(*[col(c) for c in df.columns]).agg(*sums)
+
+
+def holds_value(columns: list[str]) -> Column:
+    """True for a row in which any of the columns is not null."""
+    return F.coalesce(*[F.when(col(c).isNotNull(), True) for c in columns], F.lit(False))
+
+
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """Without the rows in which every column is null."""
     return df.na.drop("all")

@@ -63,6 +63,15 @@ def keyed(names: list[str], columns: list[str]) -> dict[str, int]:
     return {n: columns.index(n) for n in names}
 
 
+def fresh_names(names: list[str], columns: list[str]) -> list[str]:
+    """The names, with as many underscores before them as keep them apart from the columns."""
+    taken = {c.lower() for c in columns}
+    mark = "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole to one decimal; null over nothing."""
     return F.round(F.try_divide(part.cast("double") * 100, whole.cast("double")), 1)

@@ -159,12 +159,17 @@ def snapshot(before: DataFrame, after: DataFrame, source: str, at: str) -> DataF
     counts = beside(
         [before.agg(F.count(F.lit(1)).alias("rows_before")), after.agg(F.count(F.lit(1)).alias("rows"))]
     )
+    return snapshot_row(counts, after.columns, source, at)
+
+
+def snapshot_row(counts: DataFrame, columns: list[str], source: str, at: str) -> DataFrame:
+    """As ``snapshot``, from one row with the counts ``rows_before`` and ``rows``."""
     return counts.select(
         F.lit(at).cast("timestamp").alias("ts"),
         F.lit(source).alias("source"),
         "rows",
         (F.col("rows") - F.col("rows_before")).alias("delta"),
-        F.lit(schema_hash(after.columns)).alias("schema_hash"),
-        F.lit(len(after.columns)).cast("bigint").alias("columns"),
+        F.lit(schema_hash(columns)).alias("schema_hash"),
+        F.lit(len(columns)).cast("bigint").alias("columns"),
         F.when(F.col("rows") > 0, "healthy").otherwise("empty").alias("health"),
     )

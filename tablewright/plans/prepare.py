@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.text import trim_spaces
 from tablewright.operators import clean as ops
-from tablewright.operators.frames import beside, col, numeric_columns, percent, string_columns, to_long
+from tablewright.operators.frames import beside, col, fresh_names, numeric_columns, percent, string_columns, to_long
 from tablewright.operators.integrate import integrate
 from tablewright.operators.lineage import table_edges
 from tablewright.operators.mask import desensitize, mask_log
 from tablewright.operators.profile import source_profile
-from tablewright.operators.quality import quality_scores, repair_tiers, snapshot
+from tablewright.operators.quality import quality_scores, repair_tiers, snapshot_row
 from tablewright.session import checkpointed
 from tablewright.sources import layers
 from tablewright.sources.files import read_source, reader_for
@@ -42,12 +42,15 @@ class Stages:
     """The table after each stage of a clean; the last one is unmasked.
 
     The two statistics the chain rests on, fill values and fences, are fitted once: each is one
-    row, fetched when the chain is built, so no later stage computes it again.
+    row, fetched when the chain is built, so no later stage computes it again. The rows carry how
+    many rows of the input they stand for, so that the report needs the cleaned rows alone; with
+    ``shared`` those are written once for all who read them.
     """
 
-    def __init__(self, df: DataFrame, options: CleanOptions | None = None):
+    def __init__(self, df: DataFrame, options: CleanOptions | None = None, shared: bool = False):
         o = self.options = options or CleanOptions()
         keep = checkpointed if o.write_stages else (lambda d: d)
+        share = checkpointed if shared else keep
         numbers = [c for c in numeric_columns(df) if c != o.row_key]
         self.input = df
         extent = ops.fit_extent(df, numbers) if numbers else None
@@ -57,14 +60,21 @@ class Stages:
         self.bounds = None
         if o.outlier_method == "iqr" and numbers:
             self.bounds = ops.fit_bounds(self.filled, numbers, o.method, extent)
-        self.bounded = ops.null_outliers(self.filled, o.outlier_method, numbers, o.method, self.bounds)
-        self.distinct = keep(ops.drop_duplicates(self.bounded)) if o.dedup else self.bounded
+        self.copies, self.outside = fresh_names(["copies", "outside"], df.columns)
+        self.tallied = share(ops.with_tallies(self.filled, self.bounds, o.dedup, self.copies, self.outside))
+        # what was bounded and holds nothing any more goes
+        self.stays = ops.holds_value(df.columns) if self.bounds and self.bounds["any_outlier"] else F.lit(True)
+        self.distinct = self.tallied.where(self.stays).drop(self.copies, self.outside)
         self.trimmed = ops.trim_strings(self.distinct) if o.normalize else self.distinct
         self.near_distinct = self.last = self.trimmed
         if o.semantic:
-            self.near_distinct = keep(ops.near_text_dedup(self.trimmed, o.text_columns, o.order_by, o.row_key))
+            self.near_distinct = share(ops.near_text_dedup(self.trimmed, o.text_columns, o.order_by, o.row_key))
             self.last = ops.normalize_semantic(self.near_distinct)
 
+    def input_rows(self) -> Column:
+        """Rows of the input, as an aggregate over ``tallied``."""
+        return F.coalesce(F.sum(col(self.copies)), F.lit(0))
+
 
 def clean(df: DataFrame, options: CleanOptions | None = None) -> DataFrame:
     """Fill, bound, de-duplicate, trim; on demand near-text duplicates, normalisation, masking."""
@@ -89,22 +99,23 @@ def clean_report(df: DataFrame, options: CleanOptions | None = None) -> DataFram
 
 def _report(s: Stages) -> DataFrame:
     o = s.options
-    rows = F.count(F.lit(1))
     filled = sum(s.nulls[c] for c in s.fills)
-    outside, bounded = F.lit(0), rows
-    if s.bounds:
-        bounded = F.count_if(ops.survives(s.filled, s.bounds))
-        outside = sum((F.count_if(~ops.inside(s.filled, c, s.bounds)) for c in s.bounds["fences"]), F.lit(0))
-    texts = string_columns(s.distinct)
-    trims = sum((F.count_if(trim_spaces(col(c)) != col(c)) for c in texts), F.lit(0)) if o.normalize else F.lit(0)
-    # filling keeps every row and bounding is row-wise, so one pass counts the rows of all three
+    total = lambda c, where=F.lit(True): F.coalesce(F.sum(F.when(where, col(c))), F.lit(0))
+    texts = string_columns(s.distinct) if o.normalize else []
+    trims = sum((F.count_if(s.stays & (trim_spaces(col(c)) != col(c))) for c in texts), F.lit(0))
+    # a row tells how many it stands for, so one pass over the last rows counts those of every stage
     frames = [
-        s.filled.agg(rows.alias("before"), outside.alias("outliers"), bounded.alias("bounded")),
-        s.distinct.agg(rows.alias("distinct"), trims.alias("trimmed")),
+        s.tallied.agg(
+            s.input_rows().alias("before"),
+            total(s.outside).alias("outliers"),
+            total(s.copies, s.stays).alias("bounded"),
+            F.count_if(s.stays).alias("distinct"),
+            trims.alias("trimmed"),
+        )
     ]
     after = F.col("distinct")
     if o.semantic:
-        frames.append(s.near_distinct.agg(rows.alias("near"), _normalized_cells(s.near_distinct).alias("normalized")))
+        frames.append(s.near_distinct.agg(F.count(F.lit(1)).alias("near"), _normalized_cells(s.near_distinct).alias("normalized")))
         after = F.col("near")
     removed = F.col("before") - after
     entries = [
@@ -144,15 +155,17 @@ def _report(s: Stages) -> DataFrame:
 def clean_and_assess(df: DataFrame, source: str, as_of: str, options: CleanOptions | None = None) -> dict[str, DataFrame]:
     """Cleaned table with its report, scores, repair tiers and snapshot.
 
-    Scores and tiers look at the cleaned, unmasked table.
+    Scores look at the cleaned, unmasked table, tiers at the input. The cleaned rows are written
+    once to the shared folder; data, report, scores and snapshot all read that.
     """
-    s = Stages(df, options)
+    s = Stages(df, options, shared=True)
+    rows = beside([s.tallied.agg(s.input_rows().alias("rows_before")), s.last.agg(F.count(F.lit(1)).alias("rows"))])
     return {
         "data": _masked(s),
         "report": _report(s),
         "scores": quality_scores(s.last, as_of, s.options.method),
         "tiers": repair_tiers(df, s.options.method),
-        "snapshot": snapshot(df, s.last, source, as_of),
+        "snapshot": snapshot_row(rows, s.last.columns, source, as_of),
     }
 
 

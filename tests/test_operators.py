@@ -127,6 +127,28 @@ def test_clean_and_assess(dirty):
     assert any(r["op"] == "desensitize" for r in out["report"].collect())
 
 
+@pytest.mark.parametrize("dedup", [True, False])
+def test_report_counts_rows_that_bounding_empties(spark, dedup):
+    some = [(float(i % 5),) for i in range(40)] + [(1e9,), (-1e9,), (1e9,), (None,)]
+    df = spark.createDataFrame(some, "_copies double")  # a name of the chain's own
+    options = prepare.CleanOptions(missing_strategy="none", dedup=dedup)
+    report = {r["op"]: r["n"] for r in prepare.clean_report(df, options).collect()}
+    assert report["rows_before"] == 44 and report["remove_outliers"] == 3
+    assert report["rows_after"] == prepare.clean(df, options).count() == (5 if dedup else 40)
+    assert report.get("dedup") == (35 if dedup else None)
+
+
+def test_assessed_clean_reads_its_input_for_the_fits_only(spark, dirty, tmp_path):
+    dirty.write.parquet(str(tmp_path / "dirty"))
+    df = spark.read.parquet(str(tmp_path / "dirty"))
+    options = prepare.CleanOptions(semantic=True, text_columns=["name", "phone"], order_by=[F.col("id")])
+    out = prepare.clean_and_assess(df, "crm", "2026-06-01", options)
+    for part in ("data", "report", "scores", "snapshot"):
+        assert "parquet" not in out[part]._jdf.queryExecution().optimizedPlan().toString().lower(), part
+    assert rows(out["data"]) == rows(prepare.clean(df, options))
+    assert rows(out["report"]) == rows(prepare.clean_report(df, options))
+
+
 def test_dedup_is_idempotent(dirty):
     once = clean.drop_duplicates(dirty)
     assert rows(clean.drop_duplicates(once)) == rows(once)
