@@ -51,6 +51,11 @@ def i3_orders(spark, sf):
     return integrate.join_sources(b, a, "cust_id")
 
 
+@query("i3_join_by_row_key", f"{_WITH} {_JOINED.format('INNER')}")
+def i3_row_key(spark, sf):
+    return integrate.join_sources(*_sources(spark, sf), "cust_id", _ORDER(), row_key="o_orderkey")
+
+
 @query("i4_enrich", f"{_WITH} {_JOINED.format('LEFT')}")
 def i4(spark, sf):
     return integrate.enrich(*_sources(spark, sf), "cust_id", _ORDER(), how="left")
@@ -64,6 +69,14 @@ def i5(spark, sf):
     return integrate.dedup_on(_sources(spark, sf)[1], ["cust_id", "tier", "unknown"], _ORDER())
 
 
+@query(
+    "i5_dedup_by_row_key",
+    f"""{_WITH} SELECT cust_id, tier, amount, ordered, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY cust_id, tier ORDER BY ordered, o_orderkey) AS place FROM b) WHERE place = 1""",
+)
+def i5_row_key(spark, sf):
+    return integrate.dedup_on(_sources(spark, sf)[1], ["cust_id", "tier", "unknown"], _ORDER(), "o_orderkey")
+
+
 @query(
     "i6_integrate",
     f"""{_WITH}, u AS (SELECT 0 AS source, * FROM (SELECT cust_id, name, tier, NULL::DOUBLE AS amount, NULL::TIMESTAMP AS ordered, NULL::BIGINT AS o_orderkey FROM a)

@@ -10,7 +10,7 @@ from tablewright.functions import urls
 from tablewright.operators import profile
 from tablewright.plans import prepare
 from tablewright.session import scratch_path
-from tablewright.sources import files, layers
+from tablewright.sources import files, layers, path_table
 
 
 @query("s1_csv_scan", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -131,6 +131,26 @@ def s9(spark, sf):
     return paths.groupBy("path", urls.reader_of(F.col("path")).alias("reader")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "s9_read_paths",
+    """SELECT CASE WHEN c_custkey % 2 = 0 THEN 'customer_even' ELSE 'customer_odd' END AS source_name, 'csv' AS reader, CAST(c_custkey AS BIGINT) AS c_custkey, c_name,
+        NULL::BIGINT AS o_orderkey, NULL::DOUBLE AS o_totalprice, NULL::BIGINT AS s_suppkey, NULL::VARCHAR AS s_name FROM customer
+    UNION ALL SELECT 'orders', 'json', NULL, NULL, CAST(o_orderkey AS BIGINT), o_totalprice, NULL, NULL FROM orders
+    UNION ALL SELECT 'supplier', 'parquet', NULL, NULL, NULL, NULL, CAST(s_suppkey AS BIGINT), s_name FROM supplier""",
+)
+def s9_read(spark, sf):
+    base = scratch_path(spark, "mixed")
+    customer = table(spark, sf, "customer").select("c_custkey", "c_name")
+    for part, sep, name in (("c_custkey % 2 = 0", ",", "customer even.csv"), ("c_custkey % 2 = 1", ",", "Customer-odd.csv")):
+        customer.where(part).write.options(header=True, sep=sep).csv(f"{base}/{name}")
+    table(spark, sf, "orders").select("o_orderkey", "o_totalprice").write.json(f"{base}/orders.jsonl")
+    table(spark, sf, "supplier").select("s_suppkey", "s_name").write.parquet(f"{base}/supplier.parquet")
+    names = ("customer even.csv", "Customer-odd.csv", "orders.jsonl", "supplier.parquet", "supplier.parquet")
+    rows = path_table.read_paths(spark.createDataFrame([(f"{base}/{n}",) for n in names], "path string"))
+    numbers = {c: F.col(c).cast("bigint") for c in ("c_custkey", "o_orderkey", "s_suppkey")}
+    return rows.drop("source_path").withColumns(numbers)
+
+
 _PATHS_AND_URLS = _PATHS + " UNION ALL SELECT page_id, url FROM {pages}"
 
 

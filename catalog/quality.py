@@ -6,6 +6,8 @@ from catalog.inputs import MIXED, ORDERS, PEOPLE, frame, per_column, q_date, q_o
 from catalog.registry import ORACLES, query
 from tablewright.operators import clean, profile, quality
 from tablewright.plans import prepare
+from tablewright.session import scratch_path
+from tablewright.sources import runs
 
 AS_OF = "2024-06-30"
 ORDERS_AS_OF = "1999-01-01"
@@ -161,6 +163,21 @@ def q_snapshot(spark, sf):
     return quality.snapshot(orders, clean.drop_duplicates(orders), "orders", "2026-01-01 00:00:00")
 
 
+@query(
+    "q_run_history",
+    with_src(ORDERS, f""", d AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM src)), s AS (SELECT count(*) AS n FROM src)
+    SELECT TIMESTAMP '2026-01-01 00:00:00' AS ts, 'orders' AS source, d.n AS "rows", d.n - s.n AS delta, left(sha256('{",".join(sorted(_ORDERS))}'), 8) AS schema_hash,
+        6 AS "columns", 'healthy' AS health, NULL::BIGINT AS previous_rows, NULL::BIGINT AS row_change, NULL::BOOLEAN AS schema_changed FROM d, s
+    UNION ALL SELECT TIMESTAMP '2026-01-02 00:00:00', 'orders', s.n, 0, left(sha256('{",".join(sorted(set(_ORDERS) - {"o_orderdate"}))}'), 8), 5, 'healthy', d.n, s.n - d.n, true FROM d, s""".lstrip()),
+    columns="BIGINT", delta="BIGINT",
+)
+def q_history(spark, sf):
+    orders, path = frame(spark, sf, ORDERS), scratch_path(spark, "runs")
+    runs.append_run(quality.snapshot(orders, clean.drop_duplicates(orders), "orders", "2026-01-01 00:00:00"), path)
+    runs.append_run(quality.snapshot(orders, orders.drop("o_orderdate"), "orders", "2026-01-02 00:00:00"), path)
+    return runs.run_changes(runs.read_runs(spark, path)).drop("run", "previous_run")
+
+
 @query(
     "q_schema_hash",
     """SELECT 'orders' AS source, left(sha256('o_custkey,o_orderdate,o_orderkey,o_orderpriority,o_orderstatus,o_totalprice'), 8) AS schema_hash, count(*) AS "rows" FROM orders

@@ -112,6 +112,25 @@ def w6_positional(spark, sf):
     return pages.payload_rows(_payloads(spark, sf), "payload", positional=2)
 
 
+# two records of different keys in each list; one key holds whole numbers and fractions, one a nested record
+_KEYS = """SELECT event_id, user_id, event_type, k, concat('[{"kind": "', event_type, '", "k": ', k, '}, {"at": {"user": ', CAST(user_id AS STRING), ', "tags": ["', event_type, '", "x"]}, "k": ', k, '.5}]') AS payload
+    FROM (SELECT event_id, user_id, event_type, regexp_extract(props, '([0-9]+)', 1) AS k FROM events) AS p"""
+
+
+@query(
+    "w6_payload_records",
+    f"""SELECT event_id, 0 AS "row", event_type AS kind, CAST(k AS DOUBLE) AS k, NULL::BIGINT AS at_user, NULL::VARCHAR AS first_tag FROM ({_KEYS})
+    UNION ALL SELECT event_id, 1, NULL, CAST(concat(k, '.5') AS DOUBLE), user_id, event_type FROM ({_KEYS})""",
+    row="INTEGER", at_user="BIGINT",
+)
+def w6_records(spark, sf):
+    payloads = sql_over(spark, _KEYS, {"events": table(spark, sf, "events")}).select("event_id", "payload")
+    rows = pages.payload_records(payloads, "payload")
+    return rows.select(
+        "event_id", "row", "record.kind", "record.k", F.col("record.at.user").alias("at_user"), F.get("record.at.tags", F.lit(0)).alias("first_tag")
+    )
+
+
 # page addresses, some moved to known hosts, API hosts, share links and unsafe targets
 _URLS = """SELECT page_id, CASE page_id % 14 WHEN 0 THEN replace(url, 'https://', 'https://www.zhihu.com/') WHEN 1 THEN concat('https://m.toutiao.com/article/', CAST(page_id AS STRING), '/?share=1')
     WHEN 2 THEN concat('https://api.example.com/', CAST(page_id AS STRING)) WHEN 3 THEN concat(url, '.json') WHEN 4 THEN concat('http://127.0.0.1:80', CAST(page_id AS STRING), '/')

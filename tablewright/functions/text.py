@@ -1,5 +1,6 @@
 """Text, phone, email and date expressions (Column -> Column, all JVM-side)."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -93,3 +94,14 @@ def value_class(c: Column) -> Column:
         .when(F.lower(c).isin("true", "false"), "boolean")
         .otherwise("string")
     )
+
+
+def variant_sql_type(found: str) -> str:
+    """A type of the merged variants as the JSON reader would have it."""
+    parts = re.split(r"(`(?:[^`]|``)*`)", found)
+
+    def as_read(part: str) -> str:
+        part = re.sub(r"DECIMAL\((\d+),(\d+)\)", lambda m: "DOUBLE" if m[2] != "0" else ("BIGINT" if int(m[1]) < 19 else m[0]), part)
+        return re.sub(r"\b(VOID|VARIANT)\b", "STRING", part.replace("OBJECT<", "STRUCT<"))
+
+    return "".join(p if i % 2 else as_read(p) for i, p in enumerate(parts))

@@ -82,17 +82,28 @@ def score(bad: Column, whole: Column) -> Column:
     return F.round((1 - F.try_divide(bad.cast("double"), whole.cast("double"))) * 100, 1)
 
 
-def pick_rows(df: DataFrame, keys: list[str], order_by: list[Column] | None = None, last: bool = False) -> DataFrame:
+def pick_rows(
+    df: DataFrame, keys: list[str], order_by: list[Column] | None = None, last: bool = False, row_key: list[str] | None = None
+) -> DataFrame:
     """One row per key: the first (or last) in the given order, ties broken by all columns.
 
+    With ``row_key``, columns that together tell the rows apart, ties are broken by those, only keys and
+    order are grouped, and the chosen rows follow by a semi-join.
+
     min / max of a struct combine inside each map task before the shuffle, so a key that holds
     a third of all rows arrives at its reducer as one row per task; equal nulls are one key.
     """
     order = [c.alias(f"o{i}") for i, c in enumerate(order_by or [])]
+    at = {k: f"_k{i}" for i, k in enumerate(dict.fromkeys(keys))}
+    if row_key:
+        which = F.struct(*order, *[col(c).alias(f"r{i}") for i, c in enumerate(row_key)])
+        found = df.groupBy(*[col(k).alias(n) for k, n in at.items()]).agg((F.max if last else F.min)(which).alias("_chosen"))
+        found = found.select(*[F.col("_chosen")[f"r{i}"].alias(f"_chosen_r{i}") for i in range(len(row_key))])
+        same = [col(c).eqNullSafe(F.col(f"_chosen_r{i}")) for i, c in enumerate(row_key)]
+        return df.join(found, reduce(Column.__and__, same), "left_semi")
     rest = [c for c in df.columns if c not in keys]
     ranked = F.struct(*order, F.struct(F.lit(0).alias("_"), *[col(c) for c in rest]).alias("row"))
     chosen = (F.max if last else F.min)(ranked).alias("_chosen")
-    at = {k: f"_k{i}" for i, k in enumerate(dict.fromkeys(keys))}
     picked = df.groupBy(*[col(k).alias(n) for k, n in at.items()]).agg(chosen)
     row = F.col("_chosen")["row"]
     return picked.select(*[(F.col(at[c]) if c in at else row[c]).alias(c) for c in df.columns])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import hints, html
+from tablewright.functions.text import variant_sql_type
 from tablewright.operators.frames import col
 
 
@@ -93,6 +94,32 @@ def payload_rows(
     return rows
 
 
+def payload_records(df: DataFrame, payload: str, keep: list[str] | None = None) -> DataFrame:
+    """One row per record of each payload, ``record`` being a struct of all keys that any record has.
+
+    Every payload is parsed once, as a variant. Types are those that hold all values of a key over
+    the whole table: whole numbers, doubles, booleans, nested records and lists; text where they
+    differ. A key that a record lacks is null, as is a value that does not fit. A bare value has the
+    key 'value'. A payload that is null or no JSON gives no row, nor does a null in a list. One
+    aggregate finds the types before the rows are read; keys that differ in case only raise an error.
+    """
+    keep = [c for c in df.columns if c != payload] if keep is None else keep
+    parsed, listed = F.try_parse_json(col(payload)), "array<variant>"
+    lists = [F.try_variant_get("_parsed", f"$.{k}", listed) for k in hints.LIST_KEYS]
+    items = F.coalesce(F.try_variant_get("_parsed", "$", listed), *lists, F.array("_parsed"))
+    whole = df.select(*[col(c) for c in keep], parsed.alias("_parsed")).where("_parsed IS NOT NULL")
+    rows = whole.select(*[col(c) for c in keep], F.posexplode(items).alias("row", "_item"))
+    bare = ~F.schema_of_variant("_item").startswith("OBJECT<")
+    boxed = F.parse_json(F.concat(F.lit('{"value":'), F.to_json("_item"), F.lit("}")))
+    rows = rows.where("NOT is_variant_null(_item)").withColumn("_item", F.when(bare, boxed).otherwise(F.col("_item")))
+    shape = rows.agg(F.schema_of_variant_agg("_item").alias("shape")).first()["shape"]
+    kind = variant_sql_type(shape) if shape.startswith("OBJECT<") and shape != "OBJECT<>" else "struct<value:string>"
+    names = [f.name.lower() for f in T._parse_datatype_string(kind)]
+    if len(set(names)) < len(names):
+        raise ValueError(f"keys differ in case only: {sorted({n for n in names if names.count(n) > 1})}")
+    return rows.select(*[col(c) for c in keep], "row", F.try_variant_get("_item", "$", kind).alias("record"))
+
+
 def crawl_tally(df: DataFrame, page: str = "html") -> DataFrame:
     """One row: pages, pages with content, pages without, text lines."""
     counts = df.select(F.size(_lines(F.coalesce(col(page), F.lit("")))).alias("lines"))

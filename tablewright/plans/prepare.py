@@ -208,10 +208,11 @@ def integrate_to_silver(
     dedup_keys: list[str] | None = None,
     order_by: list[Column] | None = None,
     how: str = "inner",
+    row_key: str | None = None,
 ) -> dict[str, DataFrame]:
     """Merge the newest data of bronze sources into a silver table; gives receipt and edges."""
     frames = {name: layers.read_latest(spark, base, name) for name in sources}
-    merged = integrate(frames, strategy, join_key, dedup_keys, order_by, how)
+    merged = integrate(frames, strategy, join_key, dedup_keys, order_by, how, row_key)
     receipt = layers.silver_write(merged, base, domain, table)
     edges = _edge(spark, [(f"bronze:{s}", f"silver:{domain}/{table}") for s in sources], "integrate")
     return {"receipt": receipt, "edges": edges}

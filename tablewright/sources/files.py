@@ -87,8 +87,18 @@ def _first_sign(spark, path):
     return "" if (first[0].sign, first[0].last) == ("{", "}") else first[0].sign
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, row_key: str | None = None) -> DataFrame:
+    """Parquet files; ``row_key`` names a text column to add that tells all rows apart: file and place in it.
+
+    The key costs no pass and is the same on every read, so it can follow rows through joins.
+    """
+    df = spark.read.parquet(path)
+    if row_key is None:
+        return df
+    if row_key.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the files have a column {row_key!r}")
+    place = F.col("_metadata.row_index").cast("string")
+    return df.withColumn(row_key, F.concat(F.col("_metadata.file_path"), F.lit("#"), place))
 
 
 def read_source(spark: SparkSession, path: str, kind: str | None = None, schema=None, table: str | None = None):

@@ -5,7 +5,6 @@ depends on the depth of brackets and on whether a string is open. Each byte rang
 for both cases, a string open at its start or none; running sums over the ranges settle which holds.
 """
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.text import variant_sql_type
 from tablewright.session import checkpointed
 from tablewright.sources.byte_ranges import joined_records, segments
 
@@ -92,22 +92,11 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return every.select(text.alias("record")).where(~F.col("record").rlike(r"^\]?\s*$")).select(F.concat("record", F.lit(END)).alias("record"))
 
 
-def _sql_type(found: str) -> str:
-    """A type of the merged variants as the JSON reader would have it."""
-    parts = re.split(r"(`(?:[^`]|``)*`)", found)
-
-    def as_read(part: str) -> str:
-        part = re.sub(r"DECIMAL\((\d+),(\d+)\)", lambda m: "DOUBLE" if m[2] != "0" else ("BIGINT" if int(m[1]) < 19 else m[0]), part)
-        return re.sub(r"\b(VOID|VARIANT)\b", "STRING", part.replace("OBJECT<", "STRUCT<"))
-
-    return "".join(p if i % 2 else as_read(p) for i, p in enumerate(parts))
-
-
 def infer(texts: DataFrame, corrupt: str) -> T.StructType:
     """The merged schema of all objects, from one aggregate; with a column for what is no JSON where there is any."""
     value = F.try_parse_json("record")
     found = texts.agg(F.schema_of_variant_agg(value).alias("shape"), F.max(value.isNull()).alias("corrupt")).first()
-    shape = T._parse_datatype_string(_sql_type(found["shape"])) if found["shape"].startswith("OBJECT<") and found["shape"] != "OBJECT<>" else T.StructType()
+    shape = T._parse_datatype_string(variant_sql_type(found["shape"])) if found["shape"].startswith("OBJECT<") and found["shape"] != "OBJECT<>" else T.StructType()
     return T.StructType([*shape.fields, *([T.StructField(corrupt, T.StringType())] if found["corrupt"] else [])])
 
 

@@ -10,6 +10,7 @@ from tablewright.operators import clean, govern, integrate, lineage, mask, pages
 from tablewright.operators.joins import attach
 from tablewright.operators.order_stats import modes, order_stats
 from tablewright.plans import chain, prepare
+from tablewright.sources import files
 
 DIRTY = [
     (1, "张三", "138-0000-1111", "A@X.COM", 100.0, "北京", "2026-01-01"),
@@ -481,3 +482,37 @@ def test_tokens_by_row_key(spark, monkeypatch):
     monkeypatch.setattr(mask, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(mask.tokenize, "__defaults__", (0, None))
     assert sorted(map(tuple, mask.desensitize(df, "token", overrides={"id": None}, row_key="id").collect())) == want
+
+
+def test_integration_by_row_key_groups_keys_only(spark, tmp_path):
+    spark.range(60).selectExpr("CAST(id % 9 AS STRING) AS k", "id AS n", "repeat('x', 50) AS note").write.parquet(str(tmp_path / "a"))
+    spark.range(60, 90).selectExpr("CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(id % 12 AS STRING) END AS k", "id AS n").write.parquet(str(tmp_path / "b"))
+    a, b = (files.read_parquet(spark, str(tmp_path / f), "at") for f in "ab")
+    order = [F.col("n")]
+    for strategy, how in (("union", "inner"), ("join", "inner"), ("join", "left"), ("join", "outer")):
+        plain = integrate.integrate({"a": a, "b": b}, strategy, "k", ["k"], order, how)
+        keyed = integrate.integrate({"a": a, "b": b}, strategy, "k", ["k"], order, how, "at")
+        assert rows(keyed) == rows(plain)
+        grouped = [line for line in keyed._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate(" in line]
+        assert grouped and not any("note" in line for line in grouped) or how == "outer"
+    with pytest.raises(ValueError):
+        integrate.integrate({"a": a, "b": b.drop("at")}, "union", row_key="at")
+
+
+def test_payload_records_take_every_key_and_type(spark):
+    texts = [
+        (1, '{"data": [{"a": 1, "b": "x"}, {"a": 2.5, "c": {"d": [1, 2]}}, null]}'), (2, '[{"a": 3, "e": true}, 7]'),
+        (3, '{"a": null, "b": 5}'), (4, "no json"), (5, None), (6, "[]"), (7, '"bare"'),
+    ]
+    found = pages.payload_records(spark.createDataFrame(texts, "id int, payload string"), "payload")
+    kinds = dict((f.name, f.dataType.simpleString()) for f in found.schema["record"].dataType)
+    assert kinds == {"a": "double", "b": "string", "c": "struct<d:array<bigint>>", "e": "boolean", "value": "string"}
+    got = {(r["id"], r["row"]): r["record"].asDict(True) for r in found.collect()}
+    none = dict.fromkeys(kinds)
+    assert got == {
+        (1, 0): {**none, "a": 1.0, "b": "x"}, (1, 1): {**none, "a": 2.5, "c": {"d": [1, 2]}}, (2, 0): {**none, "a": 3.0, "e": True},
+        (2, 1): {**none, "value": "7"}, (3, 0): {**none, "b": "5"}, (7, 0): {**none, "value": "bare"},
+    }
+    assert pages.payload_records(spark.createDataFrame(texts[3:6], "id int, payload string"), "payload").isEmpty()
+    with pytest.raises(ValueError):
+        pages.payload_records(spark.createDataFrame([('{"a": 1, "A": 2}',)], "payload string"), "payload")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.plans import prepare
-from tablewright.sources import files, json_array, layers, quoted_csv, sqlite
+from tablewright.sources import files, json_array, layers, path_table, quoted_csv, runs, sqlite
 
 
 @pytest.fixture
@@ -359,3 +359,53 @@ def test_clashing_types_of_loads(spark, lake):
     layers.bronze_append(spark.createDataFrame([("x",)], "a string"), lake, "s", "2026-01-01")
     with pytest.raises(ValueError, match="'a' is int in one load and string in another"):
         layers.read_partition(spark, lake, "s", "2026-01-01")
+
+
+def test_path_table_reads_each_format_in_one_scan(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    spark.range(6).selectExpr("id", "concat('n', id) AS name").repartition(2).write.parquet(at("a.parquet"))
+    (tmp_path / "x y.csv").write_text("id,name\n1,one\n2,two\n")
+    (tmp_path / "z%20.csv").write_text("id,name\n3,three\n")
+    (tmp_path / "other.tsv").write_text("id\tsize\nx\t5\n")
+    (tmp_path / "l.jsonl").write_text('{"id": 7, "deep": {"a": 1}}\n')
+    (tmp_path / "arr.json").write_text('[{"id": 8},\n {"id": 9}]')
+    names = ["a.parquet", "x y.csv", "z%20.csv", "other.tsv", "l.jsonl", "arr.json", "a.parquet"]
+    table = spark.createDataFrame([(at(n),) for n in names] + [(None,)], "path string")
+    found = path_table.read_paths(table)
+    got = sorted((r["source_path"].rsplit("/", 1)[1], r["reader"], str(r["id"]), r["name"]) for r in found.collect())
+    want = [("a.parquet", "parquet", str(i), f"n{i}") for i in range(6)]
+    want += [("x y.csv", "csv", "1", "one"), ("x y.csv", "csv", "2", "two"), ("z%20.csv", "csv", "3", "three"), ("other.tsv", "csv", "x", None)]
+    want += [("l.jsonl", "json", "7", None), ("arr.json", "json", "8", None), ("arr.json", "json", "9", None)]
+    assert got == sorted(want, key=lambda r: (r[0], r[1], r[2], r[3] or ""))
+    assert dict(found.dtypes)["id"] == "string" and dict(found.dtypes)["size"] == "int"
+
+
+def test_path_table_refuses_what_it_cannot_scan(spark):
+    table = spark.createDataFrame([("https://example.com/a",), ("b.xlsx",)], "path string")
+    with pytest.raises(ValueError, match="b.xlsx"):
+        path_table.read_paths(table)
+    assert path_table.read_paths(table.limit(0)).isEmpty()
+
+
+def test_runs_are_compared_with_the_run_before(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    assert runs.read_runs(spark, path).isEmpty()
+    row = lambda day, source, n, shape: (f"2026-01-0{day} 00:00:00", source, n, 0, shape, 2, "healthy")
+    for batch in ([row(1, "a", 10, "s"), row(1, "b", 5, "s")], [row(3, "a", 8, "t")], [row(2, "a", 12, "s")]):
+        made = spark.createDataFrame(batch, runs.RUN_SCHEMA.replace("ts timestamp", "ts string"))
+        runs.append_run(made.withColumn("ts", F.col("ts").cast("timestamp")), path)
+    (tmp_path / "runs" / "run=0torn").mkdir()
+    (tmp_path / "runs" / "run=0torn" / "part-0.parquet").write_text("half")
+    history = runs.read_runs(spark, path)
+    changes = {(r["source"], r["ts"].day): (r["previous_rows"], r["row_change"], r["schema_changed"]) for r in runs.run_changes(history).collect()}
+    assert changes == {("a", 1): (None, None, None), ("a", 2): (10, 2, False), ("a", 3): (12, -4, True), ("b", 1): (None, None, None)}
+    as_of = {r["source"]: r["rows"] for r in runs.runs_as_of(history, "2026-01-02 12:00:00").collect()}
+    assert as_of == {"a": 12, "b": 5}
+
+
+def test_row_key_of_parquet_files(spark, tmp_path):
+    spark.range(100).selectExpr("id % 7 AS k").repartition(4).write.parquet(str(tmp_path / "t"))
+    keyed = files.read_parquet(spark, str(tmp_path / "t"), "at")
+    assert keyed.select("at").distinct().count() == 100
+    with pytest.raises(ValueError):
+        files.read_parquet(spark, str(tmp_path / "t"), "K")
