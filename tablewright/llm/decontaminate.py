@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tablewright.llm.common import WORD_MIX, mixed
+from tablewright.llm.common import WORD_MIX, mixed, portions, text_bytes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS, BLOCK_BITS = 19, (13, 13, 13, 13, 12)
 BLOCK_ITEMS = 2000  # items for one pass over the documents
-PORTION = 1 << 21
+PORTION = 1 << 19  # bytes of text looked at together; the search holds some 200 bytes for each
 
 
 def _letters() -> np.ndarray:
@@ -215,24 +215,18 @@ def _holds(shared, least: float, clipped: bool):
     def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Index(shared.value)
         for column in batches:
-            texts = column.fill_null("").to_pylist()
-            out = np.zeros(len(texts), bool)
-            for a, b in _parts(texts):
-                out[[a + t for t, *_ in index.matches(texts[a:b], least, clipped)]] = True
+            out = np.zeros(len(column), bool)
+            for a, texts in _parts(column):
+                out[[a + t for t, *_ in index.matches(texts, least, clipped)]] = True
             yield pa.array(out)
 
     return holds
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
-    first, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= PORTION:
-            yield first, i + 1
-            first, held = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts to be searched together, with the number of the first; a long text is one by itself."""
+    for a, b in portions(text_bytes(column)[1], PORTION):
+        yield a, column.slice(a, b - a).fill_null("").to_pylist()
 
 
 def find_leaks(
@@ -267,9 +261,8 @@ def _search(shared, least: float, item_type: pa.DataType, clipped: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
         for batch in batches:
-            texts = batch.column(1).fill_null("").to_pylist()
-            for a, b in _parts(texts):
-                rows = index.matches(texts[a:b], least, clipped)
+            for a, texts in _parts(batch.column(1)):
+                rows = index.matches(texts, least, clipped)
                 if rows:
                     t, item, like, start, end = zip(*rows)
                     ids = batch.column(0).take(pa.array([a + i for i in t], pa.int64()))
