@@ -10,7 +10,7 @@ from tablewright.functions import urls
 from tablewright.operators import profile
 from tablewright.plans import prepare
 from tablewright.session import scratch_path
-from tablewright.sources import files, layers, path_table
+from tablewright.sources import files, layers, load_profiles, path_table
 
 
 @query("s1_csv_scan", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -232,6 +232,61 @@ def p3(spark, sf):
     return profile.class_mix(frame(spark, sf, MIXED))
 
 
+# documents land in two loads, the second without n_chars and with a column of its own; exact fields of the merged state
+_SECOND = "lang IS NULL OR lang <> 'en'"
+_LOADED = (
+    f"SELECT doc_id, text, lang, source, CASE WHEN {_SECOND} THEN NULL ELSE n_chars END AS n_chars, "
+    f"CASE WHEN {_SECOND} THEN length(text) / 8 END AS eighths FROM {{documents}}"
+)
+
+
+def _document_loads(spark, sf):
+    base = scratch_path(spark, "lake")
+    documents = table(spark, sf, "documents")
+    second = F.expr(_SECOND)
+    layers.bronze_append(documents.where(~second), base, "documents", "2026-01-01")
+    load_profiles.profile_loads(spark, base, "documents")
+    own = documents.where(second).drop("n_chars").withColumn("eighths", F.length("text") / 8)
+    layers.bronze_append(own, base, "documents", "2026-01-02")
+    return base
+
+
+def _number_state(c):
+    return f"min(CAST({c} AS DOUBLE)) AS lo, max(CAST({c} AS DOUBLE)) AS hi, NULL AS lowest, NULL AS highest, NULL AS longest, NULL AS integer, NULL AS float, NULL AS boolean, NULL AS string"
+
+
+def _text_state(c):
+    classes = ", ".join(f"count(*) FILTER ({_CLASS.format(c)} = '{k}' AND {c} IS NOT NULL) AS {k}" for k in ("integer", "float", "boolean", "string"))
+    return f"NULL AS lo, NULL AS hi, min(left({c}, 64)) AS lowest, max(left({c}, 64)) AS highest, max(length({c})) AS longest, {classes}"
+
+
+_STATES = {"doc_id": "integer", "text": "string", "lang": "string", "source": "string", "n_chars": "integer", "eighths": "float"}
+
+
+@query(
+    "p1_load_profiles",
+    with_src(_LOADED, per_column(_STATES, lambda c: f"""SELECT '{c}' AS "column", '{_STATES[c]}' AS dtype, count(*) AS "rows", count(*) - count({c}) AS nulls,
+        round((count(*) - count({c})) * 100.0 / count(*), 1) AS null_pct, {(_text_state if _STATES[c] == "string" else _number_state)(c)} FROM src""")),
+)
+def p1_loads(spark, sf):
+    kept = load_profiles.source_profile(spark, _document_loads(spark, sf), "documents")
+    return kept.drop("place", "distinct_estimate", "q1", "median", "q3")
+
+
+@query(
+    "p1_load_changes",
+    with_src(_LOADED, f"""SELECT t."column", count(*) FILTER (t.first) AS first_rows, count(*) FILTER (NOT t.first) AS second_rows,
+        round(100.0 * count(*) FILTER (t.first AND t.gone) / count(*) FILTER (t.first), 1) AS first_null_pct,
+        round(100.0 * count(*) FILTER (NOT t.first AND t.gone) / count(*) FILTER (NOT t.first), 1) AS second_null_pct
+        FROM ({per_column(["doc_id", "text", "lang", "source"], lambda c: f"""SELECT '{c}' AS "column", NOT ({_SECOND}) AS first, {c} IS NULL AS gone FROM src""")}) AS t GROUP BY t."column" """),
+)
+def p1_changes(spark, sf):
+    changes = load_profiles.profile_changes(spark, _document_loads(spark, sf), "documents").where("previous_rows IS NOT NULL")
+    return changes.selectExpr(
+        "column", "previous_rows AS first_rows", "rows AS second_rows", "previous_null_pct AS first_null_pct", "null_pct AS second_null_pct"
+    )
+
+
 def _lake(spark, sf, name):
     """A fresh lake with two days of orders and one of customers."""
     base = scratch_path(spark, name)

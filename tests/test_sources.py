@@ -7,8 +7,9 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.operators import profile, profile_state
 from tablewright.plans import prepare
-from tablewright.sources import files, json_array, layers, path_table, quoted_csv, runs, sqlite
+from tablewright.sources import files, json_array, layers, load_profiles, path_table, quoted_csv, runs, sqlite
 
 
 @pytest.fixture
@@ -409,3 +410,81 @@ def test_row_key_of_parquet_files(spark, tmp_path):
     assert keyed.select("at").distinct().count() == 100
     with pytest.raises(ValueError):
         files.read_parquet(spark, str(tmp_path / "t"), "K")
+
+
+EXACT = ["column", "dtype", "rows", "nulls", "null_pct", "lo", "hi", "lowest", "highest", "longest", "integer", "float", "boolean", "string"]
+
+
+def mixed_rows(spark, n, seed=0):
+    df = spark.range(n).select(
+        F.col("id"),
+        F.when(F.col("id") % 7 != 0, F.rand(seed) * 100 - 50).alias("x"),
+        F.when(F.col("id") % 11 != 0, F.expr("array('12', '1.5', 'true', '', ' word ')")[(F.col("id") % 5).cast("int")]).alias("t"),
+        (F.col("id") % 3 == 0).alias("odd name.`b"),
+        F.lit(None).cast("string").alias("nothing"),
+        F.expr("date_add(DATE '2026-01-01', CAST(id % 40 AS INT))").alias("day"),
+    )
+    return df
+
+
+def test_merged_state_is_the_state_of_the_whole(spark, tmp_path):
+    mixed_rows(spark, 6000).write.parquet(str(tmp_path / "mixed"))
+    df = spark.read.parquet(str(tmp_path / "mixed"))
+    parts = [df.where("id < 10"), df.where("id >= 10 AND id < 4000"), df.where("id >= 4000"), df.where("id < 0")]
+    states = [profile_state.profile_state(p, str(k)) for k, p in enumerate(parts)]
+    inner = profile_state.merged_state(states[2].unionByName(states[3]))  # in two steps
+    merged = profile_state.merged_state(states[1].unionByName(inner).unionByName(states[0]))
+    whole = profile_state.state_profile(profile_state.profile_state(df)).orderBy("place").collect()
+    ours = profile_state.state_profile(merged).orderBy("place").collect()
+    assert [[r[c] for c in EXACT] for r in ours] == [[r[c] for c in EXACT] for r in whole]
+    assert [r["column"] for r in ours] == df.columns
+    plain = {r["column"]: r for r in profile.source_profile(df).collect()}
+    assert all((r["rows"], r["nulls"], r["null_pct"], r["dtype"]) == tuple(plain[r["column"]][c] for c in ("rows", "nulls", "null_pct", "dtype")) for r in ours)
+    by = {r["column"]: r for r in ours}
+    for c in df.columns:
+        exact = df.agg(F.count_distinct(F.col(f"`{c.replace('`', '``')}`"))).first()[0]
+        assert abs(by[c]["distinct_estimate"] - exact) <= 0.08 * exact
+    values = sorted(r["x"] for r in df.select("x").collect() if r["x"] is not None)
+    for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
+        rank = sum(v < by["x"][name] for v in values) / len(values)
+        assert abs(rank - q) < 0.01
+    assert by["nothing"]["dtype"] == "null" and by["nothing"]["distinct_estimate"] == 0 and by["t"]["q1"] is None
+
+
+def test_state_of_odd_values(spark):
+    df = spark.createDataFrame([(float("nan"), ""), (float("inf"), ""), (-0.0, "2026-01-02"), (None, None), (0.0, "é" * 100)], "x double, t string")
+    by = {r["column"]: r for r in profile_state.state_profile(profile_state.profile_state(df)).collect()}
+    assert by["x"]["hi"] != by["x"]["hi"] and by["x"]["lo"] == 0.0 and by["x"]["distinct_estimate"] == 3 and by["x"]["median"] == 0.0
+    assert by["t"]["distinct_estimate"] == 3 and by["t"]["highest"] == "é" * 64 and by["t"]["longest"] == 100 and by["t"]["dtype"] == "string"
+    empty = {r["column"]: r for r in profile_state.state_profile(profile_state.profile_state(df.limit(0))).collect()}
+    assert empty["x"]["rows"] == 0 and empty["x"]["null_pct"] is None and empty["x"]["median"] is None and empty["t"]["dtype"] == "null"
+
+
+def test_profile_reads_new_loads_only(spark, lake, tmp_path):
+    first, second = mixed_rows(spark, 300), mixed_rows(spark, 500).drop("x").withColumn("late", F.lit("2026-05-05"))
+    layers.bronze_append(first, lake, "s", "2026-01-01")
+    assert len(load_profiles.profile_loads(spark, lake, "s")) == 1
+    day = next((tmp_path / "lake" / "bronze" / "s").glob("ingest_date=2026-01-01/load=*"))
+    for f in day.glob("part-*"):
+        f.write_bytes(b"no parquet any more")  # whoever reads the first load again fails
+    layers.bronze_append(second, lake, "s", "2026-01-02")
+    by = {r["column"]: r for r in load_profiles.source_profile(spark, lake, "s").collect()}
+    assert by["x"]["rows"] == 800 and by["x"]["nulls"] == 543 and by["late"]["nulls"] == 300 and by["late"]["dtype"] == "datetime"
+    assert load_profiles.profile_loads(spark, lake, "s") == []
+    one = {r["column"]: r["rows"] for r in load_profiles.source_profile(spark, lake, "s", "2026-01-02").collect()}
+    assert set(one.values()) == {500} and "x" not in one
+    changes = {(r["column"], r["previous_rows"]): r["rows"] for r in load_profiles.profile_changes(spark, lake, "s").collect()}
+    assert changes[("id", None)] == 300 and changes[("id", 300)] == 500 and changes[("late", None)] == 500
+    assert load_profiles.source_profile(spark, lake, "unknown").count() == 0
+    # a state whose write was cut short, and one whose load has no record, are not seen
+    torn = tmp_path / "lake" / "bronze" / "s" / "ingest_date=2026-01-02" / "profile=x" / "state=y"
+    torn.mkdir(parents=True)
+    (torn / "_SUCCESS").write_text("")
+    assert load_profiles.source_profile(spark, lake, "s").first()["rows"] == 800
+
+
+def test_types_that_differ_between_loads(spark):
+    a = profile_state.profile_state(spark.range(3), "a")
+    b = profile_state.profile_state(spark.range(3).selectExpr("CAST(id AS STRING) AS id"), "b")
+    with pytest.raises(Exception, match="column id is bigint in one part and string in another"):
+        profile_state.merged_state(a.unionByName(b)).collect()
