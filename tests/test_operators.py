@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import hints
 from tablewright.operators import clean, govern, integrate, lineage, mask, pages, profile, quality, standardize
 from tablewright.operators.joins import attach
+from tablewright.operators import order_stats as stats_of
 from tablewright.operators.order_stats import modes, order_stats
 from tablewright.plans import chain, prepare
 from tablewright.sources import files
@@ -44,7 +45,7 @@ def python_stat(values, a, b, linear):
     return s[f] + (k - f) * (s[f + 1] - s[f]) if f + 1 < len(s) else s[f]
 
 
-@pytest.mark.parametrize("method", ["values", "buckets"])
+@pytest.mark.parametrize("method", ["values", "buckets", "brackets"])
 def test_order_stats_are_exact(spark, method):
     rng = random.Random(7)
     columns = {
@@ -66,7 +67,7 @@ def test_order_stats_are_exact(spark, method):
             assert got[f"{stat}_{i}"] == (pytest.approx(want, rel=1e-12) if linear and known else want), (name, stat)
 
 
-@pytest.mark.parametrize("method", ["values", "buckets"])
+@pytest.mark.parametrize("method", ["values", "buckets", "brackets"])
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
 def test_order_stats_of_few_rows(spark, method, n):
     values = [float(v) for v in (5, 1, 4, 2, 3)[:n]]
@@ -76,6 +77,31 @@ def test_order_stats_of_few_rows(spark, method, n):
     assert list(got) == [python_stat(values, *s) for s in stats.values()]
 
 
+@pytest.mark.parametrize("k", [4000, 8])
+def test_brackets_that_miss_are_read_again(spark, monkeypatch, k):
+    monkeypatch.setattr(stats_of, "_EXACT_BELOW", 10)
+    monkeypatch.setattr(stats_of, "_KLL_K", k)
+    monkeypatch.setattr(stats_of, "_BRACKET", 4.0)  # parts hold many values
+    if k == 8:
+        monkeypatch.setattr(stats_of, "_MARGIN", 0.0)  # a coarse sketch and no width: most ranks lie in gaps
+    rng = random.Random(11)
+    columns = {
+        "wide_range": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(3000)],
+        "close_together": [1.0 + rng.randint(0, 2**30) * 2.0**-52 for _ in range(3000)],
+        "third_is_one_value": [42.5] * 1000 + [rng.gauss(0, 1) for _ in range(2000)],
+        "ends": [float("inf")] * 900 + [-float("inf")] * 900 + [rng.random() for _ in range(1200)],
+        "no_finite": [float("inf")] * 3000,
+        "empty": [None] * 3000,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    stats = {"q1": (1, 4, False), "med": (1, 2, False), "q9": (9, 10, False)}
+    got = order_stats(df, list(columns), stats, "brackets").first().asDict()
+    for i, (name, values) in enumerate(columns.items()):
+        known = [v for v in values if v is not None]
+        for stat, s in stats.items():
+            assert got[f"{stat}_{i}"] == (python_stat(known, *s) if known else None), (name, stat)
+
+
 def test_mode_takes_the_lowest_on_ties(spark):
     df = spark.createDataFrame([(3.0, 1), (3.0, None), (1.0, 1), (1.0, 2), (9.0, 2)], "a double, b int")
     assert list(modes(df, ["a", "b"]).first()) == [1.0, 1.0]
