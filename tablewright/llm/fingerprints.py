@@ -17,6 +17,7 @@ LEAST, NORMAL, MOST = 8, 32, 128
 REACH = 32
 BLOCK = 1 << 18
 ROWS_PER_BUCKET = 4000
+MOST_RANGES = 100_000  # cuts that the driver holds and every task gets, 16 bytes each
 
 GEAR = (byte_table(1) >> np.uint64(32)).astype(np.uint32)
 DIGEST = byte_table(2)
@@ -191,15 +192,17 @@ def compare_with_edited(documents: DataFrame, doc_id: str = "doc_id", text: str
     The next text is that of the next row in order of id (null ids first, ties by the text's hash);
     the last row's is the first's. Null texts are empty. The order is cut into ranges of about
     ``rows_per_bucket`` rows, found from ids and hashes alone; a range also borrows the first row of
-    the range after it, so every text is shuffled once, a task streams its rows and only the cuts (one id
-    and hash for each range) come to the driver. Only the two columns named are read, so other columns
+    the range after it, so every text is shuffled once and a task streams its rows. Only the cuts (one id
+    and hash for each range) come to the driver: beyond ``MOST_RANGES`` times ``rows_per_bucket`` rows the ranges
+    grow instead of their number. Only the two columns named are read, so other columns
     cannot clash. An empty table gives no rows; the next text of a single row is its own.
     """
     places = documents.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     ).withColumns({"at": F.coalesce("doc_id", F.lit(-(2**63))), "tie": F.xxhash64("text")})
     ordered = places.select("at", "tie").repartitionByRange("at", "tie").sortWithinPartitions("at", "tie")
-    some = ordered.mapInArrow(_every(rows_per_bucket), "at long, tie long")
+    step = max(rows_per_bucket, -(-documents.count() // MOST_RANGES))
+    some = ordered.mapInArrow(_every(step), "at long, tie long")
     cuts = sorted({(r.at, r.tie) for r in some.collect()})
     to = F.explode(_targets(cuts)("at", "tie")).alias("to")
     dealt = places.select("*", to).select("to.bucket", "to.borrowed", "doc_id", "text", "at", "tie")

@@ -17,6 +17,7 @@ from tablewright.session import checkpointed
 GRAMS = (3, 4, 5, 6)
 BITS = 18
 PER_CLASS = 2000
+COUNTERS = 8  # tasks that count the n-grams of the sample
 MOST_FEATURES = 65_536
 LEAST_TEXTS = 5
 LEAST_SURE = 6.6  # chi-squared with one degree of freedom at 0.01
@@ -125,15 +126,16 @@ def log_count_ratios(counts: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray,
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
     """Fit on at most ``per_class`` labelled documents of each class (a bound, see ``sample_texts``).
 
-    Tasks make the features and count them; to the driver come the counts (2 MB a task) and then,
-    for each sampled document, which of the chosen n-grams it holds. Without both classes the
+    Tasks make the features; ``COUNTERS`` tasks at most count them, however many parts the sample has, and to
+    the driver come their counts (2 MB each) and then, for each sampled document, which of the chosen
+    n-grams it holds. Without both classes the
     model is an intercept: the smoothed share of label 1.
     """
     chosen = sample_texts(documents, labels, label, per_class, doc_id, text)
     is_one = (F.col("label") > 0).cast("int").alias("label")
     sample = checkpointed(chosen.select("id", is_one, _features("text").alias("codes")))
     counts, texts = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for part in sample.select("label", "codes").mapInArrow(_counts, "texts binary, counts binary").toLocalIterator():
+    for part in sample.select("label", "codes").coalesce(COUNTERS).mapInArrow(_counts, "texts binary, counts binary").toLocalIterator():
         counts += np.frombuffer(part.counts, np.uint32).reshape(2, -1)
         texts += np.frombuffer(part.texts, np.int64)
     if not texts.all():

@@ -82,3 +82,11 @@ def test_odd_rows(odd, table):
     assert f.compare_with_edited(table([])).collect() == []
     (one,) = f.compare_with_edited(table([(1, "abcdefgh")])).collect()
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one.near_next == 1.0
+
+
+def test_ranges_grow_beyond_their_largest_number(given, monkeypatch):
+    monkeypatch.setattr(f, "MOST_RANGES", 3)
+    docs = given("documents")
+    got = f.compare_with_edited(docs, rows_per_bucket=7)
+    want = expected([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert sorted(map(tuple, got.collect()), key=repr) == want
