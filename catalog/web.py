@@ -20,12 +20,16 @@ def _unescape(text):
     return text
 
 
+def _pages(spark, sf):
+    return pages.spread(table(spark, sf, "pages"))
+
+
 _LINES = f"""SELECT page_id, content FROM (SELECT page_id, {q_trim(_unescape('line'))} AS content FROM (SELECT page_id, unnest(string_split({_TEXT}, chr(10))) AS line FROM pages)) WHERE content <> ''"""
 
 
 @query("w1_text_lines", f"SELECT page_id, content, count(*) AS n FROM ({_LINES}) GROUP BY ALL")
 def w1(spark, sf):
-    lines = pages.text_lines(table(spark, sf, "pages"), keep=["page_id"])
+    lines = pages.text_lines(_pages(spark, sf), keep=["page_id"])
     return lines.groupBy("page_id", "content").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -39,14 +43,14 @@ def w2(spark, sf):
         {"name": "link", "container": "nav li", "selector": "a", "attr": "href"},
         {"name": "label", "selector": "a", "attr": "text"},
     ]
-    return pages.extract_rows(table(spark, sf, "pages"), rules, keep=["page_id"]).drop("row")
+    return pages.extract_rows(_pages(spark, sf), rules, keep=["page_id"]).drop("row")
 
 
 # each whole page forty times in one page: the work must not grow with the square of its elements
 @query("w2_extract_large_pages", f"SELECT page_id, link, CAST(40 * count(*) AS BIGINT) AS n FROM ({_LINKS}) GROUP BY ALL")
 def w2_large(spark, sf):
     rules = [{"name": "link", "container": "nav li", "selector": "a", "attr": "href"}]
-    rows = pages.extract_rows(table(spark, sf, "pages").withColumn("html", F.repeat("html", 40)), rules, keep=["page_id"])
+    rows = pages.extract_rows(_pages(spark, sf).withColumn("html", F.repeat("html", 40)), rules, keep=["page_id"])
     return rows.groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -58,7 +62,7 @@ def w2_large(spark, sf):
 )
 def w3(spark, sf):
     rules = [{"name": "link", "selector": "li a", "attr": "href"}, {"name": "title", "selector": "article h1"}]
-    return pages.extract_rows(table(spark, sf, "pages"), rules, keep=["page_id"]).drop("row")
+    return pages.extract_rows(_pages(spark, sf), rules, keep=["page_id"]).drop("row")
 
 
 @query(
@@ -71,7 +75,7 @@ def w4(spark, sf):
         {"name": "charset", "selector": "head meta", "attr": "charset"},
         {"name": "missing", "selector": ".ad", "attr": "data-none"},
     ]
-    return pages.extract_rows(table(spark, sf, "pages"), rules, keep=["page_id"]).drop("row")
+    return pages.extract_rows(_pages(spark, sf), rules, keep=["page_id"]).drop("row")
 
 
 @query(
@@ -176,7 +180,7 @@ _TALLIED = "SELECT page_id, CASE WHEN page_id % 25 = 0 THEN NULL WHEN page_id %
     SELECT (SELECT count(*) FROM pages) AS total_pages, count(*) AS pages_ok, (SELECT count(*) FROM pages) - count(*) AS pages_fail, CAST(sum(n) AS BIGINT) AS total_rows FROM good""",
 )
 def w10(spark, sf):
-    return pages.crawl_tally(frame(spark, sf, _TALLIED))
+    return pages.crawl_tally(pages.spread(frame(spark, sf, _TALLIED)))
 
 
 @query(

@@ -1,6 +1,9 @@
 """Stored pages, URLs and JSON payloads turned into rows."""
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,19 +13,54 @@ from tablewright.functions.text import variant_sql_type
 from tablewright.operators.frames import col
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _lines(pages: pd.Series) -> pd.Series:
-    return pages.map(html.text_lines)
+PORTION, PORTION_PAGES = 1 << 20, 256  # bytes and pages whose results are in Python at once
+
+
+def _parsed(parse: Callable, kind: pa.DataType):
+    """A function on batches of pages that parses a portion at a time, however large the batches are; a longer page is a portion of its own."""
+
+    def of_pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            sizes = np.cumsum(pa.compute.binary_length(pages).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            first = 0
+            while first < len(pages):
+                most = (sizes[first - 1] if first else 0) + PORTION
+                last = min(max(first + 1, int(np.searchsorted(sizes, most, side="right"))), first + PORTION_PAGES)
+                yield pa.array([parse(page.as_py()) for page in pages[first:last]], kind)
+                first = last
+
+    return of_pages
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in even tasks. Parsing a page takes far longer than reading it, and few tasks may read a compressed file."""
+    return df.hint("rebalance")
+
+
+def _lines(page: Column) -> Column:
+    kind = pa.list_(pa.string())
+    lines = _parsed(html.text_lines, kind)
+
+    @F.arrow_udf("array<string>")
+    def lines_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return lines(batches)
+
+    return lines_of(page)
+
+
+def _exploded(df: DataFrame, keep: list[str], array: str, at: str, value: str) -> DataFrame:
+    """One row per element. An inner explode would filter for arrays with elements below the column that holds them, so that every page is parsed twice."""
+    return df.select(*[col(c) for c in keep], F.posexplode_outer(array).alias(at, value)).where(col(at).isNotNull())
 
 
 def text_lines(df: DataFrame, page: str = "html", keep: list[str] | None = None) -> DataFrame:
     """One row per text line of each page: kept columns, ``line`` (from 0) and ``content``.
 
-    The parser runs on Arrow batches and returns the lines only; the explode stays in the JVM.
+    The parser runs on portions of Arrow batches and returns the lines only; the explode stays in the JVM.
     """
     keep = [c for c in df.columns if c != page] if keep is None else keep
     lines = df.select(*[col(c) for c in keep], _lines(col(page)).alias("_lines"))
-    return lines.select(*[col(c) for c in keep], F.posexplode("_lines").alias("line", "content"))
+    return _exploded(lines, keep, "_lines", "line", "content")
 
 
 def extract_rows(df: DataFrame, rules: list[dict], page: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -34,12 +72,14 @@ def extract_rows(df: DataFrame, rules: list[dict], page: str = "html", keep: lis
     """
     keep = [c for c in df.columns if c != page] if keep is None else keep
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def rows_of(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: html.extract(p, rules))
+    parsed = _parsed(lambda p: html.extract(p, rules), pa.list_(pa.list_(pa.string())))
+
+    @F.arrow_udf("array<array<string>>")
+    def rows_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return parsed(batches)
 
     rows = df.select(*[col(c) for c in keep], rows_of(col(page)).alias("_rows"))
-    rows = rows.select(*[col(c) for c in keep], F.posexplode("_rows").alias("row", "_row"))
+    rows = _exploded(rows, keep, "_rows", "row", "_row")
     return rows.select(
         *[col(c) for c in keep], "row", *[F.col("_row")[i].alias(r["name"]) for i, r in enumerate(rules)]
     )

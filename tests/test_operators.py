@@ -452,6 +452,28 @@ def test_many_containers_take_linear_time():
     assert time.perf_counter() - start < 1.5
 
 
+def test_plain_tags_are_read_as_any_others():
+    from html.parser import HTMLParser
+
+    from tablewright.functions import html
+
+    class General(html.Page):
+        parse_starttag = HTMLParser.parse_starttag
+
+    def content(page):
+        return [(e.tag, e.attrs, e.parent.at, e.first, e.end, e.at, e.last) for e in page.elements], page.texts and [t for t, _ in page.texts], page.lines()
+
+    odd = ["<P CLASS='q'>a&lt;b<br/>c<img src=\"&amp;\" /></p x>d", '<i a="1"b="2">x<i a = "1">y</ i>', "<p\x0bclass=\"a b\">x</p><p", '<script>"<b>"</script><b c="">t', '<a href="x', "a<b<c></b><!-- <p> --><p>&am"]
+    for page in [PRODUCTS, PRODUCTS[:150], *odd, "".join(odd)]:
+        assert content(html.Page(page)) == content(General(page))
+
+
+@pytest.mark.parametrize("of", [lambda df: pages.text_lines(df), lambda df: pages.extract_rows(df, [{"name": "a", "container": "p", "selector": "a", "attr": "href"}])])
+def test_a_page_is_parsed_once(spark, of):
+    df = of(spark.createDataFrame([(1, PRODUCTS), (2, None), (3, "")], "page_id int, html string"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 # ---- cleaning keeps types ----------------------------------------------------
 
 def test_clean_keeps_wide_numbers(spark):
