@@ -474,6 +474,14 @@ def test_a_page_is_parsed_once(spark, of):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
 
 
+def test_pages_are_parsed_in_portions():
+    import pyarrow as pa
+
+    at_once = list(pages._parsed(lambda p: [p or "none"], pa.list_(pa.string()))([pa.array(["x" * 300_000] * 8 + [None, "y" * 3_000_000] + ["z"] * 600)]))
+    assert [v[0] for part in at_once for v in part.to_pylist()] == ["x" * 300_000] * 8 + ["none", "y" * 3_000_000] + ["z"] * 600
+    assert all(len(part) <= 256 and (len(part) == 1 or sum(len(v[0]) for v in part.to_pylist()) <= 1 << 20) for part in at_once)
+
+
 # ---- cleaning keeps types ----------------------------------------------------
 
 def test_clean_keeps_wide_numbers(spark):
