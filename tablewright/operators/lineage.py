@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.session import checkpointed
+from tablewright.session import scratch_path
 
 EDGE_SCHEMA = "id string, source string, target string, operation string, ts timestamp"
 COLUMN_EDGE_SCHEMA = (
@@ -76,27 +76,37 @@ def full_paths(edges: DataFrame, tables: DataFrame, max_nodes: int = MAX_PATH) -
     ``tables`` has one column ``table``. A path ends where no edge leads further up; ``complete`` is
     false where it was cut at ``max_nodes`` instead, as a cycle always is. All tables walk at the
     same time and every round doubles the length of the known ways up, so eleven nodes take four
-    joins and a thousand take ten; each round is checkpointed.
+    joins and a thousand take ten. The ways of a round are written to the shared folder, those that
+    have ended once for all rounds: only open ones are joined further, to the ways of all nodes.
     """
-    ways = first_upstream(edges).select(F.col("target").alias("node"), F.col("source").alias("at"), F.array("source").alias("way"))
-    reach = 1
-    while reach < max_nodes - 1:
-        ways = checkpointed(ways)
-        on = ways.select(F.col("node").alias("_at"), F.col("at").alias("_up"), F.col("way").alias("_way"))
-        # ways that have ended match nothing; many ways that meet in one ancestor are a skewed left side
-        ways = ways.join(on, F.col("at") == F.col("_at"), "left").select(
-            "node", F.col("_up").alias("at"), F.when(F.col("_way").isNull(), F.col("way")).otherwise(F.concat("_way", "way")).alias("way")
+    spark = edges.sparkSession
+    wanted = tables.groupBy("table").agg(F.count(F.lit(1)).alias("n"))
+    first = first_upstream(edges).select(F.col("target").alias("node"), F.col("source").alias("at"), F.array("source").alias("way"))
+    ways = first.join(wanted, F.col("node") == F.col("table"), "full").select(
+        F.coalesce("node", "table").alias("node"), "at", F.coalesce("way", F.array().cast("array<string>")).alias("way"), F.coalesce("n", F.lit(0)).alias("n"),
+    )
+    ended, reach = [], 1
+    while reach < max_nodes:
+        path = scratch_path(spark, "ways")
+        ways.write.parquet(path)
+        known = spark.read.schema(ways.schema).parquet(path)
+        left = known.where("at IS NOT NULL")
+        ended.append(known.where("at IS NULL"))
+        on = reduce(DataFrame.unionByName, [left, *ended]).where("node IS NOT NULL AND size(way) > 0")
+        on = on.select(F.col("node").alias("_at"), F.col("at").alias("_up"), F.col("way").alias("_way"))
+        # ways that end here match nothing; many ways that meet in one ancestor are a skewed left side
+        ways = left.join(on, F.col("at") == F.col("_at"), "left").select(
+            "node", F.col("_up").alias("at"), F.when(F.col("_way").isNull(), F.col("way")).otherwise(F.concat("_way", "way")).alias("way"), "n"
         )
         reach *= 2
-    open_ends = first_upstream(edges).select(F.col("target").alias("_open")).distinct()
-    walk = tables.select("table").join(ways, F.col("table") == F.col("node"), "left")
-    whole = F.concat(F.coalesce("way", F.array().cast("array<string>")), F.array("table"))
+    # a way that is still open is longer than a path may be
+    walk = reduce(DataFrame.unionByName, [ways, *ended]).where("n > 0")
+    whole = F.concat("way", F.array("node"))
     path = F.slice(whole, F.greatest(F.size(whole) - max_nodes, F.lit(0)) + 1, F.lit(max_nodes))
-    ends = walk.select("table", path.alias("path")).withColumn("_top", F.element_at("path", 1))
-    ends = ends.join(open_ends, F.col("_top") == F.col("_open"), "left")
-    return ends.select(
-        "table", F.array_join("path", " → ").alias("path"), F.size("path").cast("bigint").alias("nodes"),
-        F.col("_open").isNull().alias("complete"),
+    walk = walk.select("node", path.alias("path"), (F.col("at").isNull() & (F.size(whole) <= max_nodes)).alias("complete"), "n")
+    walk = walk.withColumn("_copy", F.explode(F.sequence(F.lit(1), "n")))
+    return walk.select(
+        F.col("node").alias("table"), F.array_join("path", " → ").alias("path"), F.size("path").cast("bigint").alias("nodes"), "complete"
     )
 
 

@@ -380,6 +380,32 @@ def test_cycle_and_long_paths_stop(spark):
     assert lineage.full_path(loop, "x").first()["path"] == "x"
 
 
+def _chain(spark, pairs):
+    return spark.createDataFrame([(s, t, "op", 0) for s, t in pairs], "source string, target string, operation string, at long").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 5, 9, 10])
+def test_paths_of_every_limit(spark, most):
+    pairs = [(f"t{i - 1}", f"t{i}") for i in range(1, 12)] + [("t3", "u"), ("a", "b"), ("b", "a"), ("b", "c"), (None, "n"), ("n", "m"), ("x", None)]
+    up = {t: s for s, t in pairs if t is not None}
+
+    def walked(table):
+        path = [table]
+        while len(path) < most and path[0] in up:
+            path.insert(0, up[path[0]])
+        return (table, " → ".join(p for p in path if p is not None), len(path), path[0] not in up)
+
+    tables = [*up, "t5", "t5", "nowhere", None]
+    got = lineage.full_paths(_chain(spark, pairs), spark.createDataFrame([(t,) for t in tables], "table string"), most)
+    assert sorted(rows(got), key=repr) == sorted(map(walked, tables), key=repr)
+
+
+def test_ended_paths_are_not_shuffled_again(spark):
+    paths = lineage.full_paths(_chain(spark, [(f"t{i - 1}", f"t{i}") for i in range(1, 12)]), spark.range(12).selectExpr("concat('t', id) AS table"), 64)
+    assert paths.count() == 12
+    assert paths._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+
+
 # ---- pages -------------------------------------------------------------------
 
 PRODUCTS = """<html><body><div class="item big"><h2>One</h2><span class="price">10</span></div>
