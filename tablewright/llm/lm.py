@@ -36,6 +36,7 @@ ORDER = 2
 STRENGTH = 500.0  # weight of the shorter history, in tokens
 CHUNK, PIECE = 6 << 20, 4 << 20  # bytes of text of a chunk, and of a piece of a long text
 BUCKET_KEYS = 1 << 20
+AT_ONCE = 1 << 17  # keys looked up, or tokens weighed, in one go
 STRIDE = 128  # tokens that one reader of the automaton takes
 
 
@@ -74,13 +75,14 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
 
 def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Place of each key in some sorted keys, -1 where it is missing; looked up in order, which the cache likes."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    by = np.argsort(keys)
-    place = np.searchsorted(sorted_keys, keys[by])
-    place[place == len(sorted_keys)] = 0
-    out = np.empty(len(keys), np.int64)
-    out[by] = np.where(sorted_keys[place] == keys[by], place, -1)
+    out = np.full(len(keys), -1, np.int32)
+    for a in range(0, len(keys) if len(sorted_keys) else 0, AT_ONCE):
+        part = keys[a : a + AT_ONCE]
+        by = np.argsort(part)
+        part = part[by]
+        place = np.searchsorted(sorted_keys, part)
+        place[place == len(sorted_keys)] = 0
+        out[a : a + AT_ONCE][by] = np.where(sorted_keys[place] == part, place, -1)
     return out
 
 
@@ -156,15 +158,20 @@ class Chunk:
         self.before, self.sizes = np.asarray(before, np.int64), np.asarray(sizes, np.int64)
         whole = self.before + self.sizes
         self.first = np.cumsum(whole) - whole  # of each piece, where its repeated tokens begin
-        since = np.arange(len(self.tokens)) - np.repeat(self.first, whole)
-        self.own = since >= np.repeat(self.before, whole)
+        since = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(self.first.astype(np.int32), whole)
+        self.own = since >= np.repeat(self.before.astype(np.int32), whole)
         self.train = self.own & ~np.repeat(np.asarray(held, bool), whole)
         self.since = since
         self.keys = [self.h[self.tokens]]  # keys[k - 1][i]: of the k tokens up to i; of no use where since < k - 1
         for _ in range(order - 1):
             with np.errstate(over="ignore"):
-                last = np.concatenate([np.zeros(1, np.uint64), self.keys[-1][:-1]])
-                self.keys.append(mixed(last * WORD_MIX + self.keys[0]))
+                longer = self.keys[0].copy()
+                for a in range(len(longer) - 1, 0, -AT_ONCE):
+                    b = max(1, a + 1 - AT_ONCE)
+                    longer[b : a + 1] += self.keys[-1][b - 1 : a] * WORD_MIX
+                for a in range(0, len(longer), AT_ONCE):
+                    longer[a : a + AT_ONCE] = mixed(longer[a : a + AT_ONCE])
+                self.keys.append(longer)
 
     def grams(self) -> np.ndarray:
         """Sorted distinct keys of all n-grams of two words and more."""
@@ -251,37 +258,42 @@ class Automaton:
         count = np.concatenate([word_counts, gram_counts]).astype(np.float64)
         share = np.zeros(len(count))
         share[:width] = (word_counts + 1.0) / (n + v + 1)
-        shorter = np.full(len(count), -1, np.int64)  # the same words without the first
+        shorter = np.full(len(count), -1, np.int32)  # the same words without the first
         state, arcs, into, weights = np.full(len(count), False), [], [], []
         end = c.words.index(END) if END in c.words else -1
         state[:width] = (word_counts > 0) & (np.arange(width) != end) & (order > 1)
-        nodes = c.tokens.astype(np.int64)
+        nodes = c.tokens
         for k in range(1, order):
-            at = np.flatnonzero(c.since >= k)
-            found = np.full(len(nodes), -1, np.int64)
-            place = _places(grams, c.keys[k][at]) + width
-            found[at] = place
-            one = np.full(len(count), -1, np.int64)
-            one[place] = at  # a position of each n-gram of this length
-            gram = np.flatnonzero(one >= 0)
+            found = np.full(len(nodes), -1, np.int32)
+            one = np.full(len(count), -1, np.int32)
+            for a in range(0, len(nodes), AT_ONCE):
+                at = np.flatnonzero(c.since[a : a + AT_ONCE] >= k) + a
+                place = _places(grams, c.keys[k][at]) + np.int32(width)
+                found[at] = place
+                one[place] = at  # a position of each n-gram of this length
+            gram = np.flatnonzero(one >= 0).astype(np.int32)
             at = one[gram]
+            del one
             shorter[gram], history = nodes[at], nodes[at - 1]
             share[gram] = (count[gram] + strength * share[nodes[at]]) / (count[history] + strength)
             seen = count[gram] > 0
             gram, at, history = gram[seen], at[seen], history[seen]
-            arcs.append(history * width + c.tokens[at])
+            arcs.append(history.astype(np.int64) * width + c.tokens[at])
             into.append(gram if k < order - 1 else shorter[gram])
             weights.append(np.log10(share[gram]))
             state[gram] = (k < order - 1) & (c.tokens[at] != end)
             nodes = found
+            del gram, at, history, seen
         self.width = width
         self.root = np.log10(share[:width])
         self.after_root = np.where(state[:width], np.arange(width), -1)
         self.shorter, self.back_off = shorter, np.log10(strength / (count + strength))
-        arcs, into = np.concatenate([*arcs, np.zeros(0, np.int64)]), np.concatenate([*into, np.zeros(0, np.int64)])
+        del share, count, nodes
+        arcs, into, weights = (x[0] if len(x) == 1 else np.concatenate([*x, np.zeros(0, t)]) for x, t in ((arcs, np.int64), (into, np.int32), (weights, np.float64)))
         by = np.argsort(arcs)
-        self.arcs, self.weights = arcs[by], np.concatenate([*weights, np.zeros(0)])[by]
-        self.into = np.where(state[into], into, -1)[by]
+        self.arcs, self.weights = arcs[by], weights[by]
+        del arcs, weights
+        self.into = np.where(state[into], into, np.int32(-1))[by]
 
     def read(self, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each state read one word: the next state and the weight of the arcs taken."""
@@ -295,7 +307,7 @@ class Automaton:
             left = left[~rooted]
             if not len(left):
                 break
-            place = _places(self.arcs, states[left] * self.width + words[left])
+            place = _places(self.arcs, states[left].astype(np.int64) * self.width + words[left])
             hit = place >= 0
             total[left[hit]] += self.weights[place[hit]]
             states[left[hit]] = self.into[place[hit]]
@@ -330,17 +342,15 @@ class Automaton:
 def score_chunk(c: Chunk, word_counts: np.ndarray, gram_counts: np.ndarray, n: int, v: int, strength: float):
     """Of each piece: tokens, known tokens, the base score and the model's score."""
     model = Automaton(c, c.grams(), word_counts, gram_counts, n, v, strength)
-    base = np.log10((word_counts + 1.0) / (n + v + 1))[c.tokens]
-    limits = c.first + c.before
-
-    def of_pieces(x: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(np.where(c.own, x, 0))])
-        return sums[limits + c.sizes] - sums[limits]
-
-    # short sums lose less than differences of long ones
-    parts = [(a, a + s) for a, s in zip(limits.tolist(), c.sizes.tolist())]
+    c.keys = [None] * len(c.keys)  # only their number counts from here
     weights = model.log10(c)
-    return c.sizes, of_pieces((word_counts > 0)[c.tokens].astype(np.int64)), np.array([base[a:b].sum() for a, b in parts]), np.array([weights[a:b].sum() for a, b in parts])
+    del model
+    base, known = np.log10((word_counts + 1.0) / (n + v + 1)), word_counts > 0
+    # a piece at a time: short sums lose less than differences of long ones
+    limits = c.first + c.before
+    parts = [slice(a, a + s) for a, s in zip(limits.tolist(), c.sizes.tolist())]
+    n_known = np.array([np.count_nonzero(known[c.tokens[p]]) for p in parts], np.int64)
+    return c.sizes, n_known, np.array([base[c.tokens[p]].sum() for p in parts]), np.array([weights[p].sum() for p in parts])
 
 
 def score_documents(

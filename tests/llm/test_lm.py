@@ -128,3 +128,23 @@ def test_a_long_text_in_pieces(table):
 def test_the_order_of_words_is_learnt(given):
     rows = f.score_documents(given("documents")).collect()
     assert sum(r.score for r in rows if not r.held_out) > sum(r.base_score for r in rows if not r.held_out)
+
+
+def test_scoring_a_chunk_takes_little_memory():
+    import tracemalloc
+
+    import zstandard
+
+    tokens = (np.arange(400_000, dtype=np.int64) ** 2 % 99_991).astype(np.int32)
+    words = [b"w%d" % i for i in range(99_991)]
+    packed = zstandard.ZstdCompressor().compress(f.planes(tokens))
+    tracemalloc.start()
+    c = f.Chunk(words, packed, [0] * 400, [1000] * 400, [False] * 400, 2)
+    grams = c.grams()
+    counts = c.trained(grams), np.bincount(c.tokens, minlength=len(words))
+    start = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    f.score_chunk(c, counts[1], counts[0], 400_000, len(words), 500.0)
+    peak = tracemalloc.get_traced_memory()[1] - start
+    tracemalloc.stop()
+    assert peak < 80 * (len(tokens) + len(grams) + len(words)) / 2
