@@ -13,6 +13,7 @@ COLUMN_EDGE_SCHEMA = (
     "transform string, expression string, ts timestamp"
 )
 MAX_PATH = 11  # by default a path that has grown past ten nodes stops
+WINDOW = 16  # nodes of a way among which one is chosen to go on from
 
 
 def _edge_id(text):
@@ -70,40 +71,64 @@ def first_upstream(edges: DataFrame) -> DataFrame:
     return edges.groupBy("target").agg(earliest).select("target", F.col("first.source").alias("source"))
 
 
+def _joined(ways: DataFrame, known: DataFrame) -> DataFrame:
+    """Ways continued by the known way of the node that they have reached, if there is one."""
+    on = known.select(F.col("node").alias("_at"), F.col("at").alias("_up"), F.col("way").alias("_way"))
+    # many ways that meet in one ancestor are a skewed left side
+    way = F.when(F.col("_way").isNull(), F.col("way")).otherwise(F.concat("_way", "way"))
+    return ways.join(on, F.col("at") == F.col("_at"), "left").select("node", F.col("_up").alias("at"), way.alias("way"), "n")
+
+
+def _written(ways: DataFrame) -> DataFrame:
+    path = scratch_path(ways.sparkSession, "ways")
+    ways.write.parquet(path)
+    return ways.sparkSession.read.schema(ways.schema).parquet(path)
+
+
+def _grown(ways: DataFrame, nodes: int) -> DataFrame:
+    """Ways doubled until they end or have as many nodes; each is written once it does, and in every round before."""
+    done, short = [], F.col("at").isNotNull() & (F.size("way") < nodes)
+    for _ in range((nodes - 1).bit_length()):
+        ways = _written(ways)
+        left = ways.where(short)
+        if left.isEmpty():
+            break
+        done.append(ways.where(~short))
+        ways = _joined(left, reduce(DataFrame.unionByName, [left, *done]))
+    return reduce(DataFrame.unionByName, [ways, *done])
+
+
 def full_paths(edges: DataFrame, tables: DataFrame, max_nodes: int = MAX_PATH) -> DataFrame:
     """(table, path, nodes, complete): each table's chain of first upstream edges.
 
     ``tables`` has one column ``table``. A path ends where no edge leads further up; ``complete`` is
     false where it was cut at ``max_nodes`` instead, as a cycle always is. All tables walk at the
     same time and every round doubles the length of the known ways up, so eleven nodes take four
-    joins and a thousand take ten. The ways of a round are written to the shared folder, those that
-    have ended once for all rounds: only open ones are joined further, to the ways of all nodes.
+    joins. Where paths may be longer than ``WINDOW``, a way of so many nodes goes on from the one
+    whose name has the least hash: neighbours mostly choose the same, so that only few ways
+    are doubled further, and every other one is joined to one of those once.
     """
-    spark = edges.sparkSession
     wanted = tables.groupBy("table").agg(F.count(F.lit(1)).alias("n"))
     first = first_upstream(edges).select(F.col("target").alias("node"), F.col("source").alias("at"), F.array("source").alias("way"))
     ways = first.join(wanted, F.col("node") == F.col("table"), "full").select(
         F.coalesce("node", "table").alias("node"), "at", F.coalesce("way", F.array().cast("array<string>")).alias("way"), F.coalesce("n", F.lit(0)).alias("n"),
     )
-    ended, reach = [], 1
-    while reach < max_nodes:
-        path = scratch_path(spark, "ways")
-        ways.write.parquet(path)
-        known = spark.read.schema(ways.schema).parquet(path)
-        left = known.where("at IS NOT NULL")
-        ended.append(known.where("at IS NULL"))
-        on = reduce(DataFrame.unionByName, [left, *ended]).where("node IS NOT NULL AND size(way) > 0")
-        on = on.select(F.col("node").alias("_at"), F.col("at").alias("_up"), F.col("way").alias("_way"))
-        # ways that end here match nothing; many ways that meet in one ancestor are a skewed left side
-        ways = left.join(on, F.col("at") == F.col("_at"), "left").select(
-            "node", F.col("_up").alias("at"), F.when(F.col("_way").isNull(), F.col("way")).otherwise(F.concat("_way", "way")).alias("way"), "n"
-        )
-        reach *= 2
+    ways = _grown(ways, min(max_nodes, WINDOW))
+    if max_nodes > WINDOW:
+        is_open = F.col("at").isNotNull()
+        least = F.array_min(F.transform("way", lambda x, i: F.struct(F.xxhash64(x).alias("hash"), i.alias("place"))))["place"]
+        ways = ways.withColumn("_place", F.when(is_open, least).otherwise(0))
+        ways = _written(ways.select(
+            "node", F.when(is_open, F.get("way", "_place")).alias("at"), F.slice("way", F.col("_place") + 1, F.size("way") - F.col("_place")).alias("way"), "n"
+        ))
+        left = ways.where(is_open)
+        chosen = left.select(F.col("at").alias("_chosen")).distinct()
+        far = _grown(ways.join(chosen, F.col("node") == F.col("_chosen"), "left_semi"), max_nodes)
+        ways = _joined(left, far).unionByName(ways.where(~is_open))
     # a way that is still open is longer than a path may be
-    walk = reduce(DataFrame.unionByName, [ways, *ended]).where("n > 0")
     whole = F.concat("way", F.array("node"))
     path = F.slice(whole, F.greatest(F.size(whole) - max_nodes, F.lit(0)) + 1, F.lit(max_nodes))
-    walk = walk.select("node", path.alias("path"), (F.col("at").isNull() & (F.size(whole) <= max_nodes)).alias("complete"), "n")
+    walk = ways.where("n > 0").select("node", path.alias("path"), (F.col("at").isNull() & (F.size(whole) <= max_nodes)).alias("complete"), "n")
     walk = walk.withColumn("_copy", F.explode(F.sequence(F.lit(1), "n")))
     return walk.select(
         F.col("node").alias("table"), F.array_join("path", " → ").alias("path"), F.size("path").cast("bigint").alias("nodes"), "complete"
