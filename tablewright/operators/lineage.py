@@ -74,9 +74,9 @@ def first_upstream(edges: DataFrame) -> DataFrame:
 def _joined(ways: DataFrame, known: DataFrame) -> DataFrame:
     """Ways continued by the known way of the node that they have reached, if there is one."""
     on = known.select(F.col("node").alias("_at"), F.col("at").alias("_up"), F.col("way").alias("_way"))
-    # many ways that meet in one ancestor are a skewed left side
+    # many ways that meet in one ancestor are a skewed left side; files pack ways so well that their size says nothing on a broadcast
     way = F.when(F.col("_way").isNull(), F.col("way")).otherwise(F.concat("_way", "way"))
-    return ways.join(on, F.col("at") == F.col("_at"), "left").select("node", F.col("_up").alias("at"), way.alias("way"), "n")
+    return ways.join(on.hint("merge"), F.col("at") == F.col("_at"), "left").select("node", F.col("_up").alias("at"), way.alias("way"), "n")
 
 
 def _written(ways: DataFrame) -> DataFrame:
